@@ -23,29 +23,41 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 #: Pieces per packer. A packer holds them as numbers (40 bytes each).
 GROUP_PIECES = 60_000
 #: Distinct chunks whose ids a worker keeps.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 500_000
+MARKS = frozenset(",.;:!?")
 
 _coders: dict[str, ChunkCoder] = {}
 
 
 class ChunkCoder(dict):
-    """Bytes of little-endian 32-bit ids by chunk between blanks, which no token crosses."""
+    """Bytes of little-endian 32-bit ids by chunk between blanks, which no token crosses.
+
+    The vocabulary has lower case only and no token joins a letter and a punctuation mark, so a word is
+    looked up in lower case and without the mark behind it. Two generations of entries are kept.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        self.encode, self.old = Tokenizer.from_file(path).encode, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if (ids := self.old.get(chunk)) is None:
+            if chunk[-1:] in MARKS and chunk[-2:-1].isalpha():
+                ids = self[chunk[:-1]] + self[chunk[-1]]
+            else:
+                ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(chunk) <= 64:
+            if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
+        if "\u03a3" not in text:  # whose lower case depends on its place in Python only
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 

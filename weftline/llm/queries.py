@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, packing, phrase_index, quality, warc_zip
+from . import html_text, near_dup, packing, phrase_index, quality, warc_zip
 from .common import need, table
 
 MAX_TOKENS = 2048
@@ -32,6 +32,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc_zip.read_records(warc_zip.write_archives(table(spark, sf_dir, "pages")))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
