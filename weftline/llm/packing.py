@@ -8,6 +8,7 @@ Packers are independent: pieces are dealt to groups by hash, each group is packe
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -37,28 +38,50 @@ class ChunkCoder(dict):
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode, self.old = Tokenizer.from_file(path).encode, {}
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def __missing__(self, chunk: str) -> bytes:
         if (ids := self.old.get(chunk)) is None:
             if chunk[-1:] in MARKS and chunk[-2:-1].isalpha():
                 ids = self[chunk[:-1]] + self[chunk[-1]]
             else:
-                ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = self.encode(chunk).tobytes()
         if len(chunk) <= 64:
-            if len(self) >= CACHE_CHUNKS:
-                self.old = dict(self)
-                self.clear()
             self[chunk] = ids
         return ids
 
-    def ids(self, text: str) -> bytes:
-        if "\u03a3" not in text:  # whose lower case depends on its place in Python only
-            text = text.lower()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def learn(self, chunks: set[str]) -> None:
+        """Look up many chunks at once. Words of letters are encoded together: each ends in a token that ends a word."""
+        if len(self) + len(chunks) > CACHE_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+        words = {c[:-1] if c[-1] in MARKS else c for c in chunks if c and c not in self and c not in self.old and len(c) <= 64}
+        words = [w for w in words if w.isalpha() and w not in self and w not in self.old]
+        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for part, out in zip(parts, self.tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(out.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) * 4 + 4
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), 0
+                for word, end in zip(part, ends.tolist(), strict=True):
+                    self[word] = raw[at:end]
+                    at = end
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids. Capital sigma's lower case depends on its place in Python only, so texts with it go as they are."""
+        split = [(t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, x)) for x in split]
 
 
 def _coder(path: str) -> ChunkCoder:
@@ -83,8 +106,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048,
         key = TaskContext.get().partitionId() << 36
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = coder.ids(text or "") + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.ids(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 rows += [(doc_id, key, k, at // 4, len(part := ids[at : at + width]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), width))]
                 key += 1
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
