@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,64 +25,88 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 #: Pieces per packer. A packer holds them as numbers (40 bytes each).
 GROUP_PIECES = 60_000
 #: Distinct chunks whose ids a worker keeps.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
 MARKS = frozenset(",.;:!?")
 
 _coders: dict[str, ChunkCoder] = {}
 
 
-class ChunkCoder(dict):
-    """Bytes of little-endian 32-bit ids by chunk between blanks, which no token crosses.
+class ChunkCoder:
+    """Token ids of texts, by what lies between blanks, which no token crosses.
 
-    The vocabulary has lower case only and no token joins a letter and a punctuation mark, so a word is
-    looked up in lower case and without the mark behind it. Two generations of entries are kept.
+    A batch's chunks are numbered by Arrow; only its distinct chunks are looked up, and only words
+    that no batch had before are encoded. The vocabulary has lower case only and no token joins a letter and a
+    punctuation mark, so a word is encoded in lower case and without the mark behind it. Two generations of entries are kept.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {"": b""}, {}
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def __missing__(self, chunk: str) -> bytes:
-        if (ids := self.old.get(chunk)) is None:
-            if chunk[-1:] in MARKS and chunk[-2:-1].isalpha():
-                ids = self[chunk[:-1]] + self[chunk[-1]]
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def lookup(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks. Unknown words of letters are encoded together: each ends in a token that ends a word."""
+        out = [self.known.get(c) for c in chunks]
+        at = [k for k, x in enumerate(out) if x is None]
+        if len(self.known) + len(at) > CACHE_CHUNKS:
+            self.old, self.known = self.known, {"": b""}
+        words: dict[str, list[tuple[int, str]]] = {}
+        for k in at:
+            c = chunks[k]
+            if (ids := self.old.get(c)) is not None:
+                out[k] = ids
+                continue
+            w, mark = (c[:-1], c[-1]) if c[-1] in MARKS else (c, "")
+            # Capital sigma's lower case depends on its place in Python only.
+            if w.isalpha() and len(w) <= 64:
+                words.setdefault(w if "\u03a3" in w else w.lower(), []).append((k, mark))
             else:
-                ids = self.encode(chunk).tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
-    def learn(self, chunks: set[str]) -> None:
-        """Look up many chunks at once. Words of letters are encoded together: each ends in a token that ends a word."""
-        if len(self) + len(chunks) > CACHE_CHUNKS:
-            self.old = dict(self)
-            self.clear()
-        words = {c[:-1] if c[-1] in MARKS else c for c in chunks if c and c not in self and c not in self.old and len(c) <= 64}
-        words = [w for w in words if w.isalpha() and w not in self and w not in self.old]
-        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
-        for part, out in zip(parts, self.tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
-            ids = np.array(out.ids, "<u4")
+                out[k] = self.encode(c)
+        if words:
+            for mark in MARKS:
+                self.known.setdefault(mark, self.encode(mark))
+            ids = self.word_ids(list(words))
+            for uses, x in zip(words.values(), ids, strict=True):
+                for k, mark in uses:
+                    out[k] = x + self.known[mark]
+        for k in at:
+            if len(chunks[k]) <= 64:
+                self.known[chunks[k]] = out[k]
+        return out
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        out = [self.known.get(w) for w in words]
+        new = [k for k, x in enumerate(out) if x is None]
+        parts = [new[i : i + 500] for i in range(0, len(new), 500)]
+        found = self.tokenizer.encode_batch_fast([" ".join([words[k] for k in p]) for p in parts], add_special_tokens=False)
+        for part, x in zip(parts, found, strict=True):
+            ids = np.array(x.ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) * 4 + 4
-            if len(ends) == len(part):
-                raw, at = ids.tobytes(), 0
-                for word, end in zip(part, ends.tolist(), strict=True):
-                    self[word] = raw[at:end]
-                    at = end
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids. Capital sigma's lower case depends on its place in Python only, so texts with it go as they are."""
-        split = [(t if "\u03a3" in t else t.lower()).replace("\n", " ").split(" ") if t else [] for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, x)) for x in split]
+            raw, begin = ids.tobytes(), 0
+            for k, end in zip(part, ends.tolist() if len(ends) == len(part) else [None] * len(part), strict=True):
+                out[k] = raw[begin:end] if end is not None else self.encode(words[k])
+                begin = end
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """All texts' ids (little-endian 32-bit) one after another, and where each begins and the last ends, in bytes."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        if isinstance(split, pa.ChunkedArray):
+            split = split.combine_chunks()
+        numbered = split.flatten().dictionary_encode()
+        ids = pa.array(self.lookup(numbered.dictionary.to_pylist()), pa.binary()).take(numbered.indices)
+        if isinstance(ids, pa.ChunkedArray):
+            ids = ids.combine_chunks()
+        of_chunk = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+        begin = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return memoryview(ids.buffers()[2] or b""), of_chunk[begin]
 
 
 def _coder(path: str) -> ChunkCoder:
@@ -104,11 +129,16 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048,
 
         coder = _coder(tokenizer_path)
         key = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in _gathered(batches):
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.ids(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                rows += [(doc_id, key, k, at // 4, len(part := ids[at : at + width]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), width))]
+            ids, begins = coder.ids(batch["text"])
+            for doc_id, a, b in zip(batch["doc_id"].to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                for k, at in enumerate(range(a, b + 4, width)):
+                    stop = min(at + width, b)
+                    crc, n = zlib.crc32(ids[at:stop]), (stop - at) // 4
+                    if stop == b and n < seq_len:
+                        crc, n = zlib.crc32(end, crc), n + 1
+                    rows.append((doc_id, key, k, (at - a) // 4, n, crc))
                 key += 1
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
@@ -116,6 +146,19 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048,
     return need(docs, {"doc_id": "long", "text": "string"}).mapInArrow(cut, PIECES)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.Table]:
+    """Batches put together until they hold about so many bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= chars:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def sum_of_squares(lengths: np.ndarray, seq_len: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence number and offset of each length, placed in the given order.
 
@@ -151,12 +194,12 @@ def sum_of_squares(lengths: np.ndarray, seq_len: int) -> tuple[np.ndarray, np.nd
 
 
 def pack_lengths(lengths: np.ndarray, seq_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """sum_of_squares in three orders: as given, longest first, and as given with the short ones last. The one with fewest sequences counts."""
+    """sum_of_squares in two orders: as given with the shortest tenth last, and longest first. The one with fewer sequences counts."""
     rank = np.argsort(-lengths, kind="stable")
-    short = lengths < max(2, np.quantile(lengths, 0.3)) if len(lengths) else lengths > 0
-    late = np.concatenate([np.flatnonzero(~short), rank[short[rank]]]) if len(lengths) else rank
+    short = lengths < np.quantile(lengths, 0.1) if len(lengths) else lengths > 0
+    late = np.concatenate([np.flatnonzero(~short), rank[short[rank]]])
     best = None
-    for order in (np.arange(len(lengths)), rank, late):
+    for order in (late, rank):
         seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
         seq[order], off[order] = sum_of_squares(lengths[order], seq_len)
         made = int(seq.max()) + 1 if len(seq) else 0
