@@ -32,6 +32,9 @@ SLACK = 5.0
 MINOR_BLOCK, MEMBER_BLOCK = 512, 2048
 #: Members per copy of a centre's text.
 CENTRE_MEMBERS = 256
+#: Hashes of a set by which the members of unresolved buckets are compared.
+SAMPLE = 512
+_MOST = np.uint32(0xFFFFFFFF)
 CACHE_WORDS = 400_000
 
 _rest = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
@@ -148,12 +151,12 @@ def _estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs a, b whose full sets are similar. Texts go to their pair's b; a hot b is copied, so that no task gets all of its partners."""
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / CENTRE_MEMBERS).alias("salts"))
     dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     wanted = dealt.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(1).alias("side")).unionByName(dealt.select(F.col("b").alias("doc_id"), "b", "salt", F.lit(0).alias("side")).distinct())
-    rows = _texts(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "b", "salt", "side", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "side")
+    rows = texts.join(wanted, "doc_id").select("doc_id", "b", "salt", "side", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "side")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, sets = None, []
@@ -193,35 +196,69 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
-def _unresolved(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are still in different components and may link."""
+def _samples(texts: DataFrame) -> DataFrame:
+    """node, size, codes (the SAMPLE smallest hashes' leading 32 bits, ascending: the whole set if it is that small)."""
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [shingles(x) for x in batch.column(1).to_pylist()]
+            codes = [np.unique((x[:SAMPLE] >> np.uint64(32)).astype("<u4")).tobytes() for x in h]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in h], pa.int64()), pa.array(codes, pa.binary())], ["node", "size", "codes"])
+
+    return texts.mapInArrow(sample, "node long, size long, codes binary")
+
+
+def _unresolved(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket that are in different components and similar by their samples.
+
+    In a bucket the members outside its largest component meet all members, in blocks. A sample tells small sets'
+    similarity as good as exactly, so that what leaves a block is links, not pairs.
+    """
     own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = own.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     open_ = per.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     open_ = open_.select("band", "key", F.col("top.component").alias("major"), F.ceil((F.col("total") - F.col("top.n")) / MINOR_BLOCK).cast("int").alias("nj"), F.ceil(F.col("total") / MEMBER_BLOCK).cast("int").alias("ni"))
-    there = own.join(open_, ["band", "key"]).join(sets.select("node", F.col("n").alias("size"), "bands"), "node")
+    there = stored(own.join(open_, ["band", "key"]), "open-members")
+    samples = stored(_samples(texts.join(there.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "samples")
     j, i = F.pmod(F.xxhash64("node"), F.col("nj")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("ni")).cast("int")
-    minor = there.where("component <> major").withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).withColumn("minor", F.lit(True))
-    every = there.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("minor", F.lit(False))
-    cols = ["band", "key", "j", "i", "minor", "node", "component", "size", "bands"]
-    dealt = minor.select(*cols).unionByName(every.select(*cols))
-
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        flag = t["minor"].to_numpy(zero_copy_only=False)
-        node, comp, size = (t[c].to_numpy() for c in ("node", "component", "size"))
-        reg = _registers(t["bands"].combine_chunks())
-        all_ = np.flatnonzero(~flag)
-        a, b = [], []
-        for x in np.flatnonzero(flag):
-            other = all_[comp[all_] != comp[x]]
-            if len(other):
-                ok = other[may_link((reg[other] == reg[x]).mean(1), size[other], np.full(len(other), size[x]))]
-                a += np.minimum(node[ok], node[x]).tolist()
-                b += np.maximum(node[ok], node[x]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("band", "key", "j", "i").applyInArrow(compare, "a long, b long").distinct()
+    placed = there.withColumn("home", i).withColumn("own_j", F.when(F.col("component") != F.col("major"), j))
+    resident = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("i", F.col("home")).withColumn("minor", F.coalesce(F.col("j") == F.col("own_j"), F.lit(False))).withColumn("resident", F.lit(True))
+    visitor = placed.where("own_j is not null and ni > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).where("i <> home").withColumn("j", F.col("own_j")).withColumn("minor", F.lit(True)).withColumn("resident", F.lit(False))
+    cols = ["band", "key", "j", "i", "minor", "resident", "node", "component"]
+    dealt = resident.select(*cols).unionByName(visitor.select(*cols)).join(samples, "node")
+    return dealt.groupBy("band", "key", "j", "i").applyInArrow(_compare, "a long, b long").distinct()
+
+
+def _compare(t: pa.Table) -> pa.Table:
+    minor, resident = (t[c].to_numpy() for c in ("minor", "resident"))
+    node, comp, size = (t[c].to_numpy() for c in ("node", "component", "size"))
+    codes = [np.frombuffer(x, "<u4") for x in t["codes"].to_pylist()]
+    begin = np.cumsum([0, *map(len, codes)])
+    of = np.repeat(np.arange(len(codes)), np.diff(begin))
+    ids = np.unique(np.concatenate(codes), return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    holders, first = of[order], np.searchsorted(ids[order], np.arange(ids.max() + 2))
+    a, b = [], []
+    for x in np.flatnonzero(minor).tolist():
+        mine = ids[begin[x] : begin[x + 1]]
+        common = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in mine.tolist()]), minlength=len(codes))
+        # Of samples, at least this share is common to sets that may be similar.
+        some = np.flatnonzero(resident & (comp != comp[x]) & (100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])) & (100 * common >= 50 * np.minimum(len(mine), np.diff(begin))))
+        for y in some.tolist():
+            if _sampled(codes[x], codes[y], int(size[x]), int(size[y]), int(common[y])):
+                a.append(max(node[x], node[y]))
+                b.append(min(node[x], node[y]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _sampled(x: np.ndarray, y: np.ndarray, n: int, m: int, common: int) -> bool:
+    """Whether sets of n and m shingles may be similar, given how many codes their samples share: exact up to equal codes for whole sets, else SLACK standard errors."""
+    if n <= SAMPLE and m <= SAMPLE:
+        return 100 * common >= PERCENT * (n + m - common)
+    top = min(x[-1] if n > SAMPLE else _MOST, y[-1] if m > SAMPLE else _MOST)
+    k = int(np.searchsorted(x, top, "right") + np.searchsorted(y, top, "right")) - common
+    p = PERCENT / 100
+    return common / k >= p - SLACK * (p * (1 - p) / k) ** 0.5
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,10 +276,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(keys.join(shared, ["band", "key"]), "members")
     starred = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     first = _estimated(starred, sets).groupBy("a").agg(F.min("b").alias("b"))
-    links = stored(_confirmed(first, docs), "first-links")
-    more = stored(_unresolved(members.drop("centre"), sets, components(links)), "open")
+    nodes = members.select(F.col("node").alias("doc_id")).distinct()
+    texts = stored(_texts(docs).join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+    links = stored(_confirmed(first, texts), "first-links")
+    more = stored(_unresolved(members.drop("centre"), components(links), texts), "open")
     if more.limit(1).count():
-        links = stored(links.unionByName(_confirmed(more, docs)), "all-links")
+        links = stored(links.unionByName(_confirmed(more, texts)), "all-links")
     # Sets of one doc_id, if it has several, and members of a class are linked through their class.
     same = some.join(classes, "set_id").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     repeated = same.join(classes.select(F.col("node").alias("a")), "a", "left_semi")
