@@ -173,7 +173,7 @@ def bigrams(train: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
-            toxic, tokens = t["toxic"].to_numpy(), Tokens(t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"])
+            toxic, tokens = t["toxic"].to_numpy(), Tokens(_column(t, "text"))
             cls = toxic[tokens.owner()] > 0
             for c in (False, True):
                 v, w, q = tokens.v[cls == c], tokens.w[cls == c], tokens.q[cls == c]
@@ -191,7 +191,7 @@ def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int
         vocab = shared.value
         df, every = np.zeros(len(vocab) + 1, np.int64), 0
         for t in _grouped(batches):
-            x = Tokens(t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"])
+            x = Tokens(_column(t, "text"))
             at = _find(vocab, x.w)
             own = x.owner()[at >= 0] * (len(vocab) + 1) + at[at >= 0]
             df += np.bincount(np.unique(own) % (len(vocab) + 1), minlength=len(df))
@@ -278,31 +278,62 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return beta
 
 
-def score(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = THRESHOLD, fit_on: DataFrame | None = None) -> DataFrame:
-    """doc_id, score (0..1), predicted, one row per row of docs. learn: condition on doc_id for rows whose label may be used; fit_on: documents to learn from (docs).
-
-    Null and empty texts have no evidence but the base rate and length. Null doc_ids stay; repeated rows get equal scores; ids labelled twice are
-    toxic if any label says so; without labels of both classes the models fall back to what they share.
-    """
+def fit(docs: DataFrame, labels: DataFrame, learn=None) -> tuple[Model, np.ndarray]:
+    """The models, and the logistic curve's coefficients. learn: condition on doc_id for rows whose label may be used."""
     spark = docs.sparkSession
-    base = _texts(fit_on if fit_on is not None else docs)
+    base = _texts(docs)
     chosen = stored(sampled_labels(labels, learn if learn is not None else F.lit(True)), "labels")
     train = base.join(F.broadcast(chosen), "doc_id")
-    model = spark.sparkContext.broadcast(fit_model(base, train.where("part < 4")))
+    fitted = fit_model(base, train.where("part < 4"))
+    model = spark.sparkContext.broadcast(fitted)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
-            x = model.value.features(Tokens(t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"]))
-            yield pa.RecordBatch.from_arrays([t["toxic"].combine_chunks(), t["weight"].combine_chunks(), *[pa.array(c) for c in x.T]], ["toxic", "weight", *[f"x{k}" for k in range(FEATURES)]])
+            x = model.value.features(Tokens(_column(t, "text")))
+            yield pa.RecordBatch.from_arrays([_column(t, "toxic"), _column(t, "weight"), *[pa.array(c) for c in x.T]], ["toxic", "weight", *[f"x{k}" for k in range(FEATURES)]])
 
     got = train.where("part = 4").select("toxic", "weight", "text").mapInArrow(features, "toxic int, weight double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
     x = np.stack([got[f"x{k}"].to_numpy() for k in range(FEATURES)], 1) if got.num_rows else np.zeros((0, FEATURES))
-    beta = fit_logistic(x, got["toxic"].to_numpy().astype(float), got["weight"].to_numpy())
+    return fitted, fit_logistic(x, got["toxic"].to_numpy().astype(float), got["weight"].to_numpy())
+
+
+def _scorer(docs: DataFrame, labels: DataFrame, learn):
+    model, beta = fit(docs, labels, learn)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(shared.value.features(Tokens(texts)) @ beta, -30, 30)))
+
+    return rate
+
+
+def score(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score (0..1), predicted, one row per row of docs. learn: condition on doc_id for rows whose label may be used.
+
+    Null and empty texts have no evidence but the base rate and length. Null doc_ids stay; repeated rows get equal scores; ids labelled twice are
+    toxic if any label says so; without labels of both classes the models fall back to what they share.
+    """
+    rate = _scorer(docs, labels, learn)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches):
+            p = rate(_column(t, "text"))
+            yield pa.RecordBatch.from_arrays([_column(t, "doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    return _texts(docs).mapInArrow(scores, "doc_id long, score double, predicted int")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, that score below the threshold. Cases as in score."""
+    rate = _scorer(docs, labels, learn)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
-            z = model.value.features(Tokens(t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"])) @ beta
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield from t.filter(pa.array(rate(_column(t, "text")) < threshold)).to_batches()
+
+    return docs.mapInArrow(keep, docs.schema)
+
 
-    return _texts(docs).mapInArrow(rate, "doc_id long, score double, predicted int")
+def _column(t: pa.Table, name: str) -> pa.Array:
+    c = t[name]
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
