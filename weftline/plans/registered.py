@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from . import q_spans, q_state  # noqa: F401
