@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
@@ -16,10 +19,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its SQL if it has any."""
 
     def register(f: Query) -> Query:
-        _queries[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(ship(spark), sf_dir)
+
+        _queries[f.__name__] = run
         if sql:
             _oracles[f.__name__] = sql
-        return f
+        return run
 
     return register
 
