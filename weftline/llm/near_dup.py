@@ -176,7 +176,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (its smallest node) of every node that has a link a, b. Large-star and small-star steps until nothing changes; each round is written out."""
+    """node, component (its smallest node) of every node that has a link a, b and is not its component's smallest itself. Large-star and small-star steps until nothing changes; each round is written out."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(rounds):
