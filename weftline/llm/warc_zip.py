@@ -24,7 +24,7 @@ from .common import need, prepare, scratch_path, stored
 
 # Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
-MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
+MAX16, MAX32, UTF8 = 0xFFFF, 0xFFFFFFFF, 0x0800
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive is closed at this size; a reader's task takes so many records.
@@ -41,9 +41,9 @@ def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
         extra = struct.pack("<HHQQQ", 1, 24, len(data), len(data), len(out)) if big else b""
         size, at, version = (MAX32, MAX32, 45) if big else (len(data), len(out), 20)
         crc, raw = zlib.crc32(data), name.encode()
-        central += struct.pack("<4s6H3L5H2L", CENTRAL, version, version, 0, 0, 0, 33, crc, size, size, len(raw), len(extra), 0, 0, 0, 0, at) + raw + extra
+        central += struct.pack("<4s6H3L5H2L", CENTRAL, version, version, UTF8, 0, 0, 33, crc, size, size, len(raw), len(extra), 0, 0, 0, 0, at) + raw + extra
         local = extra[:20].replace(struct.pack("<HH", 1, 24), struct.pack("<HH", 1, 16), 1) if big else b""
-        out += struct.pack("<4s5H3L2H", LOCAL, version, 0, 0, 0, 33, crc, size, size, len(raw), len(local)) + raw + local + data
+        out += struct.pack("<4s5H3L2H", LOCAL, version, UTF8, 0, 0, 33, crc, size, size, len(raw), len(local)) + raw + local + data
     at, n = len(out), len(members)
     out += central
     if zip64 or at >= MAX32 or n >= MAX16:
