@@ -11,7 +11,7 @@ sys.path.insert(0, ROOT)
 def spark():
     from pyspark.sql import SparkSession
 
-    os.environ["PYTHONPATH"] = ":".join(x for x in (ROOT, f"{ROOT}/tests", os.environ.get("PYTHONPATH", "")) if x)
+    os.environ["PYTHONPATH"] = ":".join(x for x in (ROOT, f"{ROOT}/tests", f"{ROOT}/tests/llm", os.environ.get("PYTHONPATH", "")) if x)
     s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
