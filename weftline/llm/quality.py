@@ -24,6 +24,8 @@ WINDOW = 8
 BINS = 64
 RULES = ("symbols_per_word", "dup_line_share", "repeat_share", "long_words", "short_words")
 STRATA = 4
+#: A good text that a cutoff rejects weighs as much as so many bad ones that it lets pass.
+GOOD_COST = 10
 _DROP = bytes(set(range(256)) - set(SYMBOLS))
 _odd = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -138,7 +140,7 @@ def select_cutoffs(counts: dict[tuple[int, str], np.ndarray], alpha: float, delt
     """From good and bad counts per bin (2 x BINS), per (stratum, rule) the lowest bin from which texts are rejected.
 
     The rule's share of the allowed false rejection is alpha over the number of rules. Without a safe and useful cutoff: BINS (reject none).
-    Several cutoffs may be safe: that with most bad texts rejected, then the highest.
+    Of several safe cutoffs that is taken which rejects most bad texts less GOOD_COST times the good ones; then the highest.
     """
     level, limit = delta / (STRATA * len(RULES) * BINS), alpha / len(RULES)
     out = {}
@@ -146,8 +148,8 @@ def select_cutoffs(counts: dict[tuple[int, str], np.ndarray], alpha: float, delt
         n, best, cut = int(good.sum()), 0, BINS
         g, b = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
         for c in range(BINS - 1, 0, -1):
-            if b[c] > best and upper_bound(int(g[c]), n, level) <= limit:
-                best, cut = int(b[c]), c
+            if (gain := int(b[c] - GOOD_COST * g[c])) > best and upper_bound(int(g[c]), n, level) <= limit:
+                best, cut = gain, c
         out[key] = cut
     return out
 
