@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import q_index, q_spans, q_state, q_stream  # noqa: F401
+from . import q_feeds, q_index, q_spans, q_state, q_stream  # noqa: F401
