@@ -62,10 +62,16 @@ def drop_scratch() -> None:
             continue
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    few: for tables that are small beside the corpus, so that they don't become as many small files as there are shuffle
+    partitions; the number still follows the cluster's cores and its setting of shuffle partitions.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if few:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -177,7 +177,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of every node that has a link a, b and is not its component's smallest itself. Large-star and small-star steps until nothing changes; each round is written out."""
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", few=True)
     state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(rounds):
         if not state[0]:
@@ -187,7 +187,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
-        edges = stored(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges = stored(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links", few=True)
         before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == state:
             break
@@ -218,8 +218,8 @@ def _unresolved(members: DataFrame, labels: DataFrame, texts: DataFrame) -> Data
     per = own.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     open_ = per.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     open_ = open_.select("band", "key", F.col("top.component").alias("major"), F.ceil((F.col("total") - F.col("top.n")) / MINOR_BLOCK).cast("int").alias("nj"), F.ceil(F.col("total") / MEMBER_BLOCK).cast("int").alias("ni"))
-    there = stored(own.join(open_, ["band", "key"]), "open-members")
-    samples = stored(_samples(texts.join(there.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "samples")
+    there = stored(own.join(open_, ["band", "key"]), "open-members", few=True)
+    samples = stored(_samples(texts.join(there.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "samples", few=True)
     j, i = F.pmod(F.xxhash64("node"), F.col("nj")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("ni")).cast("int")
     placed = there.withColumn("home", i).withColumn("own_j", F.when(F.col("component") != F.col("major"), j))
     resident = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("i", F.col("home")).withColumn("minor", F.coalesce(F.col("j") == F.col("own_j"), F.lit(False))).withColumn("resident", F.lit(True))
@@ -269,19 +269,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     all_ = stored(sketches(docs), "sketches")
     some = all_.where("n > 0 and doc_id is not null")
-    classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes")
-    sets = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").dropDuplicates(["node", "n"]), "sets")
+    classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes", few=True)
+    sets = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").dropDuplicates(["node", "n"]), "sets", few=True)
     keys = sets.select("node", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("tinyint"))
     shared = keys.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = stored(keys.join(shared, ["band", "key"]), "members")
+    members = stored(keys.join(shared, ["band", "key"]), "members", few=True)
     starred = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     first = _estimated(starred, sets).groupBy("a").agg(F.min("b").alias("b"))
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(_texts(docs).join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    links = stored(_confirmed(first, texts), "first-links")
-    more = stored(_unresolved(members.drop("centre"), components(links), texts), "open")
+    texts = stored(_texts(docs).join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), "texts", few=True)
+    links = stored(_confirmed(first, texts), "first-links", few=True)
+    more = stored(_unresolved(members.drop("centre"), components(links), texts), "open", few=True)
     if more.limit(1).count():
-        links = stored(links.unionByName(_confirmed(more, texts)), "all-links")
+        links = stored(links.unionByName(_confirmed(more, texts)), "all-links", few=True)
     # Sets of one doc_id, if it has several, and members of a class are linked through their class.
     same = some.join(classes, "set_id").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     repeated = same.join(classes.select(F.col("node").alias("a")), "a", "left_semi")
