@@ -51,7 +51,7 @@ def _hash(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokens:
-    """Words of a batch of texts: w (hash), q (prefix hash) and v (the preceding word's hash) by place, begin by text."""
+    """Words of a batch of texts: ids by place into its distinct words (hashes words, prefix hashes prefixes), begin by text."""
 
     def __init__(self, texts: pa.Array):
         texts = pc.utf8_lower(pc.fill_null(texts, ""))
@@ -59,16 +59,25 @@ class Tokens:
         split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
         numbered = split.flatten().dictionary_encode()
         names = numbered.dictionary.to_pylist()
-        at = numbered.indices.to_numpy()
+        ids = numbered.indices.to_numpy()
         begin = split.offsets.to_numpy() - split.offsets[0].as_py()
         if "" in names:  # a text without words
-            keep = at != names.index("")
+            keep = ids != names.index("")
             begin = np.append(0, np.cumsum(keep))[begin]
-            at = at[keep]
-        w, q = _hash(names)
-        self.w, self.q, self.begin = w[at], q[at], begin
-        self.v = np.append(_START, self.w[:-1])[: len(at)]
-        self.v[begin[:-1][begin[:-1] < len(at)]] = _START
+            ids = ids[keep]
+        self.words, self.prefixes = _hash(names)
+        self.ids, self.begin = ids, begin
+
+    def starts(self) -> np.ndarray:
+        """Places of first words."""
+        return self.begin[:-1][np.diff(self.begin) > 0]
+
+    def before(self, values: np.ndarray, none) -> np.ndarray:
+        """Values by place, shifted to the next word; none for first words."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts()] = none
+        return out
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin))
@@ -96,24 +105,28 @@ class Model:
     back: np.ndarray  # 2 x words: weight of the backoff after this word (1: never seen before another)
     pairs: np.ndarray
     p_pair: np.ndarray  # 2 x pairs: discounted bigram probability
+    leads: np.ndarray  # words that begin, and that end, one of the pairs
+    follows: np.ndarray
     prefixes: np.ndarray
     p_prefix: np.ndarray  # 2 x prefixes
     p_rare: np.ndarray  # 2: probability of a word outside the vocabulary, times that of an unknown prefix
 
     def evidence(self, t: Tokens) -> np.ndarray:
         """Per word: log of its toxic over its ordinary probability."""
-        at, before = _find(self.words, t.w), _find(self.words, t.v)
-        rare = at < 0
-        p = np.where(rare, 0.0, self.p_word[:, np.maximum(at, 0)]) if len(self.words) else np.zeros((2, len(at)))
-        if rare.any():
-            q = _find(self.prefixes, t.q[rare])
-            known = self.p_prefix[:, np.maximum(q, 0)] if len(self.prefixes) else np.zeros((2, len(q)))
-            p[:, rare] = np.where(q < 0, self.p_rare[:, None], known)
+        of = _find(self.words, t.words)
+        p = np.zeros((2, len(of)))
+        rare = of < 0
+        p[:, ~rare] = self.p_word[:, of[~rare]]
+        q = _find(self.prefixes, t.prefixes[rare])
+        p[:, rare] = np.where(q < 0, self.p_rare[:, None], self.p_prefix[:, np.maximum(q, 0)] if len(self.prefixes) else 0.0)
+        p, at = p[:, t.ids], of[t.ids]
+        before = t.before(at, -1)
         if len(self.words):
             p *= np.where(before < 0, 1.0, self.back[:, np.maximum(before, 0)])
         if len(self.pairs):
-            both = np.flatnonzero(~rare & (before >= 0))
-            k = _find(self.pairs, _pair(t.v[both], t.w[both]))
+            both = np.flatnonzero((at >= 0) & (before >= 0))
+            both = both[self.leads[before[both]] & self.follows[at[both]]]
+            k = _find(self.pairs, _pair(self.words[before[both]], self.words[at[both]]))
             hit = k >= 0
             p[:, both[hit]] += self.p_pair[:, k[hit]]
         return np.log(p[1] + 1e-300) - np.log(p[0] + 1e-300)
@@ -175,8 +188,10 @@ def bigrams(train: DataFrame) -> DataFrame:
         for t in _grouped(batches):
             toxic, tokens = t["toxic"].to_numpy(), Tokens(_column(t, "text"))
             cls = toxic[tokens.owner()] > 0
+            every = tokens.words[tokens.ids]
+            preceding = tokens.before(every, _START)
             for c in (False, True):
-                v, w, q = tokens.v[cls == c], tokens.w[cls == c], tokens.q[cls == c]
+                v, w, q = preceding[cls == c], every[cls == c], tokens.prefixes[tokens.ids[cls == c]]
                 _, first, n = np.unique(_pair(v, w), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), int(c), np.int32)), _signed(v[first]), _signed(w[first]), _signed(q[first]), pa.array(n.astype(np.int32))], ["toxic", "v", "w", "q", "n"])
 
@@ -192,10 +207,10 @@ def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int
         df, every = np.zeros(len(vocab) + 1, np.int64), 0
         for t in _grouped(batches):
             x = Tokens(_column(t, "text"))
-            at = _find(vocab, x.w)
+            at = _find(vocab, x.words)[x.ids]
             own = x.owner()[at >= 0] * (len(vocab) + 1) + at[at >= 0]
             df += np.bincount(np.unique(own) % (len(vocab) + 1), minlength=len(df))
-            every += len(x.w)
+            every += len(x.ids)
         df[-1] = every
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k])], ["k", "n"])
@@ -259,7 +274,8 @@ def fit_model(docs: DataFrame, train: DataFrame) -> Model:
         back[c] = np.maximum(1 - np.bincount(h, weights=p_pair[c], minlength=len(words)), 1e-3)
     key = _pair(big["v"], big["w"])
     order = np.argsort(key)
-    return Model(words, p_word, back, key[order], p_pair[:, order], prefixes, p_prefix, p_rare)
+    leads, follows = (np.bincount(_find(words, big[k]), minlength=len(words)) > 0 for k in ("v", "w"))
+    return Model(words, p_word, back, key[order], p_pair[:, order], leads, follows, prefixes, p_prefix, p_rare)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
