@@ -26,7 +26,7 @@ from .common import need, prepare, stored
 MAX_ROWS, VOCABULARY, BIGRAMS, PREFIXES = 30_000, 250_000, 400_000, 100_000
 PREFIX, DISCOUNT = 4, 0.75
 #: Contexts from which a word is in the vocabulary; occurrences from which a bigram is kept.
-MIN_CONTEXTS, MIN_BIGRAM = 3, 3
+MIN_CONTEXTS, MIN_BIGRAM = 4, 3
 #: Words whose evidence counts as a text's strongest; words of a segment.
 TOP, SEGMENT = 3, 64
 THRESHOLD = 0.3
