@@ -62,20 +62,31 @@ def drop_scratch() -> None:
             continue
 
 
-def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, few: int = 0) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    few: for tables that are small beside the corpus, so that they don't become as many small files as there are shuffle
-    partitions; the number still follows the cluster's cores and its setting of shuffle partitions.
+    few: one file for so many shuffle partitions, for tables that are small beside the corpus; never fewer files than cores.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if few:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
-    df.write.parquet(path)
+    (in_files(df, few) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, few: int) -> DataFrame:
+    """A shuffled df in one partition for `few` shuffle partitions; never fewer than cores."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // few))
+
+
+def in_splits(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, made from source without a shuffle, in as many partitions as source's bytes fill whole input splits; at least two a core."""
+    spark = df.sparkSession
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.coalesce(min(max(2 * spark.sparkContext.defaultParallelism, -(-size // max(1, split))), 1_000_000))
+
+
 def need(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Exactly these columns, cast; columns that a table lacks are null. Others are left out, so names can't clash."""
     have = set(df.columns)

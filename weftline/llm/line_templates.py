@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, stored
+from .common import in_files, in_splits, need, stored
 
 #: Leading tokens of a path; stretches that may be variable; tokens from which lines are generalised.
 LEADING, STRETCHES, GENERAL_TOKENS = 3, 3, 8
@@ -63,13 +63,13 @@ def _recurring(held: DataFrame, template: list[str]) -> DataFrame:
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, drop (line numbers): lines of recurring templates, but for those in the template's first document."""
-    every = stored(lines(docs), "lines")
+    every = stored(in_splits(lines(docs), docs), "lines")
     exact = _recurring(every, ["leaf", "hash"])
     flagged = every.join(exact, ["leaf", "hash"]).select("doc_id", "text_key", "line", "first")
     long = every.where(F.col("general").isNotNull())
     # Leaves that can hold a generalised template: several lines and enough families.
     leaf = long.groupBy("leaf").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.min("family").alias("flo"), F.max("family").alias("fhi")).where("lo <> hi and flo <> fhi").select("leaf")
-    held = stored(long.join(leaf, "leaf", "left_semi").select("doc_id", "text_key", "line", "n", "leaf", "family", F.explode("general").alias("template")), "general", few=True)
+    held = stored(long.join(leaf, "leaf", "left_semi").select("doc_id", "text_key", "line", "n", "leaf", "family", F.explode("general").alias("template")), "general", few=8)
     wide = _recurring(held, ["leaf", "template"])
     flagged = reduce(DataFrame.unionByName, [flagged, held.join(wide, ["leaf", "template"]).select("doc_id", "text_key", "line", "first")])
     again = flagged.where(~F.col("doc_id").eqNullSafe(F.col("first")))
@@ -87,4 +87,4 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & key, "left")
     parts = F.split("text", "\n", -1)
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    return joined.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)), "text": F.when(F.col("__drop").isNotNull(), left).otherwise(F.col("text"))}).drop("__d", "__k", "__drop")
+    return in_files(joined, 4).withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)), "text": F.when(F.col("__drop").isNotNull(), left).otherwise(F.col("text"))}).drop("__d", "__k", "__drop")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, prepare, stored
+from .common import in_files, in_splits, need, prepare, stored
 
 SHINGLE, PERCENT = 5, 75
 #: Registers, rows of a band: two sets of similarity 0.75 share none of the 32 bands with a chance of 5e-6.
@@ -177,7 +177,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of every node that has a link a, b and is not its component's smallest itself. Large-star and small-star steps until nothing changes; each round is written out."""
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", few=True)
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", few=32)
     state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(rounds):
         if not state[0]:
@@ -187,7 +187,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
-        edges = stored(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links", few=True)
+        edges = stored(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links", few=32)
         before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == state:
             break
@@ -218,8 +218,8 @@ def _unresolved(members: DataFrame, labels: DataFrame, texts: DataFrame) -> Data
     per = own.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     open_ = per.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     open_ = open_.select("band", "key", F.col("top.component").alias("major"), F.ceil((F.col("total") - F.col("top.n")) / MINOR_BLOCK).cast("int").alias("nj"), F.ceil(F.col("total") / MEMBER_BLOCK).cast("int").alias("ni"))
-    there = stored(own.join(open_, ["band", "key"]), "open-members", few=True)
-    samples = stored(_samples(texts.join(there.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "samples", few=True)
+    there = stored(own.join(open_, ["band", "key"]), "open-members", few=32)
+    samples = stored(_samples(texts.join(there.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "samples", few=32)
     j, i = F.pmod(F.xxhash64("node"), F.col("nj")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("ni")).cast("int")
     placed = there.withColumn("home", i).withColumn("own_j", F.when(F.col("component") != F.col("major"), j))
     resident = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("i", F.col("home")).withColumn("minor", F.coalesce(F.col("j") == F.col("own_j"), F.lit(False))).withColumn("resident", F.lit(True))
@@ -239,15 +239,20 @@ def _compare(t: pa.Table) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     holders, first = of[order], np.searchsorted(ids[order], np.arange(ids.max() + 2))
     a, b = [], []
+    met: set[tuple[int, int]] = set()  # pairs of components with a link beyond doubt: one such link joins them
     for x in np.flatnonzero(minor).tolist():
         mine = ids[begin[x] : begin[x + 1]]
         common = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in mine.tolist()]), minlength=len(codes))
         # Of samples, at least this share is common to sets that may be similar.
         some = np.flatnonzero(resident & (comp != comp[x]) & (100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])) & (100 * common >= 50 * np.minimum(len(mine), np.diff(begin))))
-        for y in some.tolist():
-            if _sampled(codes[x], codes[y], int(size[x]), int(size[y]), int(common[y])):
-                a.append(max(node[x], node[y]))
-                b.append(min(node[x], node[y]))
+        for y in some[np.argsort(-common[some], kind="stable")].tolist():
+            both = (min(comp[x], comp[y]), max(comp[x], comp[y]))
+            if both in met or not _sampled(codes[x], codes[y], int(size[x]), int(size[y]), int(common[y])):
+                continue
+            if max(size[x], size[y]) <= SAMPLE and 100 * (common[y] - 1) >= PERCENT * (size[x] + size[y] - common[y] + 1):
+                met.add(both)  # even if two of the codes are equal by chance
+            a.append(max(node[x], node[y]))
+            b.append(min(node[x], node[y]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -267,25 +272,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null or blank texts have no shingles and no links. A null doc_id has no links, a null component_id, and is kept.
     Rows that share a doc_id are one document: any of their texts' links hold, and all are kept or none.
     """
-    all_ = stored(sketches(docs), "sketches")
+    all_ = stored(in_splits(sketches(docs), docs), "sketches")
     some = all_.where("n > 0 and doc_id is not null")
-    classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes", few=True)
-    sets = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").dropDuplicates(["node", "n"]), "sets", few=True)
+    classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes", few=32)
+    sets = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").dropDuplicates(["node", "n"]), "sets", few=8)
     keys = sets.select("node", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("tinyint"))
     shared = keys.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = stored(keys.join(shared, ["band", "key"]), "members", few=True)
+    members = stored(keys.join(shared, ["band", "key"]), "members", few=8)
     starred = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     first = _estimated(starred, sets).groupBy("a").agg(F.min("b").alias("b"))
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(_texts(docs).join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), "texts", few=True)
-    links = stored(_confirmed(first, texts), "first-links", few=True)
-    more = stored(_unresolved(members.drop("centre"), components(links), texts), "open", few=True)
+    texts = stored(_texts(docs).join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), "texts", few=8)
+    links = stored(_confirmed(first, texts), "first-links", few=32)
+    more = stored(_unresolved(members.drop("centre"), components(links), texts), "open", few=32)
     if more.limit(1).count():
-        links = stored(links.unionByName(_confirmed(more, texts)), "all-links", few=True)
+        links = stored(links.unionByName(_confirmed(more, texts)), "all-links", few=32)
     # Sets of one doc_id, if it has several, and members of a class are linked through their class.
     same = some.join(classes, "set_id").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     repeated = same.join(classes.select(F.col("node").alias("a")), "a", "left_semi")
     found = components(links.unionByName(repeated))
     label = classes.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     out = all_.withColumn("set_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))).join(label, "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return in_files(out, 4).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

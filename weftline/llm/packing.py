@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, prepare, stored
+from .common import in_splits, need, prepare, stored
 
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -215,7 +215,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     repeated rows are packed as often as they occur; other columns are ignored.
     The token pass writes its short rows to the shared folder; only those are shuffled.
     """
-    pieces = stored(tokenized_pieces(docs, tokenizer_path, seq_len, end_id), "pieces")
+    pieces = stored(in_splits(tokenized_pieces(docs, tokenizer_path, seq_len, end_id), docs), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def fill(key: tuple, t: pa.Table) -> pa.Table:

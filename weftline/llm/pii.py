@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, stored
+from .common import in_splits, need, stored
 
 #: kind -> (pattern, a character without which no match exists). The look-around and possessive forms match exactly what the plain
 #: patterns do, leftmost and without overlap, but in linear time and without recursion.
@@ -131,9 +131,9 @@ def find_private(docs: DataFrame, disclosure: float = DISCLOSURE, support: int =
 
     Null texts count as empty; null doc_ids stay; equal rows get equal results; an empty table gives no rows; other columns are ignored.
     """
-    found = stored(mentions(docs), "mentions")
-    near = stored(nearby_terms(found), "nearby", few=True)
-    pairs = disclosing(near, stored(term_counts(docs), "counts", few=True), disclosure, support)
+    found = stored(in_splits(mentions(docs), docs), "mentions")
+    near = stored(nearby_terms(found), "nearby", few=32)
+    pairs = disclosing(near, stored(term_counts(docs), "counts", few=8), disclosure, support)
     flagged = near.join(pairs, ["term", "entity"]).groupBy("doc_id", "text_key", "start", "end").agg(F.min("general").alias("general"))
     terms = flagged.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "general"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,general:string>>")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, prepare, stored
+from .common import in_splits, need, prepare, stored
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 SYMBOLS = b"#*$%&|<>"
@@ -161,7 +161,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delt
     twice counts as good if any label says so. No labels: nothing but the base rules rejects.
     What reaches the driver is strata x rules x bins x 2 counts.
     """
-    s = stored(stats(docs), "stats")
+    s = stored(in_splits(stats(docs), docs), "stats")
     marks = need(labels, {"doc_id": "long", "quality": "int"}).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
     once = s.where(~base_failed()).dropna(subset=["doc_id"])
     held = once.join(marks, "doc_id").withColumn("stratum", stratum())

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, prepare, stored
+from .common import in_splits, need, prepare, stored
 
 MAX_ROWS, VOCABULARY, BIGRAMS, PREFIXES = 30_000, 250_000, 400_000, 100_000
 PREFIX, DISCOUNT = 4, 0.75
@@ -228,9 +228,9 @@ def _by(df: DataFrame, columns: list[str]) -> dict[str, np.ndarray]:
 
 def fit_model(docs: DataFrame, train: DataFrame) -> Model:
     """The class models from train (toxic, text), shared counts from docs."""
-    table = stored(bigrams(train), "bigrams", few=True)
+    table = stored(bigrams(train), "bigrams", few=8)
     side = lambda c, k: F.sum(F.when(F.col("toxic") == c, F.col(k) if k else 1).otherwise(0))
-    by_w = stored(table.groupBy("w", "q").agg(side(0, None).alias("o"), side(1, None).alias("t")), "words", few=True)
+    by_w = stored(table.groupBy("w", "q").agg(side(0, None).alias("o"), side(1, None).alias("t")), "words", few=32)
     listed = by_w.where((F.col("o") >= MIN_CONTEXTS) | (F.col("t") >= MIN_CONTEXTS)).orderBy(F.desc(F.col("o") + F.col("t")), "w").limit(VOCABULARY)
     x = _by(listed, ["w", "o", "t"])
     order = np.argsort(x["w"])
@@ -246,7 +246,7 @@ def fit_model(docs: DataFrame, train: DataFrame) -> Model:
     # A rare word's prefix: in how many word types of either class it occurs, discounted into what both share.
     in_vocab = listed.select(F.col("w"), F.lit(1).alias("listed"))
     rare = by_w.join(F.broadcast(in_vocab), "w", "left").where("listed is null").groupBy("q").agg(F.sum(F.when(F.col("o") > 0, 1).otherwise(0)).alias("o"), F.sum(F.when(F.col("t") > 0, 1).otherwise(0)).alias("t"))
-    rare = stored(rare, "prefixes", few=True)
+    rare = stored(rare, "prefixes", few=32)
     x = _by(rare.orderBy(F.desc(F.col("o") + F.col("t")), "q").limit(PREFIXES), ["q", "o", "t"])
     order = np.argsort(x["q"])
     prefixes, nq = x["q"][order], np.array([x["o"][order], x["t"][order]], float).reshape(2, -1)
@@ -298,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> tuple[Model, np.ndarr
     """The models, and the logistic curve's coefficients. learn: condition on doc_id for rows whose label may be used."""
     spark = docs.sparkSession
     base = _texts(docs)
-    chosen = stored(sampled_labels(labels, learn if learn is not None else F.lit(True)), "labels", few=True)
+    chosen = stored(sampled_labels(labels, learn if learn is not None else F.lit(True)), "labels", few=32)
     train = base.join(F.broadcast(chosen), "doc_id")
     fitted = fit_model(base, train.where("part < 4"))
     model = spark.sparkContext.broadcast(fitted)
@@ -347,7 +347,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, learn=None, threshold: floa
         for t in _grouped(batches):
             yield from t.filter(pa.array(rate(_column(t, "text")) < threshold)).to_batches()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return in_splits(docs.mapInArrow(keep, docs.schema), docs)
 
 
 def _column(t: pa.Table, name: str) -> pa.Array:
