@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import line_templates, near_dup, packing, phrase_index, toxicity
-from weftline.llm.common import crc_mod, stored, table
+from weftline.llm.common import crc_mod, in_files, stored, table
 from weftline.llm.queries import MAX_TOKENS, tokenizer_path
 
 #: Fitted models and greedy packing have no SQL form; tests hold the stages against brute force.
@@ -29,7 +29,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
     extra = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    return in_files(docs.join(extra, "doc_id", "left_anti").select(docs.columns), 4)
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
