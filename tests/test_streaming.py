@@ -111,3 +111,32 @@ def test_filters(spark):
     assert names(allow=["Order"]) == {"Order"}
     assert names(allow=["^Ord"], deny=["Orders"]) == {"Order"}
     assert names(allow=[""]) == {""}
+
+
+def test_purge_and_require_all_exclude_each_other(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("'a' AS stream", "value AS index", "'t' AS event_type", "'' AS data")
+    with pytest.raises(ValueError, match="excludes"):
+        buffers.project(stream, done, require_all=True, purge_ms=1000)
+
+
+def test_health_abend(spark):
+    kind = "stream string, i long, index_next long, outcome string, attempt int, age_s double"
+    rows = [("a-ok", 0, 1, "ok", 1, 9.0), ("a-bad", 0, 0, "failed: X", 1, 4.0), ("a-stuck", 0, 0, "ok", 1, 5.0)]
+    r = spark.createDataFrame(rows, kind)
+    buffers.raise_if_unhealthy(r, 10)
+    with pytest.raises(buffers.Unhealthy, match="1 failing for up to 4 s, 1 stuck for up to 5 s"):
+        buffers.raise_if_unhealthy(r, 3)
+
+
+def test_index_epochs_and_gaps(spark, tmp_path):
+    from weftline.streaming.indexer import GapError, IndexTable
+
+    kind = "partition long, p string, index long, event_type string"
+    t = IndexTable(spark, str(tmp_path / "ix"), epoch_events=2, on_gap="error")
+    t.ingest(spark.createDataFrame([(0, "a", 0, "x"), (0, "a", 1, "x")], kind), 0)
+    t.ingest(spark.createDataFrame([(0, "a", 1, "x"), (0, "a", 2, "y")], kind), 1)
+    t.ingest(spark.createDataFrame([(0, "a", 1, "x"), (0, "a", 2, "y")], kind), 1)
+    assert {(r["epoch"], r["index"]) for r in t.rows().collect()} == {(0, 0), (0, 1), (1, 2)}
+    assert t.versions().first()["version"] == 3
+    with pytest.raises(GapError):
+        t.ingest(spark.createDataFrame([(0, "a", 5, "x")], kind), 2)

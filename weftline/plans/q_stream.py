@@ -10,7 +10,7 @@ from ..functions.names import category
 from ..operators import metrics
 from ..sources.feeds import paged
 from ..sources.tables import user_events
-from ..streaming import buffers, run, sinks
+from ..streaming import buffers, indexer, run, sinks
 from .catalog import query
 from .q_spans import USER, islands
 
@@ -127,3 +127,17 @@ def sink_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = sinks.handle_streams(user_events(spark, sf_dir).select("stream", "index", "event_type", "data"), handle).withColumn("attempt", F.lit(1))
     return metrics.counters(buffers.classify_health(r), "class").withColumnRenamed("n", "streams")
+
+
+@query("SELECT user_id % 8 AS partition, CAST(count(*) AS BIGINT) AS events, CAST(count(DISTINCT user_id) AS BIGINT) AS streams FROM events GROUP BY 1")
+def stream_index_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events recorded in the append index by micro-batches, each delivered twice."""
+    e = run.read_table_stream(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("partition"), F.concat(F.lit("User-"), F.col("user_id").cast("string")).alias("p"), F.col("event_id").alias("index"), "event_type")
+    table = indexer.IndexTable(spark, run.scratch(spark, "index"), epoch_events=1000)
+
+    def twice(df: DataFrame, batch_id: int) -> None:
+        table.ingest(df, batch_id)
+        table.ingest(df, batch_id)
+
+    run.for_each_batch(e, twice, run.scratch(spark, "index-state"))
+    return table.rows().groupBy("partition").agg(F.count("*").alias("events"), F.countDistinct("p").alias("streams"))

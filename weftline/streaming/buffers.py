@@ -23,16 +23,35 @@ class Malformed(Exception):
     """Raised by a handler: the stream stays stopped, its events buffered."""
 
 
-def project(events: DataFrame, handle: Handler, require_all: bool = False, max_events: int = 16384, max_attempts: int = 1) -> DataFrame:
+class Unhealthy(Exception):
+    """Streams that have failed or stood still for too long."""
+
+
+def raise_if_unhealthy(results: DataFrame, oldest_s: float) -> None:
+    """results: stream, attempt, outcome, i, index_next, age_s (of the oldest attempt without progress)."""
+    old = classify_health(results).join(results.groupBy("stream").agg(F.max("age_s").alias("age_s")), "stream").where((F.col("class") != "ok") & (F.col("age_s") > oldest_s))
+    found = {r["class"]: (r["n"], r["age"]) for r in old.groupBy("class").agg(F.count("*").alias("n"), F.max("age_s").alias("age")).collect()}
+    if found:
+        raise Unhealthy(", ".join(f"{n} {kind} for up to {age:.0f} s" for kind, (n, age) in sorted(found.items())))
+
+
+def project(events: DataFrame, handle: Handler, require_all: bool = False, max_events: int = 16384, max_attempts: int = 1, purge_ms: int | None = None) -> DataFrame:
     """Stream of handler results. events: stream, index, event_type, data (streaming).
 
     Events before the write position are dropped (repeated deliveries), the first copy of an index counts. Without require_all the head is
     handled even after a gap; with it only what begins at the write position (0 at first). A handler's error keeps its events for the stream's next rows;
     next index = head means no progress (outcome kept), a next index beyond the events drops future ones up to it.
+    purge_ms: forget streams without waiting events after so long; not with require_all, which must know where each stream stands.
     """
+    if require_all and purge_ms is not None:
+        raise ValueError("require_all excludes purging")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stream = key[0]
+        if state.hasTimedOut:
+            if state.get[2] == "[]" and not state.get[1]:
+                state.remove()
+            return
         known, malformed, waiting = state.get if state.exists else (None, False, "[]")
         old = pd.read_json(_io(waiting), orient="records", dtype={"index": "int64", "event_type": str, "data": str}) if waiting != "[]" else None
         rows = pd.concat([x for x in [old, *frames] if x is not None and len(x)], ignore_index=True)
@@ -63,10 +82,12 @@ def project(events: DataFrame, handle: Handler, require_all: bool = False, max_e
             pos = max(pos or 0, after)
         rows = rows[rows["index"] >= (pos or 0)] if len(rows) else rows
         state.update((pos, malformed, rows[["index", "event_type", "data"]].to_json(orient="records") if len(rows) else "[]"))
+        if purge_ms is not None:
+            state.setTimeoutDuration(purge_ms)
         yield pd.DataFrame(out, columns=["stream", "i", "index_next", "outcome", "n_events"])
 
     rows = events.select("stream", "index", "event_type", "data")
-    return rows.groupBy("stream").applyInPandasWithState(step, RESULT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("stream").applyInPandasWithState(step, RESULT, _STATE, "append", GroupStateTimeout.NoTimeout if purge_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def range_(n: int):
