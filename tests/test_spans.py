@@ -164,3 +164,12 @@ def test_chunks_keep_everything(spark):
         assert sum(own) == r["bytes"]
         assert len(own) == 1 or (len(own) <= 5 and sum(own) <= 60)
     assert sum(r["next"] - r["i"] for r in got) == len(rows)
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 1000])
+def test_long_streams_in_stretches(spark, bucket):
+    rng = random.Random(4)
+    rows = [(f"s{k % 3}", rng.randint(0, 120), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "stream string, index long, arrival long")
+    as_set = lambda d: {(r["stream"], r["i"], r["next"], r["n"]) for r in d.collect()}
+    assert as_set(spans.merge_events(df, ["arrival"], bucket=bucket)) == as_set(spans.merge_events(df, ["arrival"]))

@@ -23,9 +23,17 @@ def w_index(key: str = "stream"):
     return Window.partitionBy(key).orderBy("index")
 
 
-def merge_events(events: DataFrame, arrival: Sequence[str], min_position: Column | None = None, key: str = "stream") -> DataFrame:
-    """stream, i, next, n: disjoint ordered spans of the events at or after min_position (of their row)."""
+def merge_events(events: DataFrame, arrival: Sequence[str], min_position: Column | None = None, key: str = "stream", bucket: int | None = None) -> DataFrame:
+    """stream, i, next, n: disjoint ordered spans of the events at or after min_position (of their row).
+
+    bucket: for streams so long that one task can't hold them. Stretches of so many indices are merged apart, then the few
+    spans of each stream are joined where they touch.
+    """
     rows = events if min_position is None else events.where(F.col("index") >= min_position)
+    if bucket:
+        part = rows.withColumn("__part", F.struct(F.col(key).alias("k"), F.floor(F.col("index") / bucket).alias("b")))
+        short = merge_events(part, arrival, key="__part").select(F.col("__part.k").alias(key), "i", "n")
+        return merge_index_spans(short, key).withColumn("n", F.col("next") - F.col("i"))
     spans = numbered_islands(rows, arrival, key).groupBy(key, "island").agg(F.min("index").alias("i"), F.count("*").alias("n"))
     return spans.select(key, "i", (F.col("i") + F.col("n")).alias("next"), "n")
 
