@@ -67,3 +67,15 @@ def write_result(i: Column, n: Column, actual: Column) -> tuple[Column, Column]:
     """(result, position) of an append of [i, n) to a stream that ends at actual."""
     kind = F.when(actual == i, "ok").when(actual < i, "prefix_missing").when(actual >= n, "duplicate").otherwise("partial_duplicate")
     return kind, F.when(actual == i, n).when(actual < i, i - actual).otherwise(actual)
+
+
+def append_at_expected(spans: DataFrame, versions: DataFrame) -> DataFrame:
+    """An optimistic append of spans (stream, i, next) to streams that end at versions (stream, version; absent: 0).
+
+    result and position as write_result says, and n_new: events that get appended, none where the prefix is missing.
+    """
+    actual = F.coalesce("version", F.lit(0))
+    kind, at = write_result(F.col("i"), F.col("next"), actual)
+    joined = spans.join(versions, "stream", "left")
+    fresh = F.when(F.col("i") <= actual, F.greatest(F.lit(0), F.col("next") - actual)).otherwise(F.lit(0))
+    return joined.select("stream", "i", "next", kind.alias("result"), at.cast("long").alias("position"), fresh.cast("long").alias("n_new"))

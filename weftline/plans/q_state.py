@@ -190,3 +190,12 @@ def union_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = user_events(spark, sf_dir).select(category(F.col("stream")).alias("category"), "event_type")
     handled = F.col("event_type").isin("click", "view")
     return e.where(handled).distinct().union(e.where(~handled).distinct()).distinct().groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH v AS (SELECT concat('Order-', l_orderkey) AS stream, CAST(max(l_linenumber) AS BIGINT) AS version FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_linenumber <= 3 GROUP BY 1), s AS (SELECT i.*, coalesce(version, 0) AS a FROM {islands(ORDER)} i LEFT JOIN v USING (stream))
+  SELECT CASE WHEN a = i THEN 'ok' WHEN a < i THEN 'prefix_missing' WHEN a >= next THEN 'duplicate' ELSE 'partial_duplicate' END AS result, CAST(count(*) AS BIGINT) AS spans, CAST(sum(CASE WHEN i <= a THEN greatest(0, next - a) ELSE 0 END) AS BIGINT) AS appended FROM s GROUP BY 1""")
+def sync_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = order_lines(spark, sf_dir)
+    held = o.where((F.col("shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")) & (F.col("index") < 3)).groupBy("stream").agg((F.max("index") + 1).alias("version"))
+    r = state.append_at_expected(spans.merge_events(o, LINE_ORDER), held)
+    return r.groupBy("result").agg(F.count("*").alias("spans"), F.sum("n_new").alias("appended"))
