@@ -69,7 +69,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     long = every.where(F.col("general").isNotNull())
     # Leaves that can hold a generalised template: several lines and enough families.
     leaf = long.groupBy("leaf").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.min("family").alias("flo"), F.max("family").alias("fhi")).where("lo <> hi and flo <> fhi").select("leaf")
-    held = stored(long.join(leaf, "leaf", "left_semi").select("doc_id", "text_key", "line", "n", "leaf", "family", F.explode("general").alias("template")), "general", few=8)
+    held = stored(long.join(leaf, "leaf", "left_semi").select("doc_id", "text_key", "line", "n", "leaf", "family", F.explode("general").alias("template")), "general", few=2)
     wide = _recurring(held, ["leaf", "template"])
     flagged = reduce(DataFrame.unionByName, [flagged, held.join(wide, ["leaf", "template"]).select("doc_id", "text_key", "line", "first")])
     again = flagged.where(~F.col("doc_id").eqNullSafe(F.col("first")))

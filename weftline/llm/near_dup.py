@@ -35,7 +35,7 @@ CENTRE_MEMBERS = 256
 #: Hashes of a set by which the members of unresolved buckets are compared.
 SAMPLE = 512
 _MOST = np.uint32(0xFFFFFFFF)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 _rest = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 _bounds = np.arange(K, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").dropDuplicates(["node", "n"]), "sets", few=8)
     keys = sets.select("node", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("tinyint"))
     shared = keys.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
-    members = stored(keys.join(shared, ["band", "key"]), "members", few=8)
+    members = stored(keys.join(shared, ["band", "key"]), "members", few=4)
     starred = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     first = _estimated(starred, sets).groupBy("a").agg(F.min("b").alias("b"))
     nodes = members.select(F.col("node").alias("doc_id")).distinct()

@@ -25,7 +25,7 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 #: Pieces per packer. A packer holds them as numbers (40 bytes each).
 GROUP_PIECES = 60_000
 #: Distinct chunks whose ids a worker keeps.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 300_000
 MARKS = frozenset(",.;:!?")
 
 _coders: dict[str, ChunkCoder] = {}

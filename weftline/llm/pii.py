@@ -133,7 +133,7 @@ def find_private(docs: DataFrame, disclosure: float = DISCLOSURE, support: int =
     """
     found = stored(in_splits(mentions(docs), docs), "mentions")
     near = stored(nearby_terms(found), "nearby", few=32)
-    pairs = disclosing(near, stored(term_counts(docs), "counts", few=8), disclosure, support)
+    pairs = disclosing(near, stored(term_counts(docs), "counts", few=2), disclosure, support)
     flagged = near.join(pairs, ["term", "entity"]).groupBy("doc_id", "text_key", "start", "end").agg(F.min("general").alias("general"))
     terms = flagged.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "general"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,general:string>>")

@@ -39,7 +39,7 @@ _hashes: dict[str, tuple[int, int]] = {}
 
 def _hash(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of words and of their prefixes."""
-    if len(_hashes) > 400_000:
+    if len(_hashes) > 200_000:
         _hashes.clear()
     out = []
     for w in words:
@@ -165,7 +165,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return need(docs, {"doc_id": "long", "text": "string"})
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], size: int = 6_000_000) -> Iterator[pa.Table]:
+def _grouped(batches: Iterator[pa.RecordBatch], size: int = 2_500_000) -> Iterator[pa.Table]:
     held, n = [], 0
     for b in batches:
         held.append(b)
@@ -228,7 +228,7 @@ def _by(df: DataFrame, columns: list[str]) -> dict[str, np.ndarray]:
 
 def fit_model(docs: DataFrame, train: DataFrame) -> Model:
     """The class models from train (toxic, text), shared counts from docs."""
-    table = stored(bigrams(train), "bigrams", few=8)
+    table = stored(bigrams(train), "bigrams", few=2)
     side = lambda c, k: F.sum(F.when(F.col("toxic") == c, F.col(k) if k else 1).otherwise(0))
     by_w = stored(table.groupBy("w", "q").agg(side(0, None).alias("o"), side(1, None).alias("t")), "words", few=32)
     listed = by_w.where((F.col("o") >= MIN_CONTEXTS) | (F.col("t") >= MIN_CONTEXTS)).orderBy(F.desc(F.col("o") + F.col("t")), "w").limit(VOCABULARY)
