@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_files, in_splits, need, prepare, stored
+from .common import in_files, in_splits, lean, need, prepare, stored
 
 SHINGLE, PERCENT = 5, 75
 #: Registers, rows of a band: two sets of similarity 0.75 share none of the 32 bands with a chance of 5e-6.
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bands.append(registers(h).view("<i8").tolist() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "bands"])
 
-    return _texts(docs).mapInArrow(sketch, "doc_id long, n long, set_id binary, bands array<long>")
+    return _texts(docs).mapInArrow(lean(sketch), "doc_id long, n long, set_id binary, bands array<long>")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -172,7 +172,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     found.append((doc_id, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(lean(check), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

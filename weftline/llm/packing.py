@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_splits, need, prepare, stored
+from .common import in_splits, lean, need, prepare, stored
 
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -143,7 +143,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048,
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
 
-    return need(docs, {"doc_id": "long", "text": "string"}).mapInArrow(cut, PIECES)
+    return need(docs, {"doc_id": "long", "text": "string"}).mapInArrow(lean(cut), PIECES)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.Table]:

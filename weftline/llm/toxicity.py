@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_splits, need, prepare, stored
+from .common import in_splits, lean, need, prepare, stored
 
 MAX_ROWS, VOCABULARY, BIGRAMS, PREFIXES = 30_000, 250_000, 400_000, 100_000
 PREFIX, DISCOUNT = 4, 0.75
@@ -34,20 +34,13 @@ _START = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(0xBF58476D1CE4E5B9)
 FEATURES = 5
 
-_hashes: dict[str, tuple[int, int]] = {}
 
 
 def _hash(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of words and of their prefixes."""
-    if len(_hashes) > 200_000:
-        _hashes.clear()
-    out = []
-    for w in words:
-        if (x := _hashes.get(w)) is None:
-            x = _hashes[w] = (xxhash.xxh64_intdigest(w), xxhash.xxh64_intdigest(w[:PREFIX], 7))
-        out.append(x)
-    both = np.array(out, np.uint64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+    h = xxhash.xxh64_intdigest
+    n = len(words)
+    return np.fromiter(map(h, words), np.uint64, n), np.fromiter((h(w[:PREFIX], 7) for w in words), np.uint64, n)
 
 
 class Tokens:
@@ -195,7 +188,7 @@ def bigrams(train: DataFrame) -> DataFrame:
                 _, first, n = np.unique(_pair(v, w), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), int(c), np.int32)), _signed(v[first]), _signed(w[first]), _signed(q[first]), pa.array(n.astype(np.int32))], ["toxic", "v", "w", "q", "n"])
 
-    return train.select("toxic", "text").mapInArrow(count, "toxic int, v long, w long, q long, n int").groupBy("toxic", "v", "w").agg(F.first("q").alias("q"), F.sum("n").alias("n"))
+    return train.select("toxic", "text").mapInArrow(lean(count), "toxic int, v long, w long, q long, n int").groupBy("toxic", "v", "w").agg(F.first("q").alias("q"), F.sum("n").alias("n"))
 
 
 def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
@@ -216,7 +209,7 @@ def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k])], ["k", "n"])
 
     out = np.zeros(len(words) + 1, np.int64)
-    got = _texts(docs).select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    got = _texts(docs).select("text").mapInArrow(lean(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out[got["k"].to_numpy()] = got["n"].to_numpy()
     return out[:-1], int(out[-1])
 
@@ -308,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> tuple[Model, np.ndarr
             x = model.value.features(Tokens(_column(t, "text")))
             yield pa.RecordBatch.from_arrays([_column(t, "toxic"), _column(t, "weight"), *[pa.array(c) for c in x.T]], ["toxic", "weight", *[f"x{k}" for k in range(FEATURES)]])
 
-    got = train.where("part = 4").select("toxic", "weight", "text").mapInArrow(features, "toxic int, weight double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
+    got = train.where("part = 4").select("toxic", "weight", "text").mapInArrow(lean(features), "toxic int, weight double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
     x = np.stack([got[f"x{k}"].to_numpy() for k in range(FEATURES)], 1) if got.num_rows else np.zeros((0, FEATURES))
     return fitted, fit_logistic(x, got["toxic"].to_numpy().astype(float), got["weight"].to_numpy())
 
@@ -336,7 +329,7 @@ def score(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = THR
             p = rate(_column(t, "text"))
             yield pa.RecordBatch.from_arrays([_column(t, "doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return _texts(docs).mapInArrow(scores, "doc_id long, score double, predicted int")
+    return _texts(docs).mapInArrow(lean(scores), "doc_id long, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = THRESHOLD) -> DataFrame:
@@ -347,7 +340,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, learn=None, threshold: floa
         for t in _grouped(batches):
             yield from t.filter(pa.array(rate(_column(t, "text")) < threshold)).to_batches()
 
-    return in_splits(docs.mapInArrow(keep, docs.schema), docs)
+    return in_splits(docs.mapInArrow(lean(keep), docs.schema), docs)
 
 
 def _column(t: pa.Table, name: str) -> pa.Array:
