@@ -136,6 +136,21 @@ def test_variable_fields_and_long_passages(spark, docs_of):
     assert line_templates.drop_recurring_lines(docs_of([])).count() == 0
 
 
+def test_passages_of_unrelated_documents(spark, docs_of):
+    rng = random.Random(21)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    one, several, vetoed = [line(60)], [line(10) for _ in range(6)], [line(9)]
+    rows = [(k, "\n\n".join([line(30) for _ in range(k % 3 + 1)] + (one if k < 300 else several))) for k in range(600)]
+    rows += [(1000 + k, "\n".join([line(20), *vetoed])) for k in range(5)]
+    whole = [line(10) for _ in range(20)]
+    edited = lambda at: [line(10) if k == at else x for k, x in enumerate(whole)]
+    rows += [(2000 + k, "\n".join([*edited(k % 20), *vetoed])) for k in range(200)]
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(docs_of(rows)).collect()}
+    assert [got[k]["n_dropped"] for k in (0, 300, 1000)] == [0, 0, 0]
+    assert all(got[k]["n_dropped"] == 1 for k in [*range(1, 300), *range(1001, 1005), *range(2000, 2200)])
+    assert all(got[k]["n_dropped"] == 6 for k in range(301, 600))
+
+
 def syllables(rng, parts, n):
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
