@@ -214,6 +214,28 @@ def test_toxicity(spark, docs_of):
     assert toxicity.score(docs_of([]), none).count() == 0
 
 
+def test_toxicity_counts_every_word(spark, docs_of):
+    rows, marks = toxic_rows(random.Random(14), 60)
+    rows = [(k, f"{t} once{k}") for k, t in rows] + [(500, "other words"), (501, "other other"), (502, None)]
+    docs = docs_of(rows)
+    h = lambda w: xxhash.xxh64_intdigest(w)
+    counts = {r["w"] % (1 << 64): r["n"] for r in toxicity.document_counts(docs).collect()}
+    texts = [set((t or "").split()) for _, t in rows]
+    assert counts == {h(w): sum(w in t for t in texts) for w in set().union(*texts)}
+    label = dict(marks)
+    train = spark.createDataFrame([(label[k], t) for k, t in rows if k in label], "toxic int, text string")
+    model = toxicity.fit_model(docs, train)
+    known = [t.split() for k, t in rows if k in label]
+    assert set(model.words.tolist()) == {h(w) for t in known for w in t} | {int(toxicity._START)}
+    assert len(model.pairs) == len({p for t in known for p in zip([None, *t], t)})
+    p = dict(zip(model.words.tolist(), model.p_word.T))
+    assert p[h("once0")][1] > p[h("once0")][0] and p[h("once1")][0] > p[h("once1")][1]
+    # The model's words and the rest of the corpus share all of each class's probability.
+    shared = sum(n + 1 for n in counts.values())
+    rest = sum((counts[h(w)] + 1) / shared * model.p_none for w in ("other", "words"))
+    assert (model.p_word.sum(1) + rest).tolist() == pytest.approx([1, 1], abs=1e-4)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>
 <article><header><h1>Big &amp; small</h1></header><p>One<br>two&nbsp;&#233; <b>three</p><p>Four  \n five<p>Six <script>x</script>seven<ul><li>a<li>b</ul><aside>Side</aside><form><input value=1>Send</form>

@@ -1,16 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary labelled texts, back off to each class's continuation counts (in how many contexts a word
-occurs) and from there to counts that both share: in how many documents of the whole corpus the word occurs. Words outside
-the vocabulary go by their prefix. A text's log-likelihoods are normalised by its length; a logistic curve, fitted on labelled texts that the
+occurs), from there to the class's prefixes (how many of its words begin so), and last to counts that both share: in how many documents of the whole
+corpus each word, and so each prefix, occurs. A text's log-likelihoods are normalised by its length; a logistic curve, fitted on labelled texts that the
 models haven't seen, turns them into a score.
 
-Bounds: the models take at most MAX_ROWS labelled rows of either class, VOCABULARY words and BIGRAMS bigrams (the most widely used ones), so
-what is broadcast doesn't grow. The shared counts cover every document.
+Bounds: the models take at most MAX_ROWS labelled rows of either class, and all words and bigrams of these. The shared counts cover every word of every
+document, as a written table; of a word that no labelled text has, both classes take the same share of it, so their ratio doesn't need its count.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,20 +19,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_splits, lean, need, prepare, stored
 
-MAX_ROWS, VOCABULARY, BIGRAMS, PREFIXES = 30_000, 250_000, 400_000, 100_000
+MAX_ROWS = 30_000
 PREFIX, DISCOUNT = 4, 0.75
-#: Contexts from which a word is in the vocabulary; occurrences from which a bigram is kept.
-MIN_CONTEXTS, MIN_BIGRAM = 4, 3
 #: Words whose evidence counts as a text's strongest; words of a segment.
 TOP, SEGMENT = 3, 64
+#: Bigrams that the driver handles at once.
+STRETCH = 2_000_000
 THRESHOLD = 0.3
 _START = np.uint64(0x9E3779B97F4A7C15)
-_P = np.uint64(0xBF58476D1CE4E5B9)
 FEATURES = 5
 
 
@@ -84,25 +85,30 @@ def _find(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == keys, at, -1)
 
 
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    h = (v * _P) ^ w
-    return (h ^ (h >> np.uint64(31))) * _P
-
-
 @dataclass
 class Model:
     """Sorted keys and, by class (ordinary, toxic), their probabilities' parts."""
 
-    words: np.ndarray
+    words: np.ndarray  # with _START
     p_word: np.ndarray  # 2 x words: smoothed continuation probability
+    seen: np.ndarray  # 2 x words: occurrences before another word
     back: np.ndarray  # 2 x words: weight of the backoff after this word (1: never seen before another)
-    pairs: np.ndarray
-    p_pair: np.ndarray  # 2 x pairs: discounted bigram probability
-    leads: np.ndarray  # words that begin, and that end, one of the pairs
-    follows: np.ndarray
+    pairs: np.ndarray  # places of two words, the first one's in the high half
+    kinds: np.ndarray  # by pair, place of its counts
+    counts: np.ndarray  # 2 x kinds: the different counts of bigrams, discounted
     prefixes: np.ndarray
-    p_prefix: np.ndarray  # 2 x prefixes
-    p_rare: np.ndarray  # 2: probability of a word outside the vocabulary, times that of an unknown prefix
+    p_prefix: np.ndarray  # 2 x prefixes: of a word without labelled texts, but for the word's share in its prefix
+    p_none: np.ndarray  # 2: the same without a known prefix, but for the word's share in the corpus
+
+    def __getstate__(self) -> dict:
+        """The pairs, most of what is broadcast, as differences by byte and compressed: each executor holds several copies on disk."""
+        steps = np.diff(self.pairs, prepend=0).view(np.uint8).reshape(-1, 8).T
+        return self.__dict__ | {"pairs": zlib.compress(steps.tobytes(), 1), "kinds": (zlib.compress(self.kinds.tobytes(), 1), self.kinds.dtype.str)}
+
+    def __setstate__(self, state: dict) -> None:
+        steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(state["pairs"]), np.uint8).reshape(8, -1).T)
+        kinds, kind = state["kinds"]
+        self.__dict__ |= state | {"pairs": np.cumsum(steps.view(np.int64).ravel()), "kinds": np.frombuffer(zlib.decompress(kinds), kind)}
 
     def evidence(self, t: Tokens) -> np.ndarray:
         """Per word: log of its toxic over its ordinary probability."""
@@ -111,17 +117,17 @@ class Model:
         rare = of < 0
         p[:, ~rare] = self.p_word[:, of[~rare]]
         q = _find(self.prefixes, t.prefixes[rare])
-        p[:, rare] = np.where(q < 0, self.p_rare[:, None], self.p_prefix[:, np.maximum(q, 0)] if len(self.prefixes) else 0.0)
+        p[:, rare] = np.where(q < 0, self.p_none[:, None], self.p_prefix[:, np.maximum(q, 0)] if len(self.prefixes) else 0.0)
         p, at = p[:, t.ids], of[t.ids]
-        before = t.before(at, -1)
+        before = t.before(at, _find(self.words, np.array([_START]))[0])
         if len(self.words):
             p *= np.where(before < 0, 1.0, self.back[:, np.maximum(before, 0)])
         if len(self.pairs):
             both = np.flatnonzero((at >= 0) & (before >= 0))
-            both = both[self.leads[before[both]] & self.follows[at[both]]]
-            k = _find(self.pairs, _pair(self.words[before[both]], self.words[at[both]]))
-            hit = k >= 0
-            p[:, both[hit]] += self.p_pair[:, k[hit]]
+            keys, where = np.unique((before[both] << 32) | at[both], return_inverse=True)
+            k = _find(self.pairs, keys)[where]
+            both, k = both[k >= 0], k[k >= 0]
+            p[:, both] += self.counts[:, self.kinds[k]] / np.maximum(self.seen[:, before[both]], 1)
         return np.log(p[1] + 1e-300) - np.log(p[0] + 1e-300)
 
     def features(self, t: Tokens) -> np.ndarray:
@@ -174,101 +180,129 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def bigrams(train: DataFrame) -> DataFrame:
-    """toxic, v, w, q, n: bigrams of the labelled texts, counted per task."""
+def sample_words(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled texts' words, sorted, and their prefixes."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches):
+            x = Tokens(_column(t, "text"))
+            k = np.unique(x.ids)
+            yield pa.RecordBatch.from_arrays([_signed(x.words[k]), _signed(x.prefixes[k])], ["w", "q"])
+
+    x = _by(train.select("text").mapInArrow(lean(distinct), "w long, q long").groupBy("w").agg(F.first("q").alias("q")), ["w", "q"])
+    order = np.argsort(x["w"])
+    return x["w"][order], x["q"][order]
+
+
+def bigrams(train: DataFrame, words: np.ndarray) -> dict[str, np.ndarray]:
+    """pair, n: bigrams of the labelled texts as places in words (the first word's in the high half), and how often ordinary (low half) and toxic texts have them."""
+    shared = train.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = _find(shared.value, np.array([_START]))[0]
         for t in _grouped(batches):
             toxic, tokens = t["toxic"].to_numpy(), Tokens(_column(t, "text"))
-            cls = toxic[tokens.owner()] > 0
-            every = tokens.words[tokens.ids]
-            preceding = tokens.before(every, _START)
-            for c in (False, True):
-                v, w, q = preceding[cls == c], every[cls == c], tokens.prefixes[tokens.ids[cls == c]]
-                _, first, n = np.unique(_pair(v, w), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), int(c), np.int32)), _signed(v[first]), _signed(w[first]), _signed(q[first]), pa.array(n.astype(np.int32))], ["toxic", "v", "w", "q", "n"])
+            at = _find(shared.value, tokens.words)[tokens.ids]
+            pair, where = np.unique((tokens.before(at, start) << 32) | at, return_inverse=True)
+            is_toxic = toxic[tokens.owner()] > 0
+            n = np.bincount(where[~is_toxic], minlength=len(pair)) + (np.bincount(where[is_toxic], minlength=len(pair)) << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
-    return train.select("toxic", "text").mapInArrow(lean(count), "toxic int, v long, w long, q long, n int").groupBy("toxic", "v", "w").agg(F.first("q").alias("q"), F.sum("n").alias("n"))
+    got = _by(train.select("toxic", "text").mapInArrow(lean(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), ["pair", "n"])
+    shared.destroy()
+    return got
 
 
-def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many documents of the whole corpus each vocabulary word occurs, and the number of documents with words times the words they have."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def document_counts(docs: DataFrame) -> DataFrame:
+    """w, q, n: every word of the corpus, its prefix, and in how many documents it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        df, every = np.zeros(len(vocab) + 1, np.int64), 0
         for t in _grouped(batches):
             x = Tokens(_column(t, "text"))
-            at = _find(vocab, x.words)[x.ids]
-            own = x.owner()[at >= 0] * (len(vocab) + 1) + at[at >= 0]
-            df += np.bincount(np.unique(own) % (len(vocab) + 1), minlength=len(df))
-            every += len(x.ids)
-        df[-1] = every
-        k = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k])], ["k", "n"])
+            size = max(1, len(x.words))
+            df = np.bincount(np.unique(x.owner() * size + x.ids) % size, minlength=len(x.words))
+            k = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([_signed(x.words[k]), _signed(x.prefixes[k]), pa.array(df[k])], ["w", "q", "n"])
+
+    return _texts(docs).select("text").mapInArrow(lean(count), "w long, q long, n long").groupBy("w").agg(F.first("q").alias("q"), F.sum("n").alias("n"))
 
-    out = np.zeros(len(words) + 1, np.int64)
-    got = _texts(docs).select("text").mapInArrow(lean(count), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out[got["k"].to_numpy()] = got["n"].to_numpy()
-    return out[:-1], int(out[-1])
+
+def _counts_of(types: DataFrame, words: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """From document_counts: those of words; the sums of counts, one added to each word's, by prefix and of all words."""
+    shared = types.sparkSession.sparkContext.broadcast((words, prefixes))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, prefixes = shared.value
+        by_prefix = np.zeros(len(prefixes) + 1, np.int64)
+        for t in _grouped(batches):
+            w, q, n = (t[c].to_numpy() for c in ("w", "q", "n"))
+            at = _find(words, w.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(at[at >= 0]), pa.array(n[at >= 0])], ["k", "n"])
+            np.add.at(by_prefix, _find(prefixes, q.view(np.uint64)), n + 1)  # -1: the last
+        k = np.flatnonzero(by_prefix)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - k), pa.array(by_prefix[k])], ["k", "n"])
+
+    x = _by(types.mapInArrow(lean(look_up), "k long, n long"), ["k", "n"])
+    shared.destroy()
+    of_word, of_prefix = np.zeros(len(words), np.int64), np.zeros(len(prefixes) + 1, np.int64)
+    word = x["k"] >= 0
+    of_word[x["k"][word]] = x["n"][word]
+    np.add.at(of_prefix, -1 - x["k"][~word], x["n"][~word])
+    return of_word, of_prefix[:-1], float(max(1, of_prefix.sum()))
 
 
 def _by(df: DataFrame, columns: list[str]) -> dict[str, np.ndarray]:
     t = df.toArrow()
-    return {c: (t[c].to_numpy().view(np.uint64) if c in ("v", "w", "q") else t[c].to_numpy()) for c in columns}
+    return {c: (t[c].to_numpy().view(np.uint64) if c in ("w", "q") else t[c].to_numpy()) for c in columns}
+
+
+def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By class: discounted shares of the counts n (2 x keys), and what that leaves for the backoff (all, for a class without counts)."""
+    total = n.sum(1)
+    kept = np.maximum(n - DISCOUNT, 0)
+    return kept / np.maximum(total, 1)[:, None], np.where(total > 0, 1 - kept.sum(1) / np.maximum(total, 1), 1.0)
 
 
 def fit_model(docs: DataFrame, train: DataFrame) -> Model:
     """The class models from train (toxic, text), shared counts from docs."""
-    table = stored(bigrams(train), "bigrams", few=2)
-    side = lambda c, k: F.sum(F.when(F.col("toxic") == c, F.col(k) if k else 1).otherwise(0))
-    by_w = stored(table.groupBy("w", "q").agg(side(0, None).alias("o"), side(1, None).alias("t")), "words", few=32)
-    listed = by_w.where((F.col("o") >= MIN_CONTEXTS) | (F.col("t") >= MIN_CONTEXTS)).orderBy(F.desc(F.col("o") + F.col("t")), "w").limit(VOCABULARY)
-    x = _by(listed, ["w", "o", "t"])
-    order = np.argsort(x["w"])
-    words, n1 = x["w"][order], np.array([x["o"][order], x["t"][order]], float).reshape(2, -1)
-    all_n1 = by_w.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
-    total = np.array([max(1.0, float(all_n1["o"] or 0)), max(1.0, float(all_n1["t"] or 0))])
-    df, _ = document_counts(docs, words)
-    shared = (df + 1.0) / (df + 1.0).sum() if len(df) else df.astype(float)
-    kept = np.maximum(n1 - DISCOUNT, 0)
-    mass = n1.sum(1) / total  # share of contexts that lead to vocabulary words
-    spread = (n1.sum(1) - kept.sum(1)) / total
-    p_word = kept / total[:, None] + spread[:, None] * shared
-    # A rare word's prefix: in how many word types of either class it occurs, discounted into what both share.
-    in_vocab = listed.select(F.col("w"), F.lit(1).alias("listed"))
-    rare = by_w.join(F.broadcast(in_vocab), "w", "left").where("listed is null").groupBy("q").agg(F.sum(F.when(F.col("o") > 0, 1).otherwise(0)).alias("o"), F.sum(F.when(F.col("t") > 0, 1).otherwise(0)).alias("t"))
-    rare = stored(rare, "prefixes", few=32)
-    x = _by(rare.orderBy(F.desc(F.col("o") + F.col("t")), "q").limit(PREFIXES), ["q", "o", "t"])
-    order = np.argsort(x["q"])
-    prefixes, nq = x["q"][order], np.array([x["o"][order], x["t"][order]], float).reshape(2, -1)
-    all_q = rare.agg(F.sum("o").alias("o"), F.sum("t").alias("t")).first()
-    total_q = np.array([max(1.0, float(all_q["o"] or 0)), max(1.0, float(all_q["t"] or 0))])
-    both = nq.sum(0) + 1
-    spare = (nq - np.maximum(nq - DISCOUNT, 0)).sum(1) / total_q + 1 / total_q
-    outside = np.maximum(1 - mass, 1e-6)
-    p_prefix = outside[:, None] * (np.maximum(nq - DISCOUNT, 0) / total_q[:, None] + spare[:, None] * both / (both.sum() + 1))
-    p_rare = outside * spare / (both.sum() + 1)
-    # Histories and bigrams of vocabulary words.
-    by_v = _by(table.groupBy("v").agg(*[f.alias(k) for k, f in (("o", side(0, "n")), ("t", side(1, "n")), ("po", side(0, None)), ("pt", side(1, None)))]).where((F.col("o") >= MIN_BIGRAM) | (F.col("t") >= MIN_BIGRAM)).orderBy(F.desc(F.col("o") + F.col("t")), "v").limit(VOCABULARY), ["v", "o", "t", "po", "pt"])
-    at = _find(words, by_v["v"])
-    ok = at >= 0
-    seen, back = np.zeros((2, len(words))), np.ones((2, len(words)))
-    big = _by(table.where(F.col("n") >= MIN_BIGRAM).groupBy("v", "w").agg(side(0, "n").alias("o"), side(1, "n").alias("t")).orderBy(F.desc(F.col("o") + F.col("t")), "v", "w").limit(BIGRAMS), ["v", "w", "o", "t"])
-    held = (_find(words, big["v"]) >= 0) & (_find(words, big["w"]) >= 0)
-    big = {k: x[held] for k, x in big.items()}
-    h = _find(words, big["v"])
-    n2 = np.array([big["o"], big["t"]], float).reshape(2, -1)
-    for c, k in ((0, "o"), (1, "t")):
-        seen[c, at[ok]] = by_v[k][ok]
-    p_pair = np.maximum(n2 - DISCOUNT, 0) / np.maximum(seen[:, h], 1)
-    for c in (0, 1):  # what the kept bigrams leave is for the backoff
-        back[c] = np.maximum(1 - np.bincount(h, weights=p_pair[c], minlength=len(words)), 1e-3)
-    key = _pair(big["v"], big["w"])
-    order = np.argsort(key)
-    leads, follows = (np.bincount(_find(words, big[k]), minlength=len(words)) > 0 for k in ("v", "w"))
-    return Model(words, p_word, back, key[order], p_pair[:, order], leads, follows, prefixes, p_prefix, p_rare)
+    found, of = sample_words(train)
+    words = np.union1d(found, np.array([_START] if len(found) else [], np.uint64))
+    place, prefixes = _find(words, found), np.unique(of)
+    q = _find(prefixes, of)
+    of_word, of_prefix, every = _counts_of(stored(document_counts(docs), "types", few=2), found, prefixes)
+    pairs, n = bigrams(train, words).values()
+    # Few different counts: places of these instead of counts, and stretches of pairs, keep the driver's memory low.
+    both = np.unique(n)
+    by_kind = np.array([both & 0xFFFFFFFF, both >> 32], float).reshape(2, -1)
+    kinds = np.empty(len(n), np.uint16 if len(both) <= 1 << 16 else np.uint32)
+    for k in range(0, len(n), STRETCH):
+        kinds[k : k + STRETCH] = np.searchsorted(both, n[k : k + STRETCH])
+    del n
+    order = np.argsort(pairs)
+    pairs, kinds = pairs[order], kinds[order]
+    del order
+    contexts, seen, types = (np.zeros((2, len(words))) for _ in range(3))
+    for k in range(0, len(pairs), STRETCH):
+        part, of_kind = pairs[k : k + STRETCH], by_kind[:, kinds[k : k + STRETCH]]
+        for c in (0, 1):
+            has = of_kind[c] > 0
+            history = part[has] >> 32
+            contexts[c] += np.bincount(part[has] & 0xFFFFFFFF, minlength=len(words))
+            seen[c] += np.bincount(history, weights=of_kind[c][has], minlength=len(words))
+            types[c] += np.bincount(history, minlength=len(words))
+    # What a history's bigrams leave is for the backoff.
+    back = np.where(seen > 0, DISCOUNT * types / np.maximum(seen, 1), 1.0).astype(np.float32)
+    seen = seen.astype(np.float32)
+    counts = np.maximum(by_kind - DISCOUNT, 0)
+    contexts = contexts[:, place]
+    # Prefixes: in how many words of either class, discounted into how often the corpus has them.
+    kept, spare = _discounted(np.array([np.bincount(q[x > 0], minlength=len(prefixes)) for x in contexts], float))
+    p_prefix = kept + spare[:, None] * of_prefix / every
+    # Words: in how many contexts of either class, discounted into their prefixes' and their share of these.
+    kept, spread = _discounted(contexts)
+    p_word = np.zeros((2, len(words)), np.float32)
+    p_word[:, place] = kept + spread[:, None] * p_prefix[:, q] * ((of_word + 1) / of_prefix[q])
+    return Model(words, p_word, seen, back, pairs, kinds, counts, prefixes, spread[:, None] * p_prefix, spread * spare)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -287,14 +321,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn=None) -> tuple[Model, np.ndarray]:
-    """The models, and the logistic curve's coefficients. learn: condition on doc_id for rows whose label may be used."""
+def fit(docs: DataFrame, labels: DataFrame, learn=None) -> tuple[Broadcast, np.ndarray]:
+    """The models, broadcast, and the logistic curve's coefficients. learn: condition on doc_id for rows whose label may be used."""
     spark = docs.sparkSession
     base = _texts(docs)
     chosen = stored(sampled_labels(labels, learn if learn is not None else F.lit(True)), "labels", few=32)
     train = base.join(F.broadcast(chosen), "doc_id")
-    fitted = fit_model(base, train.where("part < 4"))
-    model = spark.sparkContext.broadcast(fitted)
+    model = spark.sparkContext.broadcast(fit_model(base, train.where("part < 4")))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
@@ -303,12 +336,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> tuple[Model, np.ndarr
 
     got = train.where("part = 4").select("toxic", "weight", "text").mapInArrow(lean(features), "toxic int, weight double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
     x = np.stack([got[f"x{k}"].to_numpy() for k in range(FEATURES)], 1) if got.num_rows else np.zeros((0, FEATURES))
-    return fitted, fit_logistic(x, got["toxic"].to_numpy().astype(float), got["weight"].to_numpy())
+    return model, fit_logistic(x, got["toxic"].to_numpy().astype(float), got["weight"].to_numpy())
 
 
 def _scorer(docs: DataFrame, labels: DataFrame, learn):
-    model, beta = fit(docs, labels, learn)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, beta = fit(docs, labels, learn)
 
     def rate(texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(shared.value.features(Tokens(texts)) @ beta, -30, 30)))
