@@ -9,6 +9,7 @@ Packers are independent: pieces are dealt to groups by hash, each group is packe
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ GROUP_PIECES = 60_000
 #: Distinct chunks whose ids a worker keeps.
 CACHE_CHUNKS = 800_000
 MARKS = frozenset(",.;:!?")
+#: Code points below this are examined for plain letters: no two of them compose into one.
+LETTERS = 0x0530
 
 _coders: dict[str, ChunkCoder] = {}
 
@@ -35,8 +38,8 @@ class ChunkCoder:
     """Token ids of texts, by what lies between blanks, which no token crosses.
 
     A batch's chunks are numbered by Arrow; only its distinct chunks are looked up, and only words
-    that no batch had before are encoded. The vocabulary has lower case only and no token joins a letter and a
-    punctuation mark, so a word is encoded in lower case and without the mark behind it. Two generations of entries are kept.
+    that no batch had before are encoded. A word of plain letters is encoded in lower case and without the mark behind it; plain
+    are those letters of which this tokenizer proves, when it is loaded, that neither changes their ids. Two generations of entries are kept.
     """
 
     def __init__(self, path: str):
@@ -47,6 +50,14 @@ class ChunkCoder:
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
+        self.plain = frozenset(filter(self._is_plain, map(chr, range(LETTERS))))
+
+    def _is_plain(self, c: str) -> bool:
+        """Whether words keep their ids if this letter is put in lower case, and if a mark behind it is encoded by itself. Capital sigma's lower case depends on its place in Python only."""
+        if not c.isalpha() or len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c or c == "\u03a3":
+            return False
+        word = self.encode(f"a{c}")
+        return word == self.encode(f"a{c.lower()}") and bool(self.ends_word[np.frombuffer(word, "<u4")[-1]]) and self.encode(f"a{c}.") == word + self.encode(".")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -64,9 +75,8 @@ class ChunkCoder:
                 out[k] = ids
                 continue
             w, mark = (c[:-1], c[-1]) if c[-1] in MARKS else (c, "")
-            # Capital sigma's lower case depends on its place in Python only.
-            if w.isalpha() and len(w) <= 64:
-                words.setdefault(w if "\u03a3" in w else w.lower(), []).append((k, mark))
+            if w and len(w) <= 64 and (w.isascii() and w.isalpha() or self.plain.issuperset(w)):
+                words.setdefault(w.lower(), []).append((k, mark))
             else:
                 out[k] = self.encode(c)
         if words:
@@ -212,7 +222,8 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     """Pack documents into sequences of at most seq_len tokens; one row per piece.
 
     Nulls and empty texts are documents of one token; a null doc_id stays null; an empty table gives no rows;
-    repeated rows are packed as often as they occur; other columns are ignored.
+    repeated rows are packed as often as they occur; other columns are ignored. Very long texts give as many full pieces as they need; of
+    equal changes of the sum the smallest gap takes the piece.
     The token pass writes its short rows to the shared folder; only those are shuffled.
     """
     pieces = stored(in_splits(tokenized_pieces(docs, tokenizer_path, seq_len, end_id), docs), "pieces")
