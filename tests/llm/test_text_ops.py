@@ -6,6 +6,7 @@ import random
 import re
 import zipfile
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -172,13 +173,42 @@ def test_language(spark):
     assert language.identify(docs.limit(0)).count() == 0
 
 
-def test_kernel_values():
+def test_kernel_values(monkeypatch):
     texts = ["abcd", "abce", "zz"]
     grams = lambda t: {t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
-    k = language.Kernel(texts).rows(texts)
-    for i, a in enumerate(texts):
-        for j, b in enumerate(texts):
-            assert k[i, j] == pytest.approx(len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5, abs=1e-5)
+    for stretch in (language.DENSE, 6):
+        monkeypatch.setattr(language, "DENSE", stretch)
+        kernel = language.Kernel([np.unique(language.gram_buckets(t)) for t in texts])
+        k, among = kernel.rows(texts), kernel.among()
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts):
+                want = len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+                assert (k[i, j], among[i, j]) == pytest.approx((want, want), abs=1e-5)
+
+
+def test_ridge_regression_on_all_landmarks():
+    """With every training text a landmark, the Nystroem form is the kernel's own ridge regression."""
+    rng = random.Random(30)
+    texts = [syllables(rng, parts, 12) for parts in (["th", "er", "ing"], ["eau", "que", "lle"]) for _ in range(10)]
+    kernel = language.Kernel([np.unique(language.gram_buckets(t)) for t in texts])
+    k = kernel.rows(texts).astype(float)
+    y = np.repeat([1.0, -1.0], 10)
+    f = k @ language.nystroem(kernel.among())
+    primal = f @ np.linalg.solve(f.T @ f + np.eye(f.shape[1]), f.T @ y)
+    assert primal == pytest.approx(k @ np.linalg.solve(k + np.eye(20), y), abs=1e-3)
+
+
+@pytest.mark.parametrize(("n_langs", "words"), [(2, 1200), (70, 30)])
+def test_languages_of_long_texts_and_many_languages(spark, n_langs, words):
+    rng = random.Random(32)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {f"l{k:02d}": ["".join(rng.choice(letters) for _ in range(3)) for _ in range(6)] for k in range(n_langs)}
+    rows = [(k, syllables(rng, kinds[lang], words), lang) for k, lang in enumerate(list(kinds) * (30 if n_langs == 2 else 8))]
+    rows += [(5000 + k, rows[0][1], "l00") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert n_langs == 70 or min(len(t) for _, t, _ in rows) > language.USUAL[1]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    assert sum(got[k] == lang for k, _, lang in rows) >= 0.98 * len(rows)
 
 
 def toxic_rows(rng, n=400):
@@ -247,17 +277,52 @@ def test_page_text():
     assert html_text.main_text(None) == html_text.main_text("") == ""
     assert html_text.main_text("<p>a<p>b < c</p></i>d") == "a\nb < c\nd"
     assert html_text.main_text("<div><p>unclosed <a href='x") == "unclosed <a href='x"
-    assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    assert html_text.main_text("<div>" * 30000 + "deep" + "</div>" * 30000) == "deep"
+    assert html_text.main_text("<b>" * 30000 + "deep" + "</i><p>" * 3000 + "x") == "deep\nx"
+    assert html_text.main_text("<p>" + "long " * 100000) == ("long " * 100000).strip()
     assert html_text.main_text("<script>never closed <p>x") == ""
     assert html_text.main_text('<body><div id="sidebar">s</div><main><p>m</p></main></body>') == "m"
 
 
+def test_names_of_article_parts_are_not_noise():
+    """Names are whole: a part of one that is a noise word says nothing; headings, inline text, labels and buttons in prose stay."""
+    html = """<article><h2 id="related-work">Related work</h2><section id="search-results"><p>Found it.</p></section><p class="skip-indent">Indented.</p>
+<p>A <span class="hidden-markov">hidden Markov</span> model, <label>label</label> and <button>button</button>.</p><p hidden>unseen</p><div class="left-sidebar ads">no</div><p class="ad">no</p><button>no</button></article>"""
+    assert html_text.main_text(html) == "Related work\nFound it.\nIndented.\nA hidden Markov model, label and button."
+    assert html_text.main_text("<article><p>part one, the long one</p></article><p>x</p><article><p>part two</p></article>") == "part one, the long one\npart two"
+    assert html_text.main_text('<article><p>all of it</p></article><article><a href="/1">A teaser of another page</a></article>') == "all of it"
+    assert html_text.main_text('<header class="site-header">s</header><div class="site-header">t</div><div id="main-content"><p>m</p></div><p>n</p>') == "m"
+
+
+def test_subtree_counts_against_brute_force(spark):
+    rng = random.Random(31)
+    boxes = [f'<div class="b{k}"><p>box number {k}</p></div>' for k in range(12)] + [f"<p>one of the lines on many pages {k}</p>" for k in range(6)]
+    rows = []
+    for k in range(150):
+        parts = rng.sample(boxes, rng.randint(0, 6)) + [f"<p>the own text of page {k % 140} is this</p>"]
+        rows.append((k, f"http://h{k % 4 if k % 3 else 0}.example/{k}", "<body>" + "".join(parts) + "</body>"))
+    rows += [(200 + k, *rows[k][1:]) for k in range(20)] + [rows[3], (300, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on = {}
+    for _, url, html in rows:
+        for m in html_text.subtree_hashes(html):
+            on.setdefault((url and url.split("/")[2], m), set()).add(html)
+    want = {(url, html): {m for m in html_text.subtree_hashes(html) if len(on[url and url.split("/")[2], m]) >= 5} for _, url, html in rows}
+    keyed = html_text._source(pages).join(html_text.recurring_subtrees(pages), "page_key", "left").collect()
+    assert len(keyed) == len(rows)
+    assert any(want.values())
+    for r in keyed:
+        assert set(r["marks"] or ()) == want[r["url"], r["html"]]
+
+
 def test_site_templates(spark):
-    """A box on most pages of a host goes; the same box on few pages of another stays; articles' paragraphs stay."""
-    box = '<div class="box"><p>Join our club today</p></div>'
-    rows = [(k, f"http://a.example/p{k}", f"<body>{box}<p>Story {k}</p><p>Same line.</p></body>", 1) for k in range(10)]
+    """A box on five pages of a host goes, however many pages there are; on few pages of another host it stays; articles' paragraphs and copies of pages stay."""
+    box, line = '<div class="box"><p>Join our club today</p></div>', "<p>This line stands on every page of ours.</p>"
+    rows = [(k, f"http://a.example/p{k}", f"<body>{box if k < 6 else ''}{line}<p>Story {k}</p><p>Same line.</p></body>", 1) for k in range(60)]
     rows += [(100 + k, "https://u@B.example:80/x", f"<body>{box if k < 2 else ''}<p>Other {k}</p></body>", 1) for k in range(12)]
     rows += [(200 + k, "http://c.example/", f"<body>{box}<p>copy</p></body>", 1) for k in range(9)] + [(300, None, None, 1), (None, "", "<p>x</p>", 1), (0, rows[0][1], rows[0][2], 1)]
+    rows += [(400 + k, "http://d.example/", f"<nav>{k}</nav><article><p>An article that many pages have, in full.</p></article>", 1) for k in range(9)]
+    rows += [(500 + k, "http://e.example/", f"<nav>{k}</nav><div><p>Text that many pages have, in full.</p></div>", 1) for k in range(9)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert len(got) == len(rows)
     by = {r["page_id"]: r["text"] for r in got}
@@ -265,6 +330,8 @@ def test_site_templates(spark):
     assert by[100] == "Join our club today\nOther 0"
     assert by[200] == "Join our club today\ncopy"
     assert (by[300], by[None]) == ("", "x")
+    assert by[400] == "An article that many pages have, in full."
+    assert by[500] == "Text that many pages have, in full."
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
