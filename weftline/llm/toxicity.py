@@ -29,8 +29,8 @@ MAX_ROWS = 30_000
 PREFIX, DISCOUNT = 4, 0.75
 #: Words whose evidence counts as a text's strongest; words of a segment.
 TOP, SEGMENT = 3, 64
-#: Bigrams that the driver handles at once.
-STRETCH = 2_000_000
+#: Bigrams that the driver handles at once; parts, by their first words, in which it counts them.
+STRETCH, PARTS = 1_000_000, 1024
 THRESHOLD = 0.3
 _START = np.uint64(0x9E3779B97F4A7C15)
 FEATURES = 5
@@ -101,14 +101,21 @@ class Model:
     p_none: np.ndarray  # 2: the same without a known prefix, but for the word's share in the corpus
 
     def __getstate__(self) -> dict:
-        """The pairs, most of what is broadcast, as differences by byte and compressed: each executor holds several copies on disk."""
-        steps = np.diff(self.pairs, prepend=0).view(np.uint8).reshape(-1, 8).T
-        return self.__dict__ | {"pairs": zlib.compress(steps.tobytes(), 1), "kinds": (zlib.compress(self.kinds.tobytes(), 1), self.kinds.dtype.str)}
+        """The pairs, most of what is broadcast, as differences by byte and compressed, a stretch at a time: each executor holds several copies on disk."""
+        packed = []
+        for k in range(0, len(self.pairs), STRETCH):
+            steps = np.diff(self.pairs[k : k + STRETCH], prepend=0).view(np.uint8).reshape(-1, 8).T
+            packed.append((zlib.compress(np.ascontiguousarray(steps), 1), zlib.compress(self.kinds[k : k + STRETCH], 1)))
+        return self.__dict__ | {"pairs": packed, "kinds": (len(self.pairs), self.kinds.dtype.str)}
 
     def __setstate__(self, state: dict) -> None:
-        steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(state["pairs"]), np.uint8).reshape(8, -1).T)
-        kinds, kind = state["kinds"]
-        self.__dict__ |= state | {"pairs": np.cumsum(steps.view(np.int64).ravel()), "kinds": np.frombuffer(zlib.decompress(kinds), kind)}
+        n, kind = state["kinds"]
+        pairs, kinds = np.empty(n, np.int64), np.empty(n, kind)
+        for k, (steps, of) in zip(range(0, n, STRETCH), state["pairs"], strict=True):
+            steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(steps), np.uint8).reshape(8, -1).T)
+            np.cumsum(steps.view(np.int64).ravel(), out=pairs[k : k + STRETCH])
+            kinds[k : k + STRETCH] = np.frombuffer(zlib.decompress(of), kind)
+        self.__dict__ |= state | {"pairs": pairs, "kinds": kinds}
 
     def evidence(self, t: Tokens) -> np.ndarray:
         """Per word: log of its toxic over its ordinary probability."""
@@ -194,8 +201,8 @@ def sample_words(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x["w"][order], x["q"][order]
 
 
-def bigrams(train: DataFrame, words: np.ndarray) -> dict[str, np.ndarray]:
-    """pair, n: bigrams of the labelled texts as places in words (the first word's in the high half), and how often ordinary (low half) and toxic texts have them."""
+def bigrams(train: DataFrame, words: np.ndarray) -> DataFrame:
+    """pair, n: bigrams of the labelled texts as places in words (the first word's in the high half), and how often ordinary (low half) and toxic texts have them. A written table."""
     shared = train.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +215,32 @@ def bigrams(train: DataFrame, words: np.ndarray) -> dict[str, np.ndarray]:
             n = np.bincount(where[~is_toxic], minlength=len(pair)) + (np.bincount(where[is_toxic], minlength=len(pair)) << 32)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
-    got = _by(train.select("toxic", "text").mapInArrow(lean(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), ["pair", "n"])
+    out = stored(train.select("toxic", "text").mapInArrow(lean(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams", few=2)
     shared.destroy()
-    return got
+    return out
+
+
+def _sorted_bigrams(table: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From bigrams: sorted pairs, places of their counts, and the different counts (low half, high half). The driver fetches about STRETCH pairs at a time."""
+    both = np.sort(_by(table.select("n").distinct(), ["n"])["n"])
+    part = F.floor(F.shiftright("pair", 32) * PARTS / max(1, n_words)).cast("int").alias("part")
+    sizes = np.zeros(PARTS, np.int64)
+    for r in table.groupBy(part).count().collect():
+        sizes[r["part"]] = r["count"]
+    n, begin, at = int(sizes.sum()), 0, 0
+    pairs, kinds = np.empty(n, np.int64), np.empty(n, np.uint16 if len(both) <= 1 << 16 else np.uint32)
+    while begin < PARTS:
+        end = begin + 1
+        while end < PARTS and sizes[begin : end + 1].sum() <= STRETCH:
+            end += 1
+        if sizes[begin:end].any():
+            x = _by(table.where((part >= begin) & (part < end)), ["pair", "n"])
+            order = np.argsort(x["pair"])
+            stop = at + len(order)
+            pairs[at:stop], kinds[at:stop] = x["pair"][order], np.searchsorted(both, x["n"][order])
+            at = stop
+        begin = end
+    return pairs, kinds, both
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -270,17 +300,8 @@ def fit_model(docs: DataFrame, train: DataFrame) -> Model:
     place, prefixes = _find(words, found), np.unique(of)
     q = _find(prefixes, of)
     of_word, of_prefix, every = _counts_of(stored(document_counts(docs), "types", few=2), found, prefixes)
-    pairs, n = bigrams(train, words).values()
-    # Few different counts: places of these instead of counts, and stretches of pairs, keep the driver's memory low.
-    both = np.unique(n)
+    pairs, kinds, both = _sorted_bigrams(bigrams(train, words), len(words))
     by_kind = np.array([both & 0xFFFFFFFF, both >> 32], float).reshape(2, -1)
-    kinds = np.empty(len(n), np.uint16 if len(both) <= 1 << 16 else np.uint32)
-    for k in range(0, len(n), STRETCH):
-        kinds[k : k + STRETCH] = np.searchsorted(both, n[k : k + STRETCH])
-    del n
-    order = np.argsort(pairs)
-    pairs, kinds = pairs[order], kinds[order]
-    del order
     contexts, seen, types = (np.zeros((2, len(words))) for _ in range(3))
     for k in range(0, len(pairs), STRETCH):
         part, of_kind = pairs[k : k + STRETCH], by_kind[:, kinds[k : k + STRETCH]]
