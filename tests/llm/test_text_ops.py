@@ -2,8 +2,10 @@
 
 import hashlib
 import io
+import math
 import random
 import re
+import time
 import zipfile
 
 import numpy as np
@@ -44,12 +46,13 @@ def test_identifiers(spark, docs_of):
 
 
 def test_disclosing_words(spark, docs_of):
-    """A word that occurs only beside one address discloses it; common words don't, nor does a word seen too seldom."""
-    rows = [(k, "the project Zanzibarque of ann@corp.example and the rest") for k in range(4)] + [(10 + k, "the rest of the day and the night was long " * 5) for k in range(20)] + [(50, "the single Qwertzuiop bob@corp.example of the")]
+    """A word of documents that share an address discloses it, wherever it stands; common words don't, nor does a word of one document."""
+    far = "the rest of the day and the night was long " * 5
+    rows = [(k, f"the project Zanzibarque of {far} ann@corp.example and the Zanzibarque rest") for k in range(4)] + [(10 + k, far) for k in range(20)] + [(50, "the single Qwertzuiop bob@corp.example of the")]
     got = {r["doc_id"]: r["spans"] for r in pii.digest_columns(pii.find_private(docs_of(rows))).collect()}
     t = rows[0][1]
-    at = t.index("Zanzibarque")
-    assert f"term:{at}:{at + 11}" in got[0]
+    at, again = t.index("Zanzibarque"), t.rindex("Zanzibarque")
+    assert f"term:{at}:{at + 11}" in got[0] and f"term:{again}:{again + 11}" in got[0]
     assert "the" not in [t[int(a) : int(b)] for _, a, b in (x.split(":") for x in got[0].split(",")) if _ == "term"]
     assert got[10] == ""
     assert "term" not in got[50]
@@ -59,6 +62,63 @@ def test_disclosing_words(spark, docs_of):
     assert clean[10] == rows[4][1]
 
 
+def brute_disclosing(rows, disclosure=pii.DISCLOSURE):
+    """(row, start, end, general) of disclosing words, from sets of documents."""
+    has, where, places = {}, {}, []
+    for k, (_, t) in enumerate(rows):
+        t = t or ""
+        taken = [(a, b) for _, a, b in base_spans(t)]
+        for kind, a, b in base_spans(t):
+            has.setdefault((kind, re.sub("[^0-9]", "", t[a:b]) if kind in ("card", "phone") else t[a:b].lower()), set()).add(k)
+        for m in re.finditer(r"[^\W\d_]{3,}", t):
+            where.setdefault(m[0].lower(), set()).add(k)
+            if taken and not any(a < m.end() and m.start() < b for a, b in taken):
+                places.append((k, m.start(), m.end(), m[0].lower()))
+    n, out = len(rows), set()
+    top = {}
+    for w, d in where.items():
+        top[w[:3]] = max(top.get(w[:3], 0), len(d))
+    for k, a, b, w in places:
+        by = []
+        for held in has.values():
+            if k in held and len(held) > 1 and len(held & where[w]) > 1 and len(held) < n:
+                p = (len(held) - 1) / (n - 1)
+                if 1 - math.log((len(held & where[w]) - 1) / (len(where[w]) - 1 + pii.PRIOR)) / math.log(p) >= disclosure:
+                    by.append(1 - pii.PRIOR + (len(held) - 1) * p ** (disclosure - 1))
+        if by:
+            out.add((k, a, b, w[:3] + "*" if top[w[:3]] > max(by) else None))
+    return out
+
+
+def test_disclosure_against_brute_force(spark, docs_of):
+    rng = random.Random(33)
+    vocab = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 5))) for _ in range(300)]
+    known = ["ann@corp.example", "Bob@corp.example", "10.1.2.3", "+49 30 1234567", "4111 1111 1111 1111", "cy@corp.example"]
+    secret = {x: [pre + "".join(rng.choice("vwxyz") for _ in range(6)) for pre in ("", "", "com")] for x in known}
+    rows = []
+    for k in range(160):
+        words = ["common", *[rng.choice(vocab) for _ in range(rng.randint(0, 60))]]
+        for x in rng.sample(known, rng.choice([0, 0, 0, 1, 1, 2])):
+            words += [x, *rng.sample(secret[x], rng.randint(0, 3)), x.upper() if k % 5 == 0 and "@" in x else x]
+        rng.shuffle(words)
+        rows.append((k, rng.choice([" ", ", ", " é "]).join(words)))
+    rows += [(200 + k, "a group of copies writes to dan@corp.example on grounds of quuxery") for k in range(90)] + [(500, None), (501, "")]
+    want = brute_disclosing(rows)
+    assert any(g for *_, g in want) and any(g is None for *_, g in want)
+    got = {(r["doc_id"], x["start"], x["end"], x["general"]) for r in pii.find_private(docs_of(rows)).collect() for x in r["terms"]}
+    assert got == {(rows[k][0], a, b, g) for k, a, b, g in want}
+
+
+def test_many_mentions_in_one_text(spark, docs_of):
+    text = " ".join(f"user{k}@host{k % 7}.example wrote lines" for k in range(30000))
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.digest_columns(pii.find_private(docs_of([(1, text), (2, text), (3, "plain")]))).collect()}
+    assert time.monotonic() - began < 90
+    assert (got[1]["n_email"], got[2]["n_email"], got[3]["n_email"]) == (30000, 30000, 0)
+    want = ",".join(f"{a}:{b}:{c}" for a, b, c in base_spans(text))
+    assert got[1]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 def chain(tokens):
     h = 42
     for x in tokens:

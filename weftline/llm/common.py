@@ -113,7 +113,7 @@ def need(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, key: str, n: str = "n", most: int = 1000) -> DataFrame:
+def join_counted(rows: DataFrame, counts: DataFrame, *key: str, n: str = "n", most: int = 1000) -> DataFrame:
     """rows and the columns of counts (a stored table, one row per key; n: how often a key occurs) by key, for keys that may be hot.
 
     Keys with at least one in `most` of all occurrences, of which there are no more than `most`, are broadcast: their rows stay where they are.
@@ -121,8 +121,8 @@ def join_counted(rows: DataFrame, counts: DataFrame, key: str, n: str = "n", mos
     total = counts.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) * most >= total
     near = F.broadcast(counts.where(hot))
-    far = rows.join(near.select(key), key, "left_anti").join(counts.where(~hot), key)
-    return rows.join(near, key).unionByName(far)
+    far = rows.join(near.select(*key), [*key], "left_anti").join(counts.where(~hot), [*key])
+    return rows.join(near, [*key]).unionByName(far)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

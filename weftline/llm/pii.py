@@ -1,22 +1,22 @@
-"""Personal data: patterns for identifiers, and information-theoretic sanitisation of the words around them.
+"""Personal data: patterns for identifiers, and information-theoretic sanitisation of the words of their documents.
 
-An identifier's value is a protected entity c. A word t that occurs within CONTEXT characters of c's
-mentions discloses the share  PMI(t; c) / IC(c)  of c's information, with probabilities from counts over
-the whole corpus: all occurrences of t, and those in c's contexts. Words above the threshold, with enough joint
-occurrences to tell, are generalised to their prefix if that discloses less, else removed.
+An identifier's value is a protected entity c. A word t discloses the share  PMI(t; c) / IC(c)  of c's information, with probabilities from counts of
+documents over the whole corpus: n_t that have the word, n_c that have the entity, n_tc that have both. What a document's words tell of its entities is
+judged by the other documents: P(c|t) is (n_tc - 1) / (n_t - 1 + PRIOR), P(c) is (n_c - 1) / (N - 1), so that a pair seen in one document tells nothing.
+Words above the threshold are marked wherever they stand in documents with the entity; they are generalised to their prefix if that is too
+common to disclose the entity, else removed.
 
-DataFrame functions only. Texts are not shuffled: what travels are mentions, their nearby words, and word counts.
-Positions come from splitting a text by the pattern: the pieces' and matches' lengths add up (code points).
+DataFrame functions only. A word can disclose an entity only if it isn't much commoner (at_most); all others leave before pairs are made. Entities of the
+same documents are one class, as are words, so that copies and long lists don't multiply. Texts are not shuffled: what travel are identifiers, words of
+documents with identifiers, and counts. Positions come from splitting a text by the pattern: the pieces' and matches' lengths add up (code points).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_splits, need, stored
+from .common import in_splits, join_counted, need, stored
 
 #: kind -> (pattern, a character without which no match exists). The look-around and possessive forms match exactly what the plain
 #: patterns do, leftmost and without overlap, but in linear time and without recursion.
@@ -29,18 +29,24 @@ PATTERNS = {
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 TERM = r"[\p{L}\p{M}]{3,}+"
-#: Code points on either side of a mention in which words are taken.
-CONTEXT = 64
-#: Share of an entity's information that a word may disclose; joint occurrences from which that is judged.
-DISCLOSURE, SUPPORT = 0.9, 3
+#: Share of an entity's information that a word may disclose; documents without the entity that every word is taken to have besides its own.
+DISCLOSURE, PRIOR = 0.9, 0.5
 PREFIX = 3
+#: Matches whose places are summed up at once.
+BLOCK = 256
 
 
 def _located(found: str, pieces: str, kind: str) -> Column:
-    """Matches with their places; the fold runs over the matches of one text."""
-    item = f"named_struct('kind', '{kind}', 'start', s.at + length({pieces}[i]), 'end', s.at + length({pieces}[i]) + length({found}[i]), 'value', {found}[i])"
-    fold = f"aggregate(sequence(0, size({found}) - 1), named_struct('at', 0, 'out', cast(array() as {SPAN})), (s, i) -> named_struct('at', s.at + length({pieces}[i]) + length({found}[i]), 'out', concat(s.out, array({item}))), s -> s.out)"
-    return F.when(F.size(found) > 0, F.expr(fold)).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    """Matches with their places. Lengths are summed up in blocks, so that the time is in proportion to the matches of one text."""
+    item = f"named_struct('kind', '{kind}', 'start', s.at + length(b.p[i]), 'end', s.at + b.n[i], 'value', b.f[i])"
+    steps = f"transform(sequence(0, size({found}) - 1), i -> length({pieces}[i]) + length({found}[i]))"
+    sums = f"transform(sequence(0, (size(a.n) - 1) div {BLOCK}), k -> aggregate(slice(a.n, k * {BLOCK} + 1, {BLOCK}), 0, (s, x) -> s + x))"
+    begins = f"aggregate({sums}, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('at', s.at + x, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    block = f"aggregate(sequence(k * {BLOCK}, least(size(b.f), (k + 1) * {BLOCK}) - 1), named_struct('at', b.at[k], 'out', cast(array() as {SPAN})), (s, i) -> named_struct('at', s.at + b.n[i], 'out', concat(s.out, array({item}))), s -> s.out)"
+    # Arrays of one element name what is computed once.
+    one = f"transform(array(named_struct('f', {found}, 'p', {pieces}, 'n', {steps})), a -> named_struct('f', a.f, 'p', a.p, 'n', a.n, 'at', {begins}))"
+    every = f"transform({one}, b -> flatten(transform(sequence(0, (size(b.f) - 1) div {BLOCK}), k -> {block})))[0]"
+    return F.when(F.size(found) > 0, F.expr(every)).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -81,69 +87,80 @@ def entity(kind: Column, value: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans (kind, start, end, entity, and the text before and after), for every row of docs."""
-    s, n = F.col("spans"), F.length("text")
-
-    def around(x: Column) -> Column:
-        begin = F.greatest(x["start"] - CONTEXT, F.lit(0))
-        stop = F.least(x["end"] + CONTEXT, n)
-        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), entity(x["kind"], x["value"]).alias("entity"), begin.alias("begin"), F.col("text").substr(begin + 1, x["start"] - begin).alias("before"), F.col("text").substr(x["end"] + 1, stop - x["end"]).alias("after"), (stop < n).alias("cut"))
-
-    return base_spans(docs).select("doc_id", "text_key", F.transform(s, around).alias("spans"))
-
-
-def nearby_terms(found: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, end, term, entity: every word occurrence in an entity's context, once, outside of identifiers and not cut."""
-    each = found.where(F.size("spans") > 0).select("doc_id", "text_key", F.transform("spans", lambda x: F.struct(x["start"], x["end"])).alias("taken"), F.explode("spans").alias("m"))
-    sides = each.select("doc_id", "text_key", "taken", F.col("m.entity").alias("entity"), F.explode(F.array(
-        F.struct(F.col("m.before").alias("text"), F.col("m.begin").alias("at"), (F.col("m.begin") > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(F.col("m.after").alias("text"), F.col("m.end").alias("at"), F.lit(False).alias("cut_left"), F.col("m.cut").alias("cut_right")),
-    )).alias("x")).select("doc_id", "text_key", "taken", "entity", "x.*")
-    words = _matches(sides, "text", TERM, None, "term").withColumn("w", F.explode(_located("term_found", "term_pieces", "term")))
-    whole = ~(F.col("cut_left") & (F.col("w.start") == 0)) & ~(F.col("cut_right") & (F.col("w.end") == F.length("text")))
-    placed = words.where(whole).select("doc_id", "text_key", "taken", "entity", (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), F.lower("w.value").alias("term"))
-    free = placed.where(~F.exists("taken", lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"])))
-    return free.select("doc_id", "text_key", "start", "end", "term", "entity").distinct()
+    """row, doc_id, text_key, spans (kind, start, end, entity), words (w: the word's hash, q: its prefix, start, end; outside of identifiers, only for texts with any)."""
+    found = base_spans(docs)
+    rows = _matches(found, "text", f"{PATTERNS['email'][0]}|{TERM}", F.size("spans") > 0, "term").withColumn("term", _located("term_found", "term_pieces", "term"))
+    word = lambda x: F.struct(F.xxhash64(F.lower(x["value"])).alias("w"), F.substring(F.lower(x["value"]), 1, PREFIX).alias("q"), x["start"], x["end"])
+    words = F.transform(F.filter("term", lambda x: ~x["value"].contains("@")), word)
+    spans = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), entity(x["kind"], x["value"]).alias("entity")))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", spans.alias("spans"), words.alias("words"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """term, n: occurrences of every word over all texts."""
-    words = need(docs, {"text": "string"}).select(F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("term"))
-    return words.groupBy(F.lower("term").alias("term")).agg(F.count("*").alias("n"))
-
-
-def disclosing(near: DataFrame, counts: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """term, entity, disclosure, general (its prefix, where that discloses less than the threshold, else null) of the pairs above the threshold."""
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    size = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    joint = near.groupBy("term", "entity").agg(F.count("*").alias("n_joint"))
-    share = lambda n_joint, n: F.log2(F.col(n_joint) * float(total) / (F.col(n) * F.col("n_entity"))) / F.greatest(F.log2(F.lit(float(total)) / F.col("n_entity")), F.lit(math.log2(1 + 1 / total)))
-    over = joint.where(F.col("n_joint") >= support).join(counts, "term").join(size, "entity").withColumn("disclosure", share("n_joint", "n")).where(F.col("disclosure") >= disclosure)
-    prefix = F.substring("term", 1, PREFIX)
-    wide = joint.groupBy(prefix.alias("prefix"), "entity").agg(F.sum("n_joint").alias("p_joint"))
-    wide_n = counts.groupBy(prefix.alias("prefix")).agg(F.sum("n").alias("p_n"))
-    out = over.withColumn("prefix", prefix).join(wide, ["prefix", "entity"]).join(wide_n, "prefix")
-    return out.select("term", "entity", "disclosure", F.when(share("p_joint", "p_n") < disclosure, F.concat("prefix", F.lit("*"))).alias("general"))
-
-
-def find_private(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """w, q, n: every word's hash and prefix, and in how many documents it occurs."""
+    distinct = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    words = need(docs, {"text": "string"}).select(F.explode(distinct).alias("term")).select(F.xxhash64("term").alias("w"), F.substring("term", 1, PREFIX).alias("q"))
+    return words.groupBy("w", "q").agg(F.count("*").alias("n"))
+
+
+def at_most(n_entity: Column, total: int, disclosure: float = DISCLOSURE) -> Column:
+    """Documents up to which a word can disclose an entity of n_entity of all documents, even if all these have it."""
+    others = n_entity - 1
+    return 1 - PRIOR + others * F.pow(others / max(1, total - 1), F.lit(disclosure - 1))
+
+
+def share(n_joint: Column, n_term: Column, n_entity: Column, total: int) -> Column:
+    """PMI over IC, from document counts."""
+    p = (n_entity - 1) / max(1, total - 1)
+    return F.when((n_entity > 1) & (n_joint > 1) & (p < 1), 1 - F.log((n_joint - 1) / (n_term - 1 + PRIOR)) / F.log(p)).otherwise(0.0)
+
+
+def disclosing_words(found: DataFrame, counts: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """row, w, general (the word's prefix and *, where that is too common to disclose, else null): the words to mark. found: mentions, stored; counts: term_counts, stored."""
+    total = found.count()
+    private = found.where(F.size("spans") > 0)
+    has = private.select("row", F.explode(F.array_distinct(F.transform("spans", lambda x: x["entity"]))).alias("entity"))
+    same = F.bit_xor(F.xxhash64("row"))
+    entities = has.groupBy("entity").agg(F.count("*").alias("n_entity"), same.alias("same")).where("n_entity > 1")
+    entities = stored(entities.select("entity", "n_entity", F.xxhash64("same", "n_entity").alias("ec")), "entities", few=8)
+    held = stored(join_counted(has, entities, "entity", n="n_entity").select("row", "ec", "n_entity").distinct(), "held", few=8)
+    widest = held.groupBy("row").agg(at_most(F.max("n_entity"), total, disclosure).alias("most"))
+    words = private.select("row", F.array_distinct(F.transform("words", lambda x: x["w"])).alias("words")).join(widest, "row").select("row", "most", F.explode("words").alias("w"))
+    # Words of one document don't tell, nor do words that are too common for all of a document's entities.
+    near = stored(join_counted(words, counts.where("n > 1"), "w").where("n <= most").select("row", "w", "q", "n"), "near", few=8)
+    classes = near.groupBy("w", "q", "n").agg(F.count("*").alias("m"), same.alias("same")).where("m > 1")
+    prefixes = stored(counts.groupBy("q").agg(F.max("n").alias("top"), F.count("*").alias("of")), "prefixes", few=8)
+    classes = join_counted(classes.select("w", "q", "n", "m", F.xxhash64("same", "m", "n").alias("tc")), prefixes, "q", n="of")
+    classes = stored(classes.select("w", "q", "m", "tc", "top"), "classes", few=8)
+    near = stored(join_counted(near.select("row", "w", "n"), classes, "w", n="m").select("row", "w", "q", "n", "tc", "top"), "near-classes", few=8)
+    pairs = held.join(near.select("row", "tc", "n").distinct(), "row").where(F.col("n") <= at_most(F.col("n_entity"), total, disclosure)).select("row", "ec", "tc", "n_entity", "n")
+    over = pairs.groupBy("ec", "tc", "n_entity", "n").agg(F.count("*").alias("n_joint"))
+    over = stored(over.where(share(F.col("n_joint"), F.col("n"), F.col("n_entity"), total) >= disclosure).select("ec", "tc", "n_joint"), "over", few=8)
+    marked = join_counted(pairs.select("row", "ec", "tc", "n_entity"), over, "ec", "tc", n="n_joint").groupBy("row", "tc").agg(F.max("n_entity").alias("n_entity"))
+    general = F.when(F.col("top") > at_most(F.col("n_entity"), total, disclosure), F.concat("q", F.lit("*")))
+    return near.join(marked, ["row", "tc"]).select("row", "w", general.alias("general"))
+
+
+def find_private(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, text_key, spans (kind, start, end by kind as listed), terms (start, end, general; by start), one row per row of docs.
 
-    Null texts count as empty; null doc_ids stay; equal rows get equal results; an empty table gives no rows; other columns are ignored.
+    Null texts count as empty; null doc_ids stay; equal rows get equal results, and count as documents of their own; very long texts are read whole, in
+    time that is in proportion to their length; an empty table gives no rows; other columns are ignored.
     """
     found = stored(in_splits(mentions(docs), docs), "mentions")
-    near = stored(nearby_terms(found), "nearby", few=32)
-    pairs = disclosing(near, stored(term_counts(docs), "counts", few=2), disclosure, support)
-    flagged = near.join(pairs, ["term", "entity"]).groupBy("doc_id", "text_key", "start", "end").agg(F.min("general").alias("general"))
-    terms = flagged.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "general"))).alias("terms"))
+    flagged = stored(disclosing_words(found, stored(term_counts(docs), "counts", few=2), disclosure), "flagged", few=8)
+    # Only rows with such words open their words again.
+    rows = found.select("row", "words").join(flagged.select("row").distinct(), "row", "left_semi").select("row", F.explode("words").alias("x"))
+    placed = rows.select("row", F.col("x.w").alias("w"), F.col("x.start").alias("start"), F.col("x.end").alias("end")).join(flagged, ["row", "w"])
+    terms = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "general"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,general:string>>")
-    joined = found.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
-    return joined.select("doc_id", "text_key", F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"), F.coalesce("terms", none).alias("terms"))
+    spans = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return found.select("row", "doc_id", "text_key", spans.alias("spans")).join(terms, "row", "left").select("doc_id", "text_key", "spans", F.coalesce("terms", none).alias("terms"))
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """doc_id, text with identifiers replaced by [KIND] and disclosing words by their prefix or nothing; null texts are empty."""
-    private = find_private(docs, disclosure, support).dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "d")
+    private = find_private(docs, disclosure).dropDuplicates(["doc_id", "text_key"]).withColumnRenamed("doc_id", "d")
     rows = need(docs, {"doc_id": "long", "text": "string"}).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_key", F.xxhash64("text"))
     both = rows.join(private, F.col("doc_id").eqNullSafe(F.col("d")) & (rows["text_key"] == private["text_key"]), "left")
     marks = F.array_sort(F.concat(
