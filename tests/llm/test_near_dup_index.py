@@ -1,5 +1,6 @@
 """Near duplicates and phrase matches against brute force; HyperMinHash estimates; planted cases."""
 
+import collections
 import hashlib
 import random
 import re
@@ -102,8 +103,8 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def brute_hits(doc, items, width=13):
-    d, hit, found = words(doc), set(), set()
+def brute_hits(doc, items, counts, width=13):
+    d, hit, found, near = words(doc), set(), set(), set()
     for item_id, text in items:
         w = words(text)
         for i in range(max(1, len(w) - width + 1) if w else 0):
@@ -112,7 +113,10 @@ def brute_hits(doc, items, width=13):
                 if d[at : at + len(win)] == win:
                     hit |= set(range(at, at + len(win)))
                     found.add(item_id)
-    return len(d), len(hit), sorted(found)
+            rare = min(win, key=lambda x: counts.get(x, 0))
+            if any(x == rare and set(win) <= set(d[max(0, at - phrase_index.NEAR) : at + phrase_index.NEAR + 1]) for at, x in enumerate(d)):
+                near.add(item_id)
+    return len(d), len(hit), sorted(found), sorted(near)
 
 
 def planted(rng):
@@ -135,10 +139,13 @@ def check_decontamination(spark, docs_of, docs, items):
     got = phrase_index.decontaminate(docs_of(docs), b).collect()
     assert len(got) == len(docs)
     by = {r["doc_id"]: r for r in got}
+    counts = collections.Counter(w for _, t in docs for w in words(t))
     for k, t in docs:
-        n, hit, found = brute_hits(t, items)
+        n, hit, found, near = brute_hits(t, items, counts)
         r = by[k]
         assert (r["n_words"], r["n_hit"], list(r["items"])) == (n, hit, sorted(map(str, found))), t
+        # A block counts its windows' terms over all documents, as the brute force does.
+        assert list(r["near_items"]) == sorted(map(str, near)), t
         assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
     kept = {r["doc_id"] for r in phrase_index.reject_contaminated(docs_of(docs), b).collect()}
     assert kept == {r["doc_id"] for r in got if not r["contaminated"]}
@@ -150,6 +157,7 @@ def test_decontamination(spark, docs_of):
 
 def test_decontamination_in_blocks(spark, docs_of, monkeypatch):
     monkeypatch.setattr(phrase_index, "BLOCK_WORDS", 30)
+    monkeypatch.setattr(phrase_index, "STRETCH", 5)
     check_decontamination(spark, docs_of, *planted(random.Random(8)))
 
 
@@ -161,11 +169,26 @@ def test_empty_sides(spark, docs_of):
 
 
 def test_stored_index_and_proximity(spark, docs_of):
-    d = docs_of([(1, "red green blue red"), (2, "blue x x x x red"), (3, None)])
-    index = phrase_index.postings(d, ["Red", "blue"])
-    assert {(r["term"], r["doc_id"]): list(r["positions"]) for r in index.collect()} == {("red", 1): [0, 3], ("blue", 1): [2], ("blue", 2): [0], ("red", 2): [5]}
+    d = docs_of([(1, "red green blue red"), (2, "blue x x x x red"), (3, None), (4, "red " + "x " * 30 + "blue")])
+    index = phrase_index.build_index(d)
+    assert {(r["term"], r["doc_id"]): list(r["positions"]) for r in phrase_index.postings(index, ["Red", "blue"]).collect()} == {("red", 1): [0, 3], ("blue", 1): [2], ("blue", 2): [0], ("red", 2): [5], ("red", 4): [0], ("blue", 4): [31]}
     assert {(r["doc_id"], r["position"]) for r in phrase_index.proximity(index, ["red", "blue"], 3).collect()} == {(1, 0)}
-    assert {r["doc_id"] for r in phrase_index.proximity(index, ["red", "blue"], 6).collect()} == {1, 2}
+    assert {(r["doc_id"], r["position"]) for r in phrase_index.proximity(index, ["red", "blue"], 6).collect()} == {(1, 0), (2, 0)}
+    assert phrase_index.proximity(index, ["red", "missing"], 6).count() == 0
+
+
+def test_segments(monkeypatch):
+    rng = random.Random(9)
+    texts = [[b"w%d" % rng.randrange(30) for _ in range(rng.randint(0, 40))] for _ in range(20)]
+    s = phrase_index.Segment.of(texts)
+    t = phrase_index.Segment.unpacked(s.n_words, s.terms, s.begins, s.packed())
+    assert t.positions.tolist() == s.positions.tolist()
+    at = {int(h): (t.positions[a:b]).tolist() for h, a, b in zip(t.terms, t.begins[:-1], t.begins[1:])}
+    want = {}
+    for begin, x in zip(t.begin.tolist(), texts):
+        for k, w in enumerate(x):
+            want.setdefault(phrase_index.term_hash(w), []).append(begin + k)
+    assert at == want
 
 
 def test_digest_of_items(spark):

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: whole texts travel in batches, so a batch must stay small.
-ARROW_ROWS = 512
+#: Rows and bytes per Arrow batch: whole texts travel in batches, so a batch must stay small.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -28,6 +28,7 @@ def prepare(spark: SparkSession) -> None:
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -62,7 +62,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+    near = F.size("near_items").cast("long").alias("n_near_items")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", near)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -85,12 +86,17 @@ ARCHIVES = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))
   SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (digest)"""
 
 CONTAMINATION = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-  g AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(CASE WHEN len(w) < 13 THEN w ELSE w[i : i + 12] END, ' ') AS x FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS i FROM b WHERE len(w) > 0)),
+  s AS (SELECT DISTINCT item_id, CASE WHEN len(w) < 13 THEN w ELSE w[i : i + 12] END AS ws FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS i FROM b WHERE len(w) > 0)),
+  g AS (SELECT item_id, len(ws) AS k, array_to_string(ws, ' ') AS x FROM s),
   k AS (SELECT DISTINCT k FROM g), o AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS x FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, k WHERE len(w) >= k)),
   h AS (SELECT doc_id, i, o.k, item_id FROM o JOIN g ON g.x = o.x AND g.k = o.k),
   n AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM h) GROUP BY doc_id),
-  t AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id)
-  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(d.w) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
+  t AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id),
+  p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d), f AS (SELECT word, count(*) AS n FROM p GROUP BY word),
+  u AS (SELECT ws, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS off FROM (SELECT DISTINCT ws FROM s)),
+  r AS (SELECT ws, arg_min(u.word, coalesce(f.n, 0) * 100 + off) AS word FROM u LEFT JOIN f USING (word) GROUP BY ws),
+  e AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM (SELECT DISTINCT p.doc_id, r.ws FROM r JOIN p USING (word) JOIN d USING (doc_id) WHERE list_has_all(d.w[greatest(1, place - 20) : place + 20], r.ws)) JOIN s USING (ws) GROUP BY doc_id)
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(d.w) AS contaminated, CAST(coalesce(e.n, 0) AS BIGINT) AS n_near_items FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN e USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
