@@ -77,6 +77,14 @@ def test_empty_null_ids_repeated_rows(spark, docs_of):
     assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == [("3", 3, True), ("3", 3, True), ("5", 3, False), ("6", 6, True), ("None", None, True)]
 
 
+def test_texts_of_one_id(spark, docs_of):
+    """Different texts with equally many shingles under one id: what is near any of them is linked with it."""
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(3, " ".join(a)), (3, " ".join(b)), (5, " ".join([*a[:-1], "x"])), (6, " ".join([*b[:-1], "y"])), (7, "other words of another text")]
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs_of(rows)).collect()}
+    assert got == {3: 3, 5: 3, 6: 3, 7: 7}
+
+
 def test_estimates():
     rng = np.random.default_rng(6)
     errors = []

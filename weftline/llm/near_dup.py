@@ -275,10 +275,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all_ = stored(in_splits(sketches(docs), docs), "sketches")
     some = all_.where("n > 0 and doc_id is not null")
     classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes", few=32)
-    sets = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").dropDuplicates(["node", "n"]), "sets", few=8)
+    sets = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "set_id", "n", "bands").dropDuplicates(["node", "set_id"]), "sets", few=8)
     keys = sets.select("node", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("tinyint"))
     shared = keys.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
     members = stored(keys.join(shared, ["band", "key"]), "members", few=4)
+    # A doc_id with several sets is a node with several members of a bucket.
     starred = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     first = _estimated(starred, sets).groupBy("a").agg(F.min("b").alias("b"))
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
