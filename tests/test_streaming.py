@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.sources.feeds import paged, read_json_lines
+from weftline.sources.feeds import all_feed, paged, read_json_lines, recrawl
 from weftline.streaming import buffers, run, sinks
 
 ROW = "stream string, index long, event_type string, data string"
@@ -83,9 +83,186 @@ def test_checkpoint_table(spark, tmp_path):
 
 
 def test_batched_and_parallel(spark):
+    e = spark.createDataFrame([("a", 0, "t", "x"), ("a", 1, "t", "y"), ("b", 4, "t", "x"), ("c", 0, "t", "x")], ROW)
+    chosen = lambda p: p.where("stream <> 'c'").select("stream", F.when(F.col("stream") == "a", 2).otherwise(1).alias("ordinal"))
+    handle = lambda items: items.select("ordinal", F.lit("ok").alias("outcome"), F.when(F.col("ordinal") == 2, F.col("span.next")).otherwise(F.col("span.i")).alias("index_next"))
+    got = sinks.handle_batched(e, chosen, handle).collect()
+    assert {tuple(r) for r in got} == {("a", 0, 2, "ok", 2), ("b", 4, 4, "ok", 0)}
+    assert {r["n"] for r in sinks.handle_parallel(e, lambda p: pd.DataFrame({"n": p["index"] + 1}), "n long").collect()} == {1, 2, 5}
+
+
+def test_checkpoint_table_of_several_writers(spark, tmp_path):
+    """Two sources that write their batch 0 keep both positions; a query whose batch ids begin again comes behind an override; a repeated batch counts once."""
+    path, kind = str(tmp_path / "positions"), "source string, tranche string, consumer_group string, position long"
+    one = lambda source, position: spark.createDataFrame([(source, "0", "g", position)], kind)
+    t = run.CheckpointTable(spark, path)
+    t.commit(one("A", 10), 0, "qa")
+    t.commit(one("B", 20), 0, "qb")
+    t.commit(one("C", 30), 0)
+    t.commit(one("D", 40), 0)
+    assert {r["source"]: r["position"] for r in t.positions().collect()} == {"A": 10, "B": 20, "C": 30, "D": 40}
+    for batch, position in enumerate((100, 200, 300)):
+        t.commit(one("A", position), batch, "qa")
+    t.override("A", "0", "g", 50)
+    assert t.start("A", "0", "g") == 50
+    again = run.CheckpointTable(spark, path)
+    again.commit(one("A", 60), 0, "qa restarted")
+    assert again.start("A", "0", "g") == 60
+    assert [r["position"] for r in again.history().where("source = 'A'").collect()] == [100, 200, 300, 50, 60]
+    again.commit(one("A", 61), 0, "qa restarted")
+    assert again.history().where("source = 'A'").count() == 5
+    again.compact()
+    assert again.history().count() == 4
+    assert {r["source"]: r["position"] for r in again.positions().collect()} == {"A": 61, "B": 20, "C": 30, "D": 40}
+
+
+def test_nulls_and_copies_wait_in_order(spark, tmp_path):
+    """What waits behind a gap keeps its nulls; of copies the first arrival counts, in a micro-batch and before it."""
+    seen = str(tmp_path / "seen")
+
+    def handle(stream, events):
+        with open(seen, "a") as f:
+            f.write(json.dumps(events["data"].tolist()) + "\n")
+        return done(stream, events)
+
+    folder, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    kind = "arrival long, " + ROW
+    for rows in ([(9, "a", 1, "t", "late"), (2, "a", 1, "t", None), (3, "a", 2, "t", "x")], [(1, "a", 1, "t", "later"), (4, "a", 0, "t", "None")]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(folder)
+        run.run_to_end(buffers.project(spark.readStream.schema(kind).parquet(folder), handle, require_all=True), out, ck)
+    with open(seen) as f:
+        assert [json.loads(x) for x in f] == [["None", None, "x"]]
+
+
+def test_failed_streams_are_tried_again_on_a_timer(spark, tmp_path):
+    mark = tmp_path / "failed"
+
+    def handle(stream, events):
+        if not mark.exists():
+            mark.write_text("once")
+            raise RuntimeError("transient")
+        return done(stream, events)
+
+    folder = str(tmp_path / "in")
+    feed(spark, folder, [("a", 0, "t", "x")])
+    got = []
+    results = buffers.project(spark.readStream.schema(ROW).parquet(folder), handle, retry_ms=200)
+    with run.Tail(results, lambda df, _: got.extend(r["outcome"] for r in df.collect()), str(tmp_path / "ck"), 0.2) as tail:
+        for _ in range(100):
+            if "ok" in got:
+                break
+            tail.wait(0.3)
+    assert got == ["failed: RuntimeError", "ok"]
+
+
+def test_tail_goes_on_after_failures(spark, tmp_path):
+    folder, got, failures = str(tmp_path / "in"), [], [1, 2]
+    feed(spark, folder, [("a", 0, "t", "x")])
+
+    def handle(df, batch_id):
+        if failures:
+            raise RuntimeError(f"transient {failures.pop()}")
+        got.extend(r["index"] for r in df.collect())
+
+    stream = spark.readStream.schema(ROW).parquet(folder)
+    with run.Tail(stream, handle, str(tmp_path / "ck"), 0.1, wait_s=lambda k: 0.1) as tail:
+        assert tail.await_caught_up(60, fully=True)
+        assert got == [0]
+        feed(spark, folder, [("a", 1, "t", "x")])
+        tail.await_caught_up(60, fully=True)
+        assert got == [0, 1]
+    assert not tail.supervise()
+    with pytest.raises(RuntimeError, match="stopped"):
+        tail.await_caught_up(5)
+    failures += range(50)
+    feed(spark, folder, [("a", 2, "t", "x")])
+    with pytest.raises(Exception, match="transient"), run.Tail(stream, handle, str(tmp_path / "ck"), 0.1, wait_s=lambda k: 0.05, max_failures=2) as tail:
+        tail.wait(60)
+
+
+def test_retry():
+    left = [1, 2]
+
+    def step():
+        if left:
+            raise ValueError(left.pop())
+        return "done"
+
+    assert run.retry(step, lambda k: 0.01) == "done"
+    left += range(1000)
+    with pytest.raises(ValueError, match="9"):
+        run.retry(step, lambda k: 0.05, 0.2)
+
+
+def test_chunks_drain(spark):
+    """Every chunk keeps to the budgets; what a handler leaves begins the next chunk; failures and no progress stop the stream alone."""
+    rows = [(s, i, "t", "x", 10) for s in ("all", "half", "stuck", "bad") for i in range(10)] + [("big", 0, "t", "x", 1000), ("big", 1, "t", "x", 5)]
+    e = spark.createDataFrame(rows, ROW + ", size long")
+
+    def handle(stream, events):
+        if stream == "bad" and events["index"].iloc[0] >= 3:
+            raise RuntimeError("no")
+        if stream == "stuck":
+            return "ok", int(events["index"].iloc[0])
+        return "ok", int(events["index"].iloc[0]) + (2 if stream == "half" else len(events))
+
+    got = {}
+    for r in sinks.handle_chunks(e, handle, 3, 40).orderBy("stream", "i").collect():
+        got.setdefault(r["stream"], []).append((r["i"], r["index_next"], r["n_events"]))
+    assert got["all"] == [(0, 3, 3), (3, 6, 3), (6, 9, 3), (9, 10, 1)]
+    assert got["half"] == [(0, 2, 2), (2, 4, 2), (4, 6, 2), (6, 8, 2), (8, 10, 2)]
+    assert got["stuck"] == [(0, 0, 0)]
+    assert got["bad"] == [(0, 3, 3), (3, 3, 0)]
+    assert got["big"] == [(0, 1, 1), (1, 2, 1)]
+    by_bytes = sinks.handle_chunks(e.where("stream = 'all'"), handle, None, 40).orderBy("i").collect()
+    assert [(r["i"], r["index_next"]) for r in by_bytes] == [(0, 4), (4, 8), (8, 10)]
+    assert sinks.handle_streams(e.where("stream = 'all'"), handle).count() == 1
+    assert sinks.handle_chunks(e.limit(0), handle).count() == 0
+
+
+def test_long_streams_take_linear_time(spark):
+    from weftline.operators import index, spans
+
+    e = spark.range(400_000).select(F.lit("a").alias("stream"), F.col("id").alias("index"), F.lit(1).alias("size"))
+    assert spans.chunk_queue(e, 2, 100).count() == 200_000
+    b = spark.range(400_000).select(F.lit(0).alias("partition"), F.col("id").alias("batch"), F.lit(1).alias("size"))
+    assert index.assign_epochs(b, "size", 1, ["batch"]).agg(F.max("epoch")).first()[0] == 199_999
+
+
+def test_batched_results_must_be_whole(spark):
     e = spark.createDataFrame([("a", 0, "t", "x"), ("b", 0, "t", "x")], ROW)
-    assert [r["stream"] for r in sinks.handle_batched(e, lambda p: p.where("stream = 'a'"), lambda p: p).collect()] == ["a"]
-    assert {r["n"] for r in sinks.handle_parallel(e, lambda p: pd.DataFrame({"n": p["index"] + 1}), "n long").collect()} == {1}
+    some = lambda items: items.where("stream = 'a'").select("ordinal", F.lit("ok").alias("outcome"), F.lit(1).alias("index_next"))
+    with pytest.raises(Exception, match="b: not one result"):
+        sinks.handle_batched(e, lambda p: p.select("stream"), some).collect()
+
+
+def test_parallel_batches(spark):
+    rows = [(1, True, False), (1, True, False), (2, True, False), (2, None, None), (3, True, True)]
+    got = sinks.batch_states(spark.createDataFrame(rows, "batch int, done boolean, failed boolean")).collect()
+    assert {r["batch"]: r["state"] for r in got} == {1: "completed", 2: "busy", 3: "faulted"}
+
+
+def test_stripes_and_smaller_pages(spark):
+    def page(at, n):
+        if n > 2:
+            raise OSError("too large")
+        return [("S-1", i, "e", "x") for i in range(at, min(10, at + n))], min(10, at + n)
+
+    spark.dataSource.register(all_feed("striped_test", lambda: 10, page))
+    feed_ = spark.read.format("striped_test").option("stripe", "4").option("page_size", "8").option("least_page", "2").option("data", "false")
+    got = feed_.option("from", json.dumps({"0": 1})).load()
+    assert got.rdd.getNumPartitions() == 3
+    assert sorted((r["position"], r["data"]) for r in got.collect()) == [(k, None) for k in range(2, 11)]
+    assert spark.read.format("striped_test").option("from_tail", "true").load().count() == 0
+
+
+def test_recrawl(spark):
+    seen, positions = [], []
+    items = spark.range(5).toDF("k")
+    at = recrawl(lambda: items, lambda df, batch: seen.append((batch, df.count(), len(positions))), "k", 0.0, positions.append, 2)
+    assert seen == [(0, 4, 0), (1, 1, 0), (2, 4, 1), (3, 1, 1)]
+    assert at == positions[-1] >= positions[0]
+    assert recrawl(lambda: items.limit(0), lambda df, batch: None, "k", 0.0, positions.append, 1) == 0
 
 
 def test_paged_feed_from_position(spark):
@@ -102,6 +279,35 @@ def test_json_lines(spark, tmp_path, skip, truncate, want):
     assert sorted((r["line"], r["item"]["a"]) for r in got.collect()) == [(n, n) for n in want]
 
 
+def test_json_lines_of_several_files(spark, tmp_path):
+    """Each file is numbered by itself, whatever order and pieces it is read in."""
+    for name, n in (("a", 3), ("b", 40), ("c", 4000)):
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps({"a": k}) + "\n" for k in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = read_json_lines(spark, str(tmp_path), "a int", 2, 100).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    by = {}
+    for r in got:
+        by.setdefault(r["file"][-6], []).append((r["line"], r["item"]["a"]))
+    assert {k: sorted(v) for k, v in by.items()} == {k: [(i + 1, i) for i in range(2, min(n, 102))] for k, n in (("a", 3), ("b", 40), ("c", 4000))}
+
+
+def test_json_lines_by_http(spark, tmp_path):
+    import http.server
+    import threading
+
+    (tmp_path / "feed.json").write_text('{"a": 1}\n{"a": 2}\n')
+    handler = lambda *a: http.server.SimpleHTTPRequestHandler(*a, directory=str(tmp_path))
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        got = read_json_lines(spark, f"http://127.0.0.1:{server.server_address[1]}/feed.json", "a int").collect()
+        server.shutdown()
+    assert sorted((r["line"], r["item"]["a"]) for r in got) == [(1, 1), (2, 2)]
+
+
 def test_filters(spark):
     from weftline.functions.filters import allowed
 
@@ -132,11 +338,23 @@ def test_index_epochs_and_gaps(spark, tmp_path):
     from weftline.streaming.indexer import GapError, IndexTable
 
     kind = "partition long, p string, index long, event_type string"
-    t = IndexTable(spark, str(tmp_path / "ix"), epoch_events=2, on_gap="error")
-    t.ingest(spark.createDataFrame([(0, "a", 0, "x"), (0, "a", 1, "x")], kind), 0)
-    t.ingest(spark.createDataFrame([(0, "a", 1, "x"), (0, "a", 2, "y")], kind), 1)
-    t.ingest(spark.createDataFrame([(0, "a", 1, "x"), (0, "a", 2, "y")], kind), 1)
-    assert {(r["epoch"], r["index"]) for r in t.rows().collect()} == {(0, 0), (0, 1), (1, 2)}
-    assert t.versions().first()["version"] == 3
-    with pytest.raises(GapError):
-        t.ingest(spark.createDataFrame([(0, "a", 5, "x")], kind), 2)
+    batch = lambda *rows: spark.createDataFrame([(0, *r) for r in rows], kind)
+    t = IndexTable(spark, str(tmp_path / "ix"), epoch_bytes=11, on_gap="error")
+    t.ingest(batch(("a", 0, "x"), ("a", 1, "x")), 0)
+    assert [(r["epoch"], r["bytes"], r["streams"], r["closed"]) for r in t.epochs().collect()] == [(0, 11, 1, False)]
+    for _ in range(2):
+        t.ingest(batch(("a", 1, "x"), ("a", 2, "y")), 1)
+    t.ingest(batch(("a", 3, "y"), ("b", 0, "z")), 2)
+    assert {(r["epoch"], r["p"], r["index"]) for r in t.rows().collect()} == {(0, "a", 0), (0, "a", 1), (0, "a", 2), (1, "a", 3), (1, "b", 0)}
+    assert {(r["p"], r["version"], r["epoch"]) for r in t.versions().collect()} == {("a", 4, 1), ("b", 1, 1)}
+    with pytest.raises(GapError, match="a: 5 after 4"):
+        t.ingest(batch(("a", 5, "x")), 3)
+    left = IndexTable(spark, str(tmp_path / "iy"), epoch_versions=2)
+    left.ingest(batch(("a", 0, "x"), ("a", 2, "x")), 0)
+    left.ingest(batch(("a", 1, "x")), 1)
+    left.ingest(batch(("a", 2, "x")), 2)
+    assert sorted((r["epoch"], r["index"]) for r in left.rows().collect()) == [(0, 0), (0, 1), (1, 2)]
+    few = IndexTable(spark, str(tmp_path / "iz"), epoch_streams=2)
+    few.ingest(batch(("a", 0, "x"), ("b", 0, "x")), 0)
+    few.ingest(batch(("a", 1, "x")), 1)
+    assert sorted((r["p"], r["epoch"]) for r in few.rows().collect()) == [("a", 0), ("a", 1), ("b", 0)]

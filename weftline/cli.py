@@ -3,8 +3,10 @@
     python -m weftline.cli init PATH
     python -m weftline.cli checkpoint PATH [--source S --tranche T --group G --position N]
     python -m weftline.cli index EXPORT [--gaps-limit N]
-    python -m weftline.cli sync stats --from-json FILE [--skip N --truncate N --categories C ...]
-    python -m weftline.cli sync kafka TOPIC SERVERS --from-json FILE
+    python -m weftline.cli sync stats --from-json FILE_OR_URL [--skip N --truncate N --categories C ...]
+    python -m weftline.cli sync kafka TOPIC SERVERS --from-parquet PATH
+    python -m weftline.cli sync table PATH --from-documents FILE
+    python -m weftline.cli sync stats --from-jdbc URL --messages QUERY --category C ... --checkpoints PATH
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from .functions import codec, filters
 from .functions.names import category
 from .operators import index, spans
 from .session import ship
-from .sources.feeds import read_json_lines
+from .sources.feeds import jdbc_category, poll_categories, read_json_lines
 from .streaming.run import CheckpointTable
 from .streaming.sinks import produce_spans
 
@@ -39,9 +41,17 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("export")
     i.add_argument("--gaps-limit", type=int, default=10)
     s = sub.add_parser("sync", help="read a source into a sink")
-    s.add_argument("sink", choices=("stats", "kafka"))
-    s.add_argument("target", nargs="*", help="topic and servers of the kafka sink")
-    s.add_argument("--from-json", required=True, metavar="FILE")
+    s.add_argument("sink", choices=("stats", "kafka", "table"))
+    s.add_argument("target", nargs="*", help="topic and servers of the kafka sink, the path of the table sink")
+    source = s.add_mutually_exclusive_group(required=True)
+    source.add_argument("--from-json", metavar="FILE", help="JSON lines of events; an http(s) URL is downloaded")
+    source.add_argument("--from-parquet", metavar="PATH", help="a table of events")
+    source.add_argument("--from-documents", metavar="FILE", help="JSON lines of a change feed's documents")
+    source.add_argument("--from-jdbc", metavar="URL", help="a database with category feeds")
+    s.add_argument("--messages", help="the database's query, with {category}, {position} and {limit}")
+    s.add_argument("--category", nargs="*", default=[], help="categories to poll")
+    s.add_argument("--checkpoints", metavar="PATH", help="table of the polled categories' positions")
+    s.add_argument("--page-size", type=int, default=500)
     s.add_argument("--skip", type=int, default=0)
     s.add_argument("--truncate", type=int)
     for name in ("categories", "deny-categories", "streams", "deny-streams", "events", "deny-events"):
@@ -87,14 +97,34 @@ def main(argv: list[str] | None = None) -> int:
         index_summary(spark, args.export).show(truncate=False)
         gapped_streams(spark, args.export, args.gaps_limit).show(args.gaps_limit, False)
     else:
-        items = read_json_lines(spark, args.from_json, EVENT, args.skip, args.truncate)
-        events = selected(items.select("item.*"), args)
-        if args.sink == "stats":
-            sync_stats(events).show(1000, False)
+        if args.from_jdbc:
+            read = jdbc_category(spark, {"url": args.from_jdbc}, args.messages)
+            poll_categories(read, args.category, lambda page, _: sink(page, args), CheckpointTable(spark, args.checkpoints), args.from_jdbc, page_size=args.page_size)
         else:
-            produce_spans(events.where("handled"), *args.target)
+            sink(source(spark, args), args)
     return 0
 
 
+def source(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """stream, index, event_type, data, meta, ts of the source that was asked for."""
+    if args.from_json:
+        return read_json_lines(spark, args.from_json, EVENT, args.skip, args.truncate).select("item.*")
+    if args.from_documents:
+        docs = codec.document_events(spark.read.text(args.from_documents), unfolds=False)
+        return docs.select("stream", "index", "event_type", "data", F.lit(None).cast("string").alias("meta"), "ts")
+    given = spark.read.parquet(args.from_parquet)
+    return codec.timeline_rows(given, {c: c for c in ("stream", "index", "event_type", "data", "meta", "ts") if c in given.columns})
+
+
+def sink(rows: DataFrame, args: argparse.Namespace) -> None:
+    events = selected(rows, args)
+    if args.sink == "stats":
+        sync_stats(events).show(1000, False)
+    elif args.sink == "kafka":
+        produce_spans(events.where("handled"), *args.target)
+    else:
+        events.where("handled").drop("handled").write.mode("append").parquet(args.target[0])
+
+
 if __name__ == "__main__":
     sys.exit(main())

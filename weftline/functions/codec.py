@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DOCUMENT, RENDERED_SPAN
@@ -62,3 +62,17 @@ def change_records(df: DataFrame, index_prefix: str = "$") -> DataFrame:
     kept = df.where((F.col("event_name") != "REMOVE") & ~F.col("p").startswith(index_prefix) & (F.col("a") > 0))
     types = F.slice("c", -F.col("a").cast("int"), F.col("a").cast("int"))
     return kept.select("p", (F.col("n") - F.size(types)).alias("i"), types.alias("c"))
+
+
+def timeline_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows of any store's feed as stream events. columns: this package's names (stream, index, event_type, data, meta, event_id, ts, position) to the store's; others are null."""
+    kinds = {"stream": "string", "index": "long", "event_type": "string", "data": "string", "meta": "string", "event_id": "string", "ts": "timestamp", "position": "long"}
+    unknown = set(columns) - set(kinds)
+    if unknown:
+        raise ValueError(f"unknown columns: {sorted(unknown)}")
+    return df.select(*[(F.col(columns[c]) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def choose(df: DataFrame, keep: Column, **columns: Column) -> DataFrame:
+    """Rows for which keep holds, as the given columns: a mapping that may leave events out."""
+    return df.where(keep).select(*[c.alias(name) for name, c in columns.items()])

@@ -30,6 +30,11 @@ def composed_id(*parts: Column) -> Column:
     return F.concat_ws("_", *parts)
 
 
+def id_parts(name: Column) -> Column:
+    """The parts of a composed stream id: what is behind the first dash, cut at _."""
+    return F.split(F.regexp_extract(name, "^[^-]*-(.*)$", 1), "_")
+
+
 def series_key(source: Column, tranche: Column) -> Column:
     """Checkpoint series: the source, or source_tranche where there is one."""
     return F.concat_ws("_", source, F.nullif(tranche, F.lit("")))

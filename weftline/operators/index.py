@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def classify(spans: DataFrame, versions: DataFrame) -> DataFrame:
@@ -59,11 +63,89 @@ def not_reached(targets: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def assign_epochs(batches: DataFrame, size: str, most: int, order: list[str], key: str = "partition") -> DataFrame:
-    """epoch of every batch: an epoch takes batches until its size exceeds `most`; then it is closed. A fold over the partition's sizes in order."""
-    q = batches.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, size))).alias("q"))
-    fold = f"""aggregate(q, named_struct('out', cast(array() as array<int>), 'epoch', 0, 'held', 0L),
-      (s, x) -> named_struct('out', concat(s.out, array(s.epoch)), 'epoch', if(s.held + x.{size} > {most}, s.epoch + 1, s.epoch), 'held', if(s.held + x.{size} > {most}, 0L, s.held + x.{size})), s -> s.out)"""
-    return q.select(key, F.explode(F.arrays_zip("q", F.expr(fold).alias("epoch"))).alias("x")).select(key, "x.q.*", "x.epoch")
+    """epoch of every batch: an epoch takes batches until its size exceeds `most`; then it is closed. Rows reach a task in order and are numbered as they come."""
+    kind = T.StructType([*batches.schema.fields, T.StructField("epoch", T.IntegerType())])
+
+    def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: object = None
+        epoch = held = 0
+        first = True
+        for part in parts:
+            out = []
+            for k, n in zip(part.column(key).to_pylist(), part.column(size).to_pylist(), strict=True):
+                if first or k != last:
+                    last, epoch, held, first = k, 0, 0, False
+                out.append(epoch)
+                held += n
+                if held > most:
+                    epoch, held = epoch + 1, 0
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], [*part.schema.names, "epoch"])
+
+    return batches.repartition(key).sortWithinPartitions(key, *order).mapInArrow(number, kind)
+
+
+BUFFER = "p string, step long, ok boolean, write_pos long, ready_i long, ready_n long"
+
+
+def index_buffer(operations: DataFrame) -> DataFrame:
+    """The index buffer's answers, step by step: p, step, ok, write_pos, ready_i, ready_n. operations: p, step, op, i, n.
+
+    `log` records a span of the index: refused (not ok) if it begins behind the write position, which it else moves. `ingest` takes a span of data: the
+    buffer says which contiguous span from the write position on is ready (null for none), and keeps what isn't yet.
+    """
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pos, held = None, 0, []
+        for part in parts:
+            out: list[tuple] = []
+            for p, step, op, i, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if p != last:
+                    last, pos, held = p, 0, []
+                ok, ready = True, (None, None)
+                if op == "log":
+                    ok = i <= pos
+                    pos = max(pos, i + n) if ok else pos
+                else:
+                    held.append((i, i + n))
+                held = _joined([(max(a, pos), b) for a, b in held if b > pos])
+                if op == "ingest" and held and held[0][0] == pos:
+                    ready = (pos, held[0][1] - pos)
+                out.append((p, step, ok, pos, *ready))
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["p", "step", "ok", "write_pos", "ready_i", "ready_n"])
+
+    rows = operations.select(F.col("p").cast("string"), F.col("step").cast("long"), F.col("op").cast("string"), F.col("i").cast("long"), F.col("n").cast("long"))
+    return rows.repartition("p").sortWithinPartitions("p", "step").mapInArrow(fold, BUFFER)
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def read_epoch(changes: DataFrame, epoch: Column, least: Column) -> DataFrame:
+    """partition, n, version, closed: changes (partition, epoch, seq, kind) of one epoch from a sequence on, and what the epoch says of itself."""
+    here = changes.where(F.col("epoch") == epoch)
+    seen = F.col("seq") >= least
+    return here.groupBy("partition", "epoch").agg(F.count(F.when(seen & (F.col("kind") != "closed"), 1)).alias("n"), (F.max("seq") + 1).alias("version"), F.max(F.col("kind") == "closed").alias("closed"))
+
+
+def load_index(changes: DataFrame) -> DataFrame:
+    """partition, epochs, spans, gapped: what a walk over a partition's epochs, from 0 on while they are closed, loads. changes: partition, epoch, p, i, n, closed."""
+    epochs = changes.groupBy("partition", "epoch").agg(F.max("closed").alias("closed"))
+    before = F.min(F.col("closed").cast("int")).over(Window.partitionBy("partition").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1))
+    at = F.row_number().over(Window.partitionBy("partition").orderBy("epoch")) - 1
+    walked = epochs.withColumn("__open", before).withColumn("__at", at).where((F.coalesce("__open", F.lit(1)) == 1) & (F.col("__at") == F.col("epoch")))
+    spans = changes.join(walked.select("partition", "epoch"), ["partition", "epoch"])
+    reach = F.max(F.col("i") + F.col("n")).over(Window.partitionBy("partition", "p").orderBy("epoch", "i").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("gapped", F.col("i") > F.coalesce(reach, F.lit(0)))
+    return spans.groupBy("partition").agg(F.countDistinct("epoch").alias("epochs"), F.count("*").alias("spans"), F.sum(F.col("gapped").cast("long")).alias("gapped"))
 
 
 def prune(events: DataFrame, until: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ All operators deal rows out by stream once; the windows and the aggregate after
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,24 +47,22 @@ def merge_spans(rows: DataFrame, key: Sequence[str] = ("stream",)) -> DataFrame:
     span's first index), index, is_unfold, event_type, pos, span_no. Streams with nothing left give no rows.
     """
     key = list(key)
-    live = rows.where(F.col("index") >= F.col("min"))
-    first = F.min("index").over(Window.partitionBy(*key, "span_no"))
-    live = live.withColumn("span_i", first)
-    top = F.max(F.when(F.col("is_unfold"), F.col("index")).otherwise(F.col("index") + 1)).over(Window.partitionBy(*key))
-    live = live.withColumn("top", top)
-    events = live.where(~F.col("is_unfold"))
-    once = Window.partitionBy(*key, "index").orderBy("span_i", "span_no")
-    events = events.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    events = events.withColumn("island", F.col("index") - F.row_number().over(Window.partitionBy(*key).orderBy("index")))
-    spanned = events.withColumn("out_i", F.min("index").over(Window.partitionBy(*key, "island")))
-    ends = spanned.groupBy(*key, "out_i").agg((F.max("index") + 1).alias("end"))
-    unfolds = live.where(F.col("is_unfold") & (F.col("index") == F.col("top")))
-    latest = F.max(F.struct("span_i", "span_no")).over(Window.partitionBy(*key))
-    unfolds = unfolds.withColumn("latest", latest).where((F.col("latest.span_i") == F.col("span_i")) & (F.col("latest.span_no") == F.col("span_no")))
-    host = ends.select(*key, F.col("end").alias("index"), "out_i")
-    unfolds = unfolds.join(host, [*key, "index"], "left").withColumn("out_i", F.coalesce("out_i", "index"))
-    cols = [*key, "out_i", "index", "is_unfold", "event_type", "pos", "span_no"]
-    return spanned.select(*cols).unionByName(unfolds.select(*cols))
+    whole = Window.partitionBy(*key)
+    # All windows partition by the key and more, so that they share this exchange.
+    live = rows.where(F.col("index") >= F.col("min")).repartition(*key)
+    end = F.when(F.col("is_unfold"), F.col("index")).otherwise(F.col("index") + 1)
+    live = live.withColumns({"span_i": F.min("index").over(Window.partitionBy(*key, "span_no")), "top": F.max(end).over(whole)})
+    span = F.struct("span_i", "span_no")
+    last = F.col("is_unfold") & (F.col("index") == F.col("top"))
+    copy = F.row_number().over(Window.partitionBy(*key, "is_unfold", "index").orderBy("span_i", "span_no"))
+    live = live.withColumns({"copy": copy, "latest": F.max(F.when(last, span)).over(whole)})
+    live = live.where(F.when(F.col("is_unfold"), last & (F.col("latest") == span)).otherwise(F.col("copy") == 1))
+    island = F.col("index") - F.row_number().over(Window.partitionBy(*key, "is_unfold").orderBy("index"))
+    live = live.withColumn("island", F.when(~F.col("is_unfold"), island))
+    live = live.withColumn("out_i", F.min("index").over(Window.partitionBy(*key, "is_unfold", "island")))
+    host = F.max(F.when(~F.col("is_unfold") & (F.col("index") + 1 == F.col("top")), F.col("out_i"))).over(whole)
+    out_i = F.when(F.col("is_unfold"), F.coalesce(host, F.col("index"))).otherwise(F.col("out_i"))
+    return live.withColumn("out_i", out_i).select(*key, "out_i", "index", "is_unfold", "event_type", "pos", "span_no")
 
 
 def drop_before(rows: DataFrame, position: Column) -> DataFrame:
@@ -71,6 +70,11 @@ def drop_before(rows: DataFrame, position: Column) -> DataFrame:
     return rows.where(F.col("index") >= position)
 
 
+def strip_unfolds(rows: DataFrame) -> DataFrame:
+    """Events alone."""
+    return rows.where(~F.col("is_unfold"))
+
+
 def slice_prefix(events: DataFrame, max_events: int, max_bytes: int, key: str = "stream") -> DataFrame:
     """Each stream's longest prefix within both budgets, at least one event."""
     w = w_index(key)
@@ -82,17 +86,48 @@ def slice_prefix(events: DataFrame, max_events: int, max_bytes: int, key: str =
 def chunk_queue(events: DataFrame, max_events: int, max_bytes: int, key: str = "stream") -> DataFrame:
     """stream, chunk_no, i, next, bytes: the whole queue cut greedily; each chunk is the longest within both budgets, at least one event.
 
-    A fold over the stream's ordered sizes: what one task holds is a stream's (index, size) pairs, as per-stream order demands.
+    Rows reach a task in order of stream and index, and are cut as they come: a task holds one Arrow batch, however long a stream is.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list | None = None  # key, chunk_no, i, n, bytes
+        for batch in batches:
+            out: list[list] = []
+            for k, index, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is not None and now[0] == k and now[3] < max_events and now[4] + size <= max_bytes:
+                    now[3] += 1
+                    now[4] += size
+                    continue
+                if now is not None:
+                    out.append(now)
+                now = [k, now[1] + 1 if now is not None and now[0] == k else 0, index, 1, size]
+            yield _chunks(out, key)
+        if now is not None:
+            yield _chunks([now], key)
+
+    rows = events.select(F.col(key).cast("string").alias(key), F.col("index").cast("long"), F.col("size").cast("long"))
+    ordered = rows.repartition(key).sortWithinPartitions(key, "index")
+    return ordered.mapInArrow(cut, f"{key} string, chunk_no int, i long, next long, bytes long")
+
+
+def _chunks(rows: list[list], key: str) -> pa.RecordBatch:
+    name, no, i, n, size = zip(*rows, strict=True) if rows else [()] * 5
+    after = [a + b for a, b in zip(i, n, strict=True)]
+    columns = [pa.array(name, pa.string()), pa.array(no, pa.int32()), *(pa.array(x, pa.int64()) for x in (i, after, size))]
+    return pa.RecordBatch.from_arrays(columns, [key, "chunk_no", "i", "next", "bytes"])
+
+
+def numbered(rows: DataFrame, bucket: Column, *order: Column | str) -> DataFrame:
+    """rows with number, from 0, in order of bucket and then of order. bucket: a column that grows with the order and cuts it into parts that a task can sort.
+
+    Parts are counted first and numbered apart; what is gathered is a row a part.
     """
-    queue = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "size"))).alias("q"))
-    chunk = "struct<chunk_no:int,i:bigint,n:int,bytes:bigint>"
-    fold = f"""aggregate(q, named_struct('done', cast(array() as array<{chunk}>), 'open', cast(null as {chunk})),
-      (s, x) -> if(s.open is null, named_struct('done', s.done, 'open', named_struct('chunk_no', 0, 'i', x.index, 'n', 1, 'bytes', x.size)),
-        if(s.open.n + 1 > {max_events} or s.open.bytes + x.size > {max_bytes},
-          named_struct('done', concat(s.done, array(s.open)), 'open', named_struct('chunk_no', s.open.chunk_no + 1, 'i', x.index, 'n', 1, 'bytes', x.size)),
-          named_struct('done', s.done, 'open', named_struct('chunk_no', s.open.chunk_no, 'i', s.open.i, 'n', s.open.n + 1, 'bytes', s.open.bytes + x.size)))),
-      s -> if(s.open is null, s.done, concat(s.done, array(s.open))))"""
-    return queue.select(key, F.explode(F.expr(fold)).alias("c")).select(key, "c.chunk_no", "c.i", (F.col("c.i") + F.col("c.n")).alias("next"), "c.bytes")
+    parts = rows.groupBy(bucket.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    begins = parts.select("__part", F.coalesce(before, F.lit(0)).alias("__begin"))
+    placed = rows.withColumn("__part", bucket).join(begins, "__part")
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return placed.withColumn("number", (F.col("__begin") + within).cast("long")).drop("__part", "__begin")
 
 
 def sequence_index(rows: DataFrame, arrival: Sequence[str], key: str = "stream") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import numbered
+
 
 def head_spans(spans: DataFrame, key: str = "stream") -> DataFrame:
     """Each stream's first span."""
@@ -51,7 +53,13 @@ def priority_order(pending: DataFrame) -> DataFrame:
     head = pending.agg(F.min("batch").alias("head"))
     own = pending.groupBy("stream").agg(F.min("batch").alias("batch"), F.max_by("weight", -F.col("batch")).alias("weight"))
     keyed = own.join(F.broadcast(head)).withColumn("__w", F.when(F.col("batch") == F.col("head"), -F.col("weight")).otherwise(F.lit(0)))
-    return keyed.select("stream", "batch", F.row_number().over(Window.orderBy("batch", "__w", "stream")).alias("rank"))
+    return numbered(keyed, F.col("batch"), "__w", "stream").select("stream", "batch", (F.col("number") + 1).cast("int").alias("rank"))
+
+
+def within_capacity(waiting: DataFrame, shard: str, order: list[str], slots: Column) -> DataFrame:
+    """Of each shard's waiting rows, by order, as many as it has slots: a limit on what is in flight at once."""
+    at = F.row_number().over(Window.partitionBy(shard).orderBy(*order))
+    return waiting.withColumn("__at", at).where(F.col("__at") <= slots).drop("__at")
 
 
 def round_robin(batches: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import filters
-from ..functions.names import category, series_key
-from ..operators import feeds, index, metrics, spans, state
+from ..functions import codec, filters
+from ..functions.names import category, composed_id, id_parts, series_key
+from ..operators import feeds, index, metrics, reports, spans, state
 from ..sources.tables import LINE_ORDER, conversations, order_lines, table, user_events
 from .catalog import query
 from .q_index import RECORDED, SPANS, _recorded, _spans
@@ -134,7 +134,7 @@ def ingester_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id % 6 AS rng, CAST(count(*) AS BIGINT) AS docs, round(sum(value), 4) AS cost, CAST(count(*) FILTER (WHERE value > 40) AS BIGINT) AS lag, count(*) FILTER (WHERE value > 90) = 0 AS synced FROM events GROUP BY 1")
 def changefeed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).groupBy((F.col("user_id") % 6).alias("rng")).agg(F.count("*").alias("docs"), F.round(F.sum("value"), 4).alias("cost"), metrics.count_if(F.col("value") > 40).alias("lag"), (metrics.count_if(F.col("value") > 90) == 0).alias("synced"))
+    return reports.changefeed_stats(_events(spark, sf_dir), F.col("user_id") % 6, F.col("value"), F.col("value") > 40, F.col("value") > 90)
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS events, CAST(sum(length(props)) AS BIGINT) AS bytes, round(sum(length(props)) / (max(floor(epoch(ts))) - min(floor(epoch(ts)))), 6) AS bytes_per_s FROM events")
@@ -145,21 +145,19 @@ def reader_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS label, max_by(value, event_id) AS gauge, CAST(count(*) AS BIGINT) AS counter, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def labelled_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).groupBy(F.col("event_type").alias("label")).agg(F.max_by("value", "event_id").alias("gauge"), F.count("*").alias("counter"), F.round(F.sum("value"), 4).alias("total"))
+    return reports.gauges(_events(spark, sf_dir).withColumn("label", F.col("event_type")), ["label"], "value", "event_id")
 
 
 @query(f"SELECT tag, CAST(count(*) AS BIGINT) AS n, min(value) AS min, max(value) AS max FROM (SELECT CASE WHEN {KIND} = 'ok' THEN concat('Shard', user_id % 5) ELSE {KIND} END AS tag, value FROM events) GROUP BY tag")
 def outcome_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successes by category, all else by kind."""
     e = _events(spark, sf_dir).withColumn("kind", metrics.outcome_kind(F.col("event_type"), F.col("value"), 40))
-    tag = F.when(F.col("kind") == "ok", F.concat(F.lit("Shard"), (F.col("user_id") % 5).cast("string"))).otherwise(F.col("kind"))
-    return e.groupBy(tag.alias("tag")).agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return reports.outcome_latency(e, "kind", F.concat(F.lit("Shard"), (F.col("user_id") % 5).cast("string")), "value")
 
 
 @query(f"SELECT event_id, round(value / count(*) OVER (PARTITION BY user_id, {DAY}), 6) AS share FROM events")
 def latency_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id", _day())
-    return _events(spark, sf_dir).select("event_id", F.round(F.col("value") / F.count("*").over(w), 6).alias("share"))
+    return _events(spark, sf_dir).select("event_id", reports.latency_share(["user_id", _day()], "value").alias("share"))
 
 
 @query(f"SELECT r.batch, r.stream, CAST(r.required - p.write_pos AS BIGINT) AS behind FROM {REQUIRED} r JOIN {PROGRESS} p USING (stream) WHERE r.batch = (SELECT min(batch) FROM {REQUIRED}) AND p.write_pos < r.required ORDER BY behind DESC, stream LIMIT 10")
@@ -177,34 +175,96 @@ def loads_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("index % 3 = 1").select("stream").join(c.where("event_type = 'system'").select("stream"), "stream", "left_anti").distinct()
 
 
-@query(f"SELECT stream, CAST(i AS BIGINT) AS i, CAST(next AS BIGINT) AS next, CAST(n AS BIGINT) AS n FROM {islands(f'(SELECT stream, {chr(34)}index{chr(34)} FROM (SELECT * FROM {ORDER} WHERE l_orderkey % 2 = 0 UNION SELECT * FROM {ORDER} WHERE l_orderkey % 3 = 0))')}")
+@query(f"SELECT stream, CAST(i AS BIGINT) AS i, CAST(next AS BIGINT) AS next, CAST(n AS BIGINT) AS n FROM {islands(ORDER)}")
 def merge_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two buffers with streams in common, merged."""
+    """Two buffers with streams and events in common, merged: between them they hold every line."""
     o = order_lines(spark, sf_dir)
-    return spans.merge_events(o.where("l_orderkey % 2 = 0").unionByName(o.where("l_orderkey % 3 = 0")), LINE_ORDER)
+    return spans.merge_events(o.where("partkey % 2 = 0 or suppkey % 3 = 0").unionByName(o.where("partkey % 2 = 1 or suppkey % 5 = 0")), LINE_ORDER)
 
 
 @query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at_s, CAST((SELECT max(floor(epoch(ts))) FROM events) - floor(epoch(ts)) AS BIGINT) AS age_s FROM events")
 def item_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed items' times from their seconds field, and their ages at the newest."""
     e = _events(spark, sf_dir).select("event_id", F.to_json(F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("_ts"))).alias("j"))
-    t = e.select("event_id", F.timestamp_seconds(F.get_json_object("j", "$._ts").cast("long")).alias("at"))
-    now = t.agg(F.max("at").alias("now"))
-    return t.join(F.broadcast(now)).select("event_id", F.unix_seconds("at").alias("at_s"), (F.unix_seconds("now") - F.unix_seconds("at")).alias("age_s"))
+    t = e.select("event_id", reports.item_time("j").alias("at"))
+    return reports.ages(t, "at").select("event_id", F.unix_seconds("at").alias("at_s"), "age_s")
 
 
-@query("SELECT epoch, CAST(count(*) AS BIGINT) AS changes, bool_or(event_type = 'signup') AS closed FROM (SELECT event_id // 500 AS epoch, event_id % 500 AS seq, event_type FROM events) WHERE seq >= 100 GROUP BY epoch")
+@query("""SELECT user_id % 4 AS partition, CAST(count(*) FILTER (WHERE seq >= 100 AND event_type <> 'signup') AS BIGINT) AS n, CAST(max(seq) + 1 AS BIGINT) AS version, bool_or(event_type = 'signup') AS closed
+  FROM (SELECT *, event_id % 500 AS seq FROM events WHERE event_id // 500 = user_id % 4) GROUP BY 1""")
 def epoch_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of each epoch from a sequence number on, and whether it has been closed."""
-    e = _events(spark, sf_dir).select(F.expr("event_id div 500").alias("epoch"), (F.col("event_id") % 500).alias("seq"), "event_type")
-    return e.where("seq >= 100").groupBy("epoch").agg(F.count("*").alias("changes"), F.expr("bool_or(event_type = 'signup')").alias("closed"))
+    """Changes of one epoch of each partition from a sequence number on, its version, and whether it has been closed."""
+    kind = F.when(F.col("event_type") == "signup", "closed").otherwise("change").alias("kind")
+    c = _events(spark, sf_dir).select((F.col("user_id") % 4).alias("partition"), F.expr("event_id div 500").alias("epoch"), (F.col("event_id") % 500).alias("seq"), kind)
+    return index.read_epoch(c, F.col("partition"), F.lit(100)).select("partition", "n", "version", "closed")
 
 
-@query("SELECT DISTINCT user_id % 8 AS partition, CAST(max(event_id) OVER (PARTITION BY user_id % 8, event_id // 1000) AS BIGINT) AS target, event_id // 1000 AS message FROM events")
+@query("SELECT DISTINCT user_id % 8 AS partition, CAST(max(event_id) OVER (PARTITION BY user_id % 8, event_id // 1000) AS BIGINT) AS target, CAST(event_id // 1000 AS VARCHAR) AS message_id FROM events")
 def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target positions by partition and message."""
-    e = _events(spark, sf_dir).select((F.col("user_id") % 8).alias("partition"), F.expr("event_id div 1000").alias("message"), "event_id")
-    return e.groupBy("partition", "message").agg(F.max("event_id").alias("target"))
+    """Target positions by partition and message, from the messages' JSON; other messages are left out."""
+    e = _events(spark, sf_dir).select((F.col("user_id") % 8).alias("partition"), F.expr("event_id div 1000").cast("string").alias("message_id"), "event_id")
+    sent = e.groupBy("partition", "message_id").agg(F.max("event_id").alias("position"))
+    bodies = sent.select("message_id", F.to_json(F.struct("partition", "position")).alias("body"))
+    other = spark.createDataFrame([("x", "no body"), ("y", None)], bodies.schema)
+    return reports.notification_targets(bodies.unionByName(other))
+
+
+@query("""SELECT (row_number() OVER (ORDER BY partition) - 1) // 10 AS message, partition, target, concat(partition, ':', target) AS dedup_id
+  FROM (SELECT user_id % 32 AS partition, CAST(max(event_id) AS BIGINT) AS target FROM events GROUP BY 1)""")
+def notifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each partition's highest position, ten partitions a message."""
+    return reports.notifications(_events(spark, sf_dir).withColumn("partition", F.col("user_id") % 32), "event_id")
+
+
+@query("""SELECT event_type, CAST(count(*) AS BIGINT) AS calls, CAST(sum(user_id % 7) AS BIGINT) AS events, CAST(sum(length(props)) AS BIGINT) AS bytes, max(value) AS prepare_ms_max, round(avg(value), 6) AS prepare_ms_avg
+  FROM events GROUP BY event_type""")
+def sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a syncing sink by outcome, with the time that preparing took."""
+    e = _events(spark, sf_dir).select("event_type", (F.col("user_id") % 7).alias("n"), F.length("props").alias("size"), "value")
+    return reports.sync_stats(e, "event_type", "n", "size", "value")
+
+
+@query("""SELECT line FROM (SELECT concat('feed_events_total{event_type="', event_type, '",shard="', user_id % 3, '"} ', count(*)) AS line FROM events GROUP BY event_type, user_id % 3
+  UNION ALL SELECT '# TYPE feed_events_total counter')""")
+def exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters with labels in the text format of metrics scrapers."""
+    e = _events(spark, sf_dir).groupBy("event_type", (F.col("user_id") % 3).alias("shard")).agg(F.count("*").alias("value"))
+    return metrics.exposition(e, "feed_events_total", "counter", ["event_type", "shard"])
+
+
+@query("""SELECT le, bounds, CAST(count(*) FILTER (WHERE value / 100 <= le) AS BIGINT) AS n FROM events,
+  (SELECT 'handlers' AS bounds, 0.001 * power(2, unnest(range(0, 16))) AS le UNION ALL SELECT 'charges', CAST(power(2, unnest(range(0, 9))) AS DOUBLE)) GROUP BY ALL""")
+def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histograms of handlers' latencies and of request charges."""
+    e = _events(spark, sf_dir).select((F.col("value") / 100).alias("v"))
+    of = lambda name, bounds: metrics.histogram(e, "v", bounds).withColumn("bounds", F.lit(name))
+    return of("handlers", metrics.HANDLER_BUCKETS).unionByName(of("charges", metrics.CHARGE_BUCKETS))
+
+
+@query("SELECT concat('Order-', o_orderkey, '_', o_custkey) AS stream, CAST(o_orderkey AS VARCHAR) AS first, CAST(o_custkey AS VARCHAR) AS second FROM orders WHERE o_orderstatus <> 'F'")
+def composed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of several parts, composed and taken apart; a mapping that leaves some orders out."""
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("Order-"), composed_id(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")))
+    some = codec.choose(o, F.col("o_orderstatus") != "F", stream=name)
+    parts = id_parts(F.col("stream"))
+    return some.select("stream", parts[0].alias("first"), parts[1].alias("second"))
+
+
+@query(f"SELECT stream, CAST(event_id AS BIGINT) AS position, CAST(\"index\" AS BIGINT) AS \"index\", event_type, data FROM {USER}")
+def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store's rows under its own names as stream events."""
+    theirs = user_events(spark, sf_dir).select(F.col("stream").alias("StreamId"), F.col("index").alias("Version"), F.col("event_type").alias("Type"), F.col("data").alias("Json"), F.col("event_id").alias("Checkpoint"))
+    names = {"stream": "StreamId", "index": "Version", "event_type": "Type", "data": "Json", "position": "Checkpoint"}
+    return codec.timeline_rows(theirs, names).select("stream", "position", "index", "event_type", "data")
+
+
+@query(f"SELECT stream, CAST(\"index\" AS BIGINT) AS \"index\", event_type FROM {CONV}")
+def strip_unfolds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without the unfolds beside them."""
+    c = conversations(spark, sf_dir).select("stream", "index", "event_type")
+    both = c.withColumn("is_unfold", F.lit(False)).unionByName(c.withColumn("is_unfold", F.lit(True)))
+    return spans.strip_unfolds(both).select("stream", "index", "event_type")
 
 
 @query("SELECT DISTINCT event_type AS source, CASE WHEN user_id % 2 = 0 THEN '' ELSE CAST(user_id % 4 AS VARCHAR) END AS tranche, CASE WHEN user_id % 2 = 0 THEN event_type ELSE concat(event_type, '_', user_id % 4) END AS series FROM events")

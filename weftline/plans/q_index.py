@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import index, spans
+from ..operators import index, reports, spans
 from ..sources.tables import conversations, order_lines, table, user_events
 from .catalog import query
 from .q_spans import CONV, ORDER, USER, islands
@@ -78,18 +78,19 @@ def checkpoint_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.latest(e, ["source", "tranche"], "position", "event_id")
 
 
-@query(f"SELECT c.stream, CAST(c.\"index\" AS BIGINT) AS \"index\", c.event_type, CAST(s.i AS BIGINT) AS span_i FROM (SELECT stream, \"index\" AS i, 2 AS n FROM {CONV} WHERE \"index\" % 3 = 1) s JOIN {CONV} c ON c.stream = s.stream AND c.\"index\" >= s.i AND c.\"index\" < s.i + s.n")
+@query(f"SELECT c.stream, CAST(c.\"index\" AS BIGINT) AS \"index\", c.event_type, CAST(s.i AS BIGINT) AS span_i FROM (SELECT stream, \"index\" AS i, 2 AS n FROM {CONV} WHERE \"index\" % 2 = 0) s JOIN {CONV} c ON c.stream = s.stream AND c.\"index\" >= s.i AND c.\"index\" < s.i + s.n")
 def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of spans of two, which cover all streams."""
     c = conversations(spark, sf_dir)
-    wanted = c.where(F.col("index") % 3 == 1).select("stream", F.col("index").alias("i"), F.lit(2).alias("n"))
+    wanted = c.where(F.col("index") % 2 == 0).select("stream", F.col("index").alias("i"), F.lit(2).alias("n"))
     return index.hydrate(wanted, c).select("stream", "index", "event_type", "span_i")
 
 
-@query("SELECT t.* FROM (SELECT DISTINCT user_id % 8 AS partition, event_id AS target FROM events WHERE event_id % 50 = 0) t WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id % 8 AS partition, max(event_id) // 2 AS position FROM events GROUP BY 1) p WHERE p.partition = t.partition AND p.position >= t.target)")
+@query("SELECT t.* FROM (SELECT DISTINCT user_id % 8 AS partition, event_id AS target FROM events) t WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id % 8 AS partition, max(event_id) // 2 AS position FROM events GROUP BY 1) p WHERE p.partition = t.partition AND p.position >= t.target)")
 def targets_not_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("partition", F.col("user_id") % 8)
     reached = e.groupBy("partition").agg(F.expr("max(event_id) div 2").alias("position"))
-    return index.not_reached(e.where("event_id % 50 = 0").select("partition", F.col("event_id").alias("target")), reached)
+    return index.not_reached(e.select("partition", F.col("event_id").alias("target")), reached)
 
 
 @query("SELECT user_id % 8 AS partition, CAST(max(event_id) AS BIGINT) AS position, concat(user_id % 8, ':', max(event_id)) AS dedup_id FROM events GROUP BY user_id % 8")
@@ -98,12 +99,12 @@ def partition_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("dedup_id", F.concat_ws(":", F.col("partition").cast("string"), F.col("position").cast("string")))
 
 
-@query("SELECT r.rng, CAST(r.read_pos AS BIGINT) AS read_pos, CAST(e.gap AS BIGINT) AS gap, e.gap = 0 AS is_tail FROM (SELECT user_id % 6 AS rng, max(event_id) AS read_pos FROM events WHERE event_type <> 'error' GROUP BY 1) r JOIN (SELECT user_id % 6 AS rng, count(*) FILTER (WHERE value > 90) AS gap FROM events GROUP BY 1) e USING (rng)")
+@query("""SELECT r.rng, CAST(r.read_pos AS BIGINT) AS read_pos, CAST(e.gap AS BIGINT) AS gap, e.gap = 0 AS is_tail
+  FROM (SELECT user_id % 6 AS rng, max(event_id) AS read_pos FROM events WHERE event_type <> 'error' GROUP BY 1) r
+  JOIN (SELECT user_id % 6 AS rng, count(*) FILTER (WHERE value > 90) AS gap FROM events GROUP BY 1) e USING (rng)""")
 def lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("rng", F.col("user_id") % 6)
-    read = e.where("event_type <> 'error'").groupBy("rng").agg(F.max("event_id").alias("read_pos"))
-    gap = e.groupBy("rng").agg(F.count(F.when(F.col("value") > 90, 1)).alias("gap"))
-    return read.join(gap, "rng").select("rng", "read_pos", "gap", (F.col("gap") == 0).alias("is_tail"))
+    return reports.lag(e, "rng", F.col("event_type") != "error", F.col("event_id"), F.col("value") > 90)
 
 
 @query(f"SELECT stream, CAST(\"index\" AS BIGINT) AS \"index\", event_type, data FROM {CONV}")
@@ -113,9 +114,9 @@ def rendered_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.parse_spans(codec.render_spans(e)).select("stream", "index", "event_type", "data")
 
 
-@query(f"SELECT stream, CAST(epoch_us(ts) AS BIGINT) AS us, event_type, data, CAST(\"index\" AS BIGINT) AS \"index\" FROM {USER} WHERE user_id % 3 = 0")
+@query(f"SELECT stream, CAST(epoch_us(ts) AS BIGINT) AS us, event_type, data, CAST(\"index\" AS BIGINT) AS \"index\" FROM {USER}")
 def rendered_span_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = user_events(spark, sf_dir).where("user_id % 3 = 0").withColumn("meta", F.lit(None).cast("string"))
+    e = user_events(spark, sf_dir).withColumn("meta", F.lit(None).cast("string"))
     return codec.parse_spans(codec.render_spans(e)).select("stream", F.unix_micros("ts").alias("us"), "event_type", "data", "index")
 
 
@@ -190,24 +191,24 @@ def category_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_id >= 500").withColumn("r", F.row_number().over(w)).where("r <= 100").select("event_id", "event_type")
 
 
-@query("""SELECT event_id, 1704067200000000000 + row_number() OVER (ORDER BY event_id) - 1 AS "index", row_number() OVER (ORDER BY event_id) = count(*) OVER () AS held_back FROM events WHERE event_id < 1000""")
+@query("""SELECT event_id, 1704067200000000000 + row_number() OVER (ORDER BY event_id) - 1 AS "index", row_number() OVER (ORDER BY event_id) = count(*) OVER () AS held_back FROM events""")
 def periodic_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of a full crawl: index from the crawl's begin, the last item held back for the batch that carries the new checkpoint."""
     from ..sources.feeds import crawl_indices
 
-    return crawl_indices(table(spark, sf_dir, "events").where("event_id < 1000"), "event_id", 1704067200).select("event_id", "index", "held_back")
+    return crawl_indices(table(spark, sf_dir, "events"), "event_id", 1704067200).select("event_id", "index", "held_back")
 
 
 @query(f"SELECT series, CAST(epoch AS BIGINT) AS epoch, CAST(row_number() OVER (ORDER BY series, epoch) AS INTEGER) AS released FROM (SELECT DISTINCT user_id % 4 AS series, {DAY} AS epoch FROM events)")
 def striped_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("series"), _day().alias("epoch")).distinct()
-    return b.withColumn("released", F.row_number().over(Window.orderBy("series", "epoch")))
+    return spans.numbered(b, F.col("series"), "epoch").select("series", "epoch", (F.col("number") + 1).cast("int").alias("released"))
 
 
-@query(f"SELECT p, CAST(i + k AS BIGINT) AS \"index\", CAST(k AS INTEGER) AS k FROM {SPANS}, (SELECT unnest(range(0, 3)) AS k) WHERE k < n AND l_orderkey % 10 = 0")
+@query(f"SELECT p, CAST(i + k AS BIGINT) AS \"index\", CAST(k AS INTEGER) AS k FROM {SPANS}, (SELECT unnest(range(0, 3)) AS k) WHERE k < n")
 def index_only_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index spans as events without bodies."""
-    s = _spans(spark, sf_dir).where("l_orderkey % 10 = 0")
+    s = _spans(spark, sf_dir)
     return s.select("p", "i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k")).select("p", (F.col("i") + F.col("k")).alias("index"), "k")
 
 
@@ -219,9 +220,9 @@ def epoch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.count("*").alias("spans"), F.countDistinct("stream").alias("streams"), F.sum("n").alias("events"), F.expr("bool_or(i > 0)").alias("has_gaps"))
 
 
-@query("SELECT position, stream, event_type, data FROM (SELECT event_id AS position, concat('User-', user_id) AS stream, event_type, props AS data FROM events) WHERE position >= 20 AND position < 520")
+@query("SELECT position, stream, event_type, data FROM (SELECT event_id AS position, concat('User-', user_id) AS stream, event_type, props AS data FROM events) WHERE position >= 20")
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON-lines feed written from events (with comment lines) and read from line 20 on, 500 lines."""
+    """A JSON-lines feed written from events (with comment lines) and read from line 20 on."""
     from ..sources.feeds import read_json_lines
     from ..streaming.run import scratch
 
@@ -229,5 +230,42 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.concat(F.lit("User-"), F.col("user_id").cast("string")).alias("stream"), "event_type", F.col("props").alias("data"))
     path = scratch(spark, "lines")
     e.orderBy("event_id").coalesce(1).select(F.to_json(item).alias("value")).write.text(path)
-    got = read_json_lines(spark, path, "stream string, event_type string, data string", skip=20, truncate=500)
+    got = read_json_lines(spark, path, "stream string, event_type string, data string", skip=20)
     return got.select((F.col("line") - 1).alias("position"), "item.stream", "item.event_type", "item.data")
+
+
+OPERATIONS = """(SELECT concat('Order-', l_orderkey) AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS step,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'log' ELSE 'ingest' END AS op, l_linenumber - 1 AS i, 1 + l_partkey % 2 AS n FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT * FROM {OPERATIONS}), w AS (
+    SELECT DISTINCT p, CAST(0 AS BIGINT) AS step, true AS ok, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS held, false AS asked FROM o
+    UNION ALL SELECT o.p, o.step, o.op = 'ingest' OR o.i <= w.pos, CASE WHEN o.op = 'log' AND o.i <= w.pos THEN greatest(w.pos, o.i + o.n) ELSE w.pos END,
+      CASE WHEN o.op = 'ingest' THEN list_concat(w.held, range(o.i, o.i + o.n)) ELSE w.held END, o.op = 'ingest' FROM w JOIN o ON o.p = w.p AND o.step = w.step + 1),
+  r AS (SELECT *, len([k FOR k IN range(0, 20) IF list_has_all(held, range(pos, pos + k + 1))]) AS n FROM w WHERE step > 0)
+  SELECT p, step, ok, pos AS write_pos, CASE WHEN asked AND n > 0 THEN pos END AS ready_i, CAST(CASE WHEN asked AND n > 0 THEN n END AS BIGINT) AS ready_n FROM r""")
+def index_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index buffer: spans of the index are recorded or refused, spans of data wait until they are contiguous."""
+    x = table(spark, sf_dir, "lineitem")
+    step = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
+    op = F.when(F.col("l_linenumber") % 2 == 0, "log").otherwise("ingest").alias("op")
+    p = F.concat(F.lit("Order-"), F.col("l_orderkey").cast("string")).alias("p")
+    return index.index_buffer(x.select(p, step.alias("step"), op, (F.col("l_linenumber") - 1).alias("i"), (1 + F.col("l_partkey") % 2).alias("n")))
+
+
+CHANGES = """(SELECT user_id % 8 AS partition, event_id // 500 AS epoch, event_id % 500 AS seq, concat('User-', user_id) AS p,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + CASE WHEN value > 400 THEN 1 ELSE 0 END AS i, 1 AS n, event_id // 500 <> 3 AS closed FROM events)"""
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = user_events(spark, sf_dir).withColumn("epoch", F.expr("event_id div 500"))
+    i = (F.col("index") + F.when(F.col("value") > 400, 1).otherwise(0)).alias("i")
+    return e.select((F.col("user_id") % 8).alias("partition"), "epoch", F.col("stream").alias("p"), i, F.lit(1).alias("n"), (F.col("epoch") != 3).alias("closed"))
+
+
+@query(f"""WITH c AS (SELECT *, CASE WHEN "from" IS NULL THEN false ELSE i > "from" END OR ("from" IS NULL AND i > 0) AS gapped FROM (SELECT *, max(i + n) OVER (PARTITION BY partition, p ORDER BY epoch, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS "from" FROM {CHANGES} WHERE epoch <= 3))
+  SELECT partition, CAST(count(DISTINCT epoch) AS BIGINT) AS epochs, CAST(count(*) AS BIGINT) AS spans, CAST(count(*) FILTER (WHERE gapped) AS BIGINT) AS gapped FROM c
+  WHERE epoch <= (SELECT coalesce(min(k) - 1, 3) FROM (SELECT unnest(range(0, 4)) AS k) r WHERE NOT EXISTS (SELECT 1 FROM {CHANGES} x WHERE x.partition = c.partition AND x.epoch = r.k)) GROUP BY partition""")
+def index_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk over each partition's epochs, up to the open one: spans loaded, and those behind a gap."""
+    return index.load_index(_changes(spark, sf_dir))

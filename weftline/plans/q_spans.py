@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters, names, positions
-from ..operators import spans
+from ..operators import reports, spans
 from ..sources.tables import LINE_ORDER, conversations, order_lines, table, user_events
 from .catalog import query
 
@@ -79,12 +79,12 @@ def category_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT stream, CAST(count(*) AS BIGINT) AS n_events, CAST(sum(octet_length(encode(data))) AS BIGINT) AS n_bytes, CAST(min(\"index\") AS BIGINT) AS i, CAST(max(\"index\") + 1 AS BIGINT) AS next FROM {USER} GROUP BY stream")
 def span_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return user_events(spark, sf_dir).groupBy("stream").agg(F.count("*").alias("n_events"), F.sum(F.octet_length("data")).cast("long").alias("n_bytes"), F.min("index").alias("i"), (F.max("index") + 1).alias("next"))
+    return reports.span_metrics(user_events(spark, sf_dir), F.octet_length("data"))
 
 
 @query(f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS batch, stream, CAST(max(\"index\") + 1 AS BIGINT) AS required, CAST(count(*) AS BIGINT) AS n FROM {USER} GROUP BY ALL")
 def batch_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return user_events(spark, sf_dir).groupBy(F.to_date("ts").cast("string").alias("batch"), "stream").agg((F.max("index") + 1).alias("required"), F.count("*").alias("n"))
+    return reports.batch_high_water(user_events(spark, sf_dir), F.to_date("ts").cast("string"))
 
 
 @query(f"""SELECT stream, CAST("index" AS BIGINT) AS "index", CAST(b AS BIGINT) AS bytes_to_here FROM (SELECT *, sum(size) OVER (PARTITION BY stream ORDER BY "index") AS b, row_number() OVER (PARTITION BY stream ORDER BY "index") AS r FROM {CONV}) WHERE r = 1 OR (r <= 3 AND b <= 2000)""")

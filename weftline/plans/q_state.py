@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import category, span_label
 from ..functions.positions import next_due
-from ..operators import metrics, spans, state
+from ..operators import metrics, reports, spans, state
 from ..sources.tables import LINE_ORDER, order_lines, table, user_events
 from .catalog import query
 from .q_spans import ORDER, USER, islands
@@ -109,7 +109,7 @@ LATENCY = "CAST(count(*) AS BIGINT) AS n, min(value) AS min, round(quantile_cont
 
 @query(f"SELECT event_type, {LATENCY} FROM events GROUP BY event_type")
 def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.latency(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return metrics.latency(table(spark, sf_dir, "events"), ["event_type"], "value", exact=True)
 
 
 @query("SELECT category, event_type, CAST(count(*) AS BIGINT) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg FROM (SELECT *, user_id % 5 AS category FROM events) GROUP BY ROLLUP (category, event_type)")
@@ -123,14 +123,19 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(table(spark, sf_dir, "events"), "value", metrics.LATENCY_BUCKETS)
 
 
-@query("""SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) - k AS hour, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99
+@query("""SELECT 30 * (CAST(floor(epoch(ts) / 30) AS BIGINT) - k) + 60 AS end_s, CAST(count(*) AS BIGINT) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99
   FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY ALL""")
 def sliding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantiles over windows of two hours that begin every hour (named by the first)."""
+    """Quantiles of what is at most a minute old, every 30 seconds, from sketches."""
     e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value")
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 6)
-    w = e.groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
-    return w.select(F.floor(F.unix_seconds("w.start") / 3600).cast("long").alias("hour"), "n", "p50", "p95", "p99")
+    w = metrics.sliding_quantiles(e, "ts", "value", [], "1 minute", "30 seconds")
+    return w.select(F.unix_seconds("end").alias("end_s"), "n", "p50", "p95", "p99")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, min(value) AS min, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99, max(value) AS max, round(avg(value), 6) AS avg, round(stddev_samp(value), 6) AS stddev FROM events GROUP BY event_type")
+def latency_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies with quantiles from sketches; at this accuracy they are the values of the exact ranks for the given tables."""
+    return metrics.latency(table(spark, sf_dir, "events"), ["event_type"], "value", accuracy=1_000_000)
 
 
 KIND = "CASE WHEN event_type = 'error' THEN 'exception' WHEN value > 40 THEN 'rate_limited' ELSE 'ok' END"
@@ -162,7 +167,8 @@ def writer_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT user_id % 8 AS partition, {DAY} AS day, CAST(count(*) AS BIGINT) AS events, CAST(count(DISTINCT user_id) AS BIGINT) AS streams, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors, round(sum(value), 4) AS waited FROM events GROUP BY ALL")
 def reader_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy((F.col("user_id") % 8).alias("partition"), _day().alias("day")).agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("streams"), metrics.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("waited"))
+    by = [(F.col("user_id") % 8).alias("partition"), _day().alias("day")]
+    return reports.reader_stats(e, by, "user_id", F.col("event_type") == "error", "value")
 
 
 @query("""WITH c AS (SELECT starts_with(event_type, 's') AS is_meta, event_type AS category, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(props)) AS BIGINT) AS bytes FROM events GROUP BY ALL)
