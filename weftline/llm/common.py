@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,14 +95,22 @@ def in_splits(df: DataFrame, source: DataFrame) -> DataFrame:
     return df.coalesce(min(max(2 * spark.sparkContext.defaultParallelism, -(-size // max(1, split))), 1_000_000))
 
 
-def lean(step):
-    """A function over a task's Arrow batches that gives freed memory back when the task ends: workers live on between tasks."""
+def lean(step, *held):
+    """A function over a task's Arrow batches that gives freed memory back when the task ends: workers live on between tasks.
+
+    held: broadcasts, whose values are read again from the executor's file by the next task, and caches, which are cleared.
+    """
 
     @functools.wraps(step)
     def run(batches):
         try:
             yield from step(batches)
         finally:
+            for x in held:
+                if isinstance(x, Broadcast):
+                    x.__dict__.pop("_value", None)
+                else:
+                    x.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
@@ -116,15 +125,15 @@ def need(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, *key: str, n: str = "n", most: int = 1000) -> DataFrame:
-    """rows and the columns of counts (a stored table, one row per key; n: how often a key occurs) by key, for keys that may be hot.
+def join_counted(rows: DataFrame, counts: DataFrame, *key: str, n: str = "n", most: int = 1000, how: str = "inner") -> DataFrame:
+    """rows and the columns of counts (a stored table, one row per key; n: how often a key occurs) by key, for keys that may be hot. how: inner or left.
 
     Keys with at least one in `most` of all occurrences, of which there are no more than `most`, are broadcast: their rows stay where they are.
     """
     total = counts.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) * most >= total
     near = F.broadcast(counts.where(hot))
-    far = rows.join(near.select(*key), [*key], "left_anti").join(counts.where(~hot), [*key])
+    far = rows.join(near.select(*key), [*key], "left_anti").join(counts.where(~hot), [*key], how)
     return rows.join(near, [*key]).unionByName(far)
 
 

@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, prepare, scratch_path, stored
+from .common import join_counted, need, prepare, scratch_path, stored
 
 # Fixed values of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -135,15 +135,17 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per page to archives in folder (default: the shared folder); path, bytes, n_records per archive.
 
-    Null html or url: empty. Equal payloads of REVISIT_BYTES or more: the smallest page_id (nulls don't count) is the response.
-    Repeated rows of that page_id are responses too. Each task attempt has file names of its own, so lost and repeated tasks do no harm.
+    Null html or url: empty; white space and control characters of a url are written percent-encoded. Equal payloads of REVISIT_BYTES or more: the smallest page_id
+    (nulls don't count) is the response. Repeated rows of that page_id are responses too; an empty table gives no archives; other columns are left out. Each task attempt has file names of its own, so lost and repeated tasks do no harm.
     """
     spark = pages.sparkSession
     prepare(spark)
     folder = folder or scratch_path(spark, "warc")
     rows = need(pages, {"page_id": "long", "url": "string", "html": "string"}).withColumn("html", F.coalesce("html", F.lit("")).cast("binary")).withColumn("digest", F.sha2("html", 256))
-    firsts = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"))
-    typed = rows.join(firsts, "digest", "left").select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html", "digest", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
+    # Only payloads that occur again need a join; those of many pages stay where they are.
+    firsts = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = stored(firsts.where("n > 1"), "repeated", few=8)
+    typed = join_counted(rows, firsts, "digest", how="left").select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html", "digest", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
