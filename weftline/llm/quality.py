@@ -157,14 +157,17 @@ def select_cutoffs(counts: dict[tuple[int, str], np.ndarray], alpha: float, delt
 def filter_quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Statistics, the base rules and the verdict of the fitted thresholds, one row per row of docs.
 
-    Null text: no words, base_failed. labels: doc_id, quality (1 good, 0 bad); nulls and ids without text don't count, an id labelled
-    twice counts as good if any label says so. No labels: nothing but the base rules rejects.
+    Null text: no words, base_failed; very long texts are read whole; an empty table gives no rows; null doc_ids stay and other columns are left out. labels: doc_id,
+    quality (1 good, 0 bad); nulls and ids without text don't count, an id labelled twice counts as good if any label says so, a repeated id counts
+    once (the text with the least figures). No labels: nothing but the base rules rejects.
     What reaches the driver is strata x rules x bins x 2 counts.
     """
     s = stored(in_splits(stats(docs), docs), "stats")
     marks = need(labels, {"doc_id": "long", "quality": "int"}).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    once = s.where(~base_failed()).dropna(subset=["doc_id"])
-    held = once.join(marks, "doc_id").withColumn("stratum", stratum())
+    # An id counts once, however often it is repeated: trials must be independent.
+    figures_of = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+    once = s.where(~base_failed()).dropna(subset=["doc_id"]).join(marks, "doc_id").groupBy("doc_id", "quality").agg(F.min(figures_of).alias("x"))
+    held = once.select("quality", "x.*").withColumn("stratum", stratum())
     long = held.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.floor(x * BINS), F.lit(BINS - 1)).cast("int").alias("bin")) for r, x in figures().items()])).alias("x"))
     counts = {(k, r): np.zeros((2, BINS), np.int64) for k in range(STRATA) for r in RULES}
     for row in long.groupBy("stratum", "x.rule", "x.bin", (F.col("quality") > 0).alias("good")).count().collect():
