@@ -1,13 +1,14 @@
 """Streaming operators: restarts, partial progress, failures, checkpoint table, paged feed."""
 
 import json
+import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.sources.feeds import all_feed, paged, read_json_lines, recrawl
-from weftline.streaming import buffers, run, sinks
+from weftline.streaming import batches, buffers, run, sinks
 
 ROW = "stream string, index long, event_type string, data string"
 
@@ -134,6 +135,54 @@ def test_nulls_and_copies_wait_in_order(spark, tmp_path):
         assert [json.loads(x) for x in f] == [["None", None, "x"]]
 
 
+def run_both(spark, tmp_path, batches_of_rows, handle, kind=ROW, **options):
+    """Results of the stateful operator and of the table form after each delivery, which must be the same."""
+    folder, out, ck, table, ck2 = (str(tmp_path / x) for x in ("in", "out", "ck", "table", "ck2"))
+    seen = []
+    for rows in batches_of_rows:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(kind).parquet(folder)
+        run.run_to_end(buffers.project(stream, handle, **options), out, ck)
+        other = batches.project(stream, handle, table, ck2, snapshot_every=2, **options)
+        one, two = (sorted(map(tuple, df.collect())) for df in (spark.read.parquet(out).select(*other.columns), other))
+        assert one == two
+        seen.append(two)
+    return seen
+
+
+@pytest.mark.parametrize("require_all", [False, True])
+def test_table_form_equals_the_stateful_operator(spark, tmp_path, require_all):
+    def handle(stream, events):
+        first = int(events["index"].iloc[0])
+        if stream == "bad" and first % 3 == 1:
+            raise RuntimeError("transient")
+        if stream == "poison" and first >= 4:
+            raise buffers.Malformed
+        if stream == "jump":
+            return "skips", first + len(events) + 2
+        return "ok", first + (1 if stream == "slow" else len(events))
+
+    rng = random.Random(5)
+    deliveries = []
+    for at in (0, 4, 2, 8, 8):
+        rows = [(s, i, "t", None if i % 2 else s) for s in ("one", "bad", "poison", "jump", "slow") for i in range(at, at + rng.randint(2, 6)) if rng.random() < 0.9]
+        deliveries.append([*rows, *rows[:3], (f"s{at}", at, "t", "x")])
+    seen = run_both(spark, tmp_path, deliveries, handle, require_all=require_all, max_events=3)
+    assert {r[3] for r in seen[-1]} >= ({"ok"} if require_all else {"ok", "skips", "malformed", "failed: RuntimeError"})
+
+
+def test_table_form_of_long_runs(spark, tmp_path):
+    """Runs that go on over Arrow batches, cut at max_events."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(100).selectExpr("if(id < 60, 'a', 'b') AS stream", "id AS index", "'t' AS event_type", "'' AS data", "CAST(null AS long) AS write_pos", "false AS malformed")
+        got = batches.walk(rows, done, max_events=10).where("kind = 'result'").orderBy("i").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert [(r["stream"], r["i"], r["index_next"]) for r in got] == [("a" if k < 60 else "b", k, k + 10) for k in range(0, 100, 10)]
+
+
 def test_failed_streams_are_tried_again_on_a_timer(spark, tmp_path):
     mark = tmp_path / "failed"
 

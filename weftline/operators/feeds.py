@@ -56,7 +56,7 @@ def decide_ingest(spans: DataFrame, versions: DataFrame, closed: DataFrame) -> D
     from .index import classify
 
     kinds = classify(spans.select("p", "i", "n"), versions)
-    placed = kinds.join(spans.select("p", "i", "n", "partition").distinct(), ["p", "i", "n"]).join(F.broadcast(closed), "partition", "left")
+    placed = kinds.join(spans.select("p", "i", "n", "partition").distinct(), ["p", "i", "n"]).join(closed, "partition", "left")
     fresh = F.col("kind").isin("start", "append")
     shut = F.coalesce("closed", F.lit(False))
     return placed.select("partition", "p", "i", "n", "kind", F.when(fresh & ~shut, F.col("n_new")).otherwise(0).alias("accepted"), F.when(fresh & shut, F.col("n_new")).otherwise(0).alias("residual"))

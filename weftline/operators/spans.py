@@ -83,6 +83,13 @@ def slice_prefix(events: DataFrame, max_events: int, max_bytes: int, key: str =
     return ranked.where((F.col("ordinal") == 1) | ((F.col("ordinal") <= max_events) & (F.col("bytes_to_here") <= max_bytes)))
 
 
+def prepare(events: DataFrame, max_events: int, max_bytes: int, key: str = "stream") -> tuple[DataFrame, DataFrame]:
+    """What a sink's call gets of each stream: its events within both budgets, and their metrics (key, n_events, n_bytes, i, next)."""
+    trimmed = slice_prefix(events, max_events, max_bytes, key).drop("ordinal", "bytes_to_here")
+    i, after = F.min("index").alias("i"), (F.max("index") + 1).alias("next")
+    return trimmed, trimmed.groupBy(key).agg(F.count("*").alias("n_events"), F.sum("size").cast("long").alias("n_bytes"), i, after)
+
+
 def chunk_queue(events: DataFrame, max_events: int, max_bytes: int, key: str = "stream") -> DataFrame:
     """stream, chunk_no, i, next, bytes: the whole queue cut greedily; each chunk is the longest within both budgets, at least one event.
 

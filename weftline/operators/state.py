@@ -62,6 +62,12 @@ def within_capacity(waiting: DataFrame, shard: str, order: list[str], slots: Col
     return waiting.withColumn("__at", at).where(F.col("__at") <= slots).drop("__at")
 
 
+def in_flight(deltas: DataFrame, order: list[str], size: str, limit: int, key: str = "partition") -> DataFrame:
+    """deltas with held (bytes taken and not yet given back, step by step) and paused: whether reading pauses there."""
+    held = F.sum(size).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return deltas.withColumn("held", held).withColumn("paused", F.col("held") > limit)
+
+
 def round_robin(batches: DataFrame) -> DataFrame:
     """turn and partition in which batches (partition, epoch) are submitted: one of each partition in turn."""
     return batches.withColumn("turn", F.row_number().over(Window.partitionBy("partition").orderBy("epoch")))

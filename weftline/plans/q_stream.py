@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import filters
 from ..functions.names import category
-from ..operators import metrics, state
+from ..operators import metrics, spans, state
 from ..sources.feeds import MemoryStore, all_feed, paged, poll_categories
 from ..sources.tables import conversations, order_lines, table, user_events
-from ..streaming import buffers, indexer, run, sinks
+from ..streaming import batches, buffers, indexer, run, sinks
 from .catalog import query
 from .q_spans import CONV, ORDER, USER, islands
 
@@ -46,14 +46,25 @@ def _result(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 @query(f"SELECT stream, CAST(i AS BIGINT) AS i, CAST(next AS BIGINT) AS index_next, 'ok' AS outcome, CAST(n AS BIGINT) AS n_events FROM {islands(ORDER)}")
 def stream_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Handler calls over order streams with copies and gaps: one per contiguous span."""
-    return _result(spark, buffers.project(_orders(spark, sf_dir), _done), "project")
+    return batches.project(_orders(spark, sf_dir), _done, run.scratch(spark, "project"), run.scratch(spark, "project-state"))
 
 
 @query(f"SELECT stream, CAST(i AS BIGINT) AS i, CAST(next AS BIGINT) AS index_next, CAST(n AS BIGINT) AS n_events FROM {islands(ORDER)} WHERE i = 0")
 def stream_gap_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With require_all only spans from event 0 on are handled; the rest waits."""
-    rows = buffers.project(_orders(spark, sf_dir), _done, require_all=True)
-    return _result(spark, rows, "gaps").select("stream", "i", "index_next", "n_events")
+    at = run.scratch(spark, "gaps"), run.scratch(spark, "gaps-state")
+    return batches.project(_orders(spark, sf_dir), _done, *at, require_all=True).select("stream", "i", "index_next", "n_events")
+
+
+@query(f"SELECT stream, CAST(i AS BIGINT) AS i, CAST(next AS BIGINT) AS index_next, 'ok' AS outcome, CAST(n AS BIGINT) AS n_events FROM {islands(USER)}")
+def stream_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handler calls by the stateful operator, over user streams numbered as they come."""
+    e = run.read_table_stream(spark, sf_dir, "events")
+    stream = F.concat(F.lit("User-"), F.col("user_id").cast("string")).alias("stream")
+    numbered = run.scratch(spark, "numbered")
+    run.run_to_end(buffers.sequence(e.select(stream, F.col("event_id").alias("arrival"))), numbered, run.scratch(spark, "numbered-state"))
+    rows = spark.readStream.schema("stream string, arrival long, index long").parquet(numbered)
+    return _result(spark, buffers.project(rows.select("stream", "index", F.lit("t").alias("event_type"), F.lit("").alias("data"), "arrival"), _done), "buffer")
 
 
 @query(f"SELECT stream, event_id AS arrival, CAST(\"index\" AS BIGINT) AS \"index\" FROM {USER}")
@@ -327,3 +338,19 @@ def dispatch_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     free = state.within_capacity(heads.withColumn("shard", F.col("l_orderkey") % 50), "shard", ["l_orderkey"], F.lit(3))
     return free.select("stream", "i", F.lit(1).cast("long").alias("n"))
 
+
+@query(f"""SELECT stream, CAST(count(*) AS BIGINT) AS n_events, CAST(sum(size) AS BIGINT) AS n_bytes, CAST(min("index") AS BIGINT) AS i, CAST(max("index") + 1 AS BIGINT) AS next
+  FROM (SELECT *, sum(size) OVER (PARTITION BY stream ORDER BY "index") AS b, row_number() OVER (PARTITION BY stream ORDER BY "index") AS r FROM {CONV}) WHERE r = 1 OR (r <= 4 AND b <= 1000) GROUP BY stream""")
+def prepared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of what a sink's call gets of each stream."""
+    return spans.prepare(conversations(spark, sf_dir), 4, 1000)[1]
+
+
+@query("""SELECT partition, event_id, CAST(sum(d) OVER (PARTITION BY partition ORDER BY event_id) AS BIGINT) AS held, sum(d) OVER (PARTITION BY partition ORDER BY event_id) > 500 AS paused
+  FROM (SELECT user_id % 8 AS partition, event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * length(props) AS d FROM events)""")
+def in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in flight by partition, and where reading pauses."""
+    e = table(spark, sf_dir, "events")
+    sign = F.when(F.col("event_id") % 3 == 0, -1).otherwise(1)
+    d = e.select((F.col("user_id") % 8).alias("partition"), "event_id", (sign * F.length("props")).alias("d"))
+    return state.in_flight(d, ["event_id"], "d", 500).select("partition", "event_id", "held", "paused")

@@ -97,7 +97,7 @@ class PagedFeed(DataSource):
     Subclasses give tranches() -> names, tail(tranche) -> position behind the last item, page(tranche, position, limit) -> items of (stream, index, event_type, data)
     and the next position. Batch reads go from the option `from` (JSON of tranche to position) to the tails; streams keep the same JSON as offset.
     Options: page_size; stripe, positions that one task reads (a tranche is cut into chunks that are read at once); least_page, to which a page's size is halved when
-    reading fails, before the error counts; from_tail, to begin at the tails; data=false leaves bodies out; limit, positions of a tranche in a micro-batch.
+    reading fails, before the error counts; from_tail, to begin at the tails; data=false leaves bodies out.
     """
 
     @classmethod
