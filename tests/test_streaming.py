@@ -229,6 +229,28 @@ def test_tail_goes_on_after_failures(spark, tmp_path):
         tail.wait(60)
 
 
+def test_progress_log(spark, tmp_path):
+    import time
+
+    from weftline.operators import metrics
+    from weftline.streaming.listener import ProgressLog
+
+    feed(spark, str(tmp_path / "in"), [("a", k, "t", "x") for k in range(7)])
+    stream = spark.readStream.schema(ROW).parquet(str(tmp_path / "in"))
+    with ProgressLog(spark) as log:
+        run.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
+        with pytest.raises(Exception, match="ZeroDivisionError"):
+            run.for_each_batch(stream, lambda df, _: 1 / 0 if df.count() else None, str(tmp_path / "ck2"))
+        for _ in range(100):
+            if log.errors and log.rows:
+                break
+            time.sleep(0.1)
+    assert log.table().agg(F.sum("rows")).first()[0] >= 7
+    assert "ZeroDivisionError" in log.errors[0][1]
+    shares = metrics.duration_shares(log.table(), ["results", "dispatch", "commit", "sleep"]).collect()
+    assert sum(r["share"] for r in shares) == pytest.approx(1, abs=1e-4)
+
+
 def test_retry():
     left = [1, 2]
 

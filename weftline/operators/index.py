@@ -33,7 +33,9 @@ def flatten(spans: DataFrame) -> DataFrame:
     """p, i, next, gaps: one span per stream from its lowest to its highest index; gaps counts missing indices (0 where it is whole)."""
     before = Window.partitionBy("p").orderBy("i", "n").rowsBetween(Window.unboundedPreceding, -1)
     x = spans.withColumn("end", F.col("i") + F.col("n")).withColumn("reach", F.max("end").over(before))
-    return x.groupBy("p").agg(F.min("i").alias("i"), F.max("end").alias("next"), F.sum(F.greatest(F.lit(0), F.col("i") - F.coalesce("reach", F.col("i")))).alias("gaps"))
+    return x.groupBy("p").agg(
+        F.min("i").alias("i"), F.max("end").alias("next"), F.sum(F.greatest(F.lit(0), F.col("i") - F.coalesce("reach", F.col("i")))).alias("gaps")
+    )
 
 
 def summary(queues: DataFrame) -> DataFrame:
@@ -41,14 +43,19 @@ def summary(queues: DataFrame) -> DataFrame:
     has = F.col("first_i").isNotNull()
     gap = has & (F.col("first_i") > F.col("write_pos"))
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return queues.agg(F.count("*").alias("streams"), F.sum("write_pos").alias("events"), one(has & ~gap & (F.col("n_spans") == 1)).alias("buffered"), one(has & ~gap & (F.col("n_spans") > 1)).alias("queuing"), one(gap).alias("gapped"))
+    return queues.agg(
+        F.count("*").alias("streams"), F.sum("write_pos").alias("events"), one(has & ~gap & (F.col("n_spans") == 1)).alias("buffered"),
+        one(has & ~gap & (F.col("n_spans") > 1)).alias("queuing"), one(gap).alias("gapped")
+    )
 
 
 def hydrate(spans: DataFrame, events: DataFrame) -> DataFrame:
     """The stored events of each span (stream, i, n): equal stream, index in [i, i + n)."""
     e = events.alias("e")
     s = spans.alias("s")
-    return s.join(e, (F.col("s.stream") == F.col("e.stream")) & (F.col("e.index") >= F.col("s.i")) & (F.col("e.index") < F.col("s.i") + F.col("s.n"))).select("e.*", F.col("s.i").alias("span_i"))
+    return s.join(
+        e, (F.col("s.stream") == F.col("e.stream")) & (F.col("e.index") >= F.col("s.i")) & (F.col("e.index") < F.col("s.i") + F.col("s.n"))
+    ).select("e.*", F.col("s.i").alias("span_i"))
 
 
 def latest(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -115,7 +122,9 @@ def index_buffer(operations: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["p", "step", "ok", "write_pos", "ready_i", "ready_n"])
 
-    rows = operations.select(F.col("p").cast("string"), F.col("step").cast("long"), F.col("op").cast("string"), F.col("i").cast("long"), F.col("n").cast("long"))
+    rows = operations.select(
+        F.col("p").cast("string"), F.col("step").cast("long"), F.col("op").cast("string"), F.col("i").cast("long"), F.col("n").cast("long")
+    )
     return rows.repartition("p").sortWithinPartitions("p", "step").mapInArrow(fold, BUFFER)
 
 
@@ -133,7 +142,27 @@ def read_epoch(changes: DataFrame, epoch: Column, least: Column) -> DataFrame:
     """partition, n, version, closed: changes (partition, epoch, seq, kind) of one epoch from a sequence on, and what the epoch says of itself."""
     here = changes.where(F.col("epoch") == epoch)
     seen = F.col("seq") >= least
-    return here.groupBy("partition", "epoch").agg(F.count(F.when(seen & (F.col("kind") != "closed"), 1)).alias("n"), (F.max("seq") + 1).alias("version"), F.max(F.col("kind") == "closed").alias("closed"))
+    return here.groupBy("partition", "epoch").agg(
+        F.count(F.when(seen & (F.col("kind") != "closed"), 1)).alias("n"), (F.max("seq") + 1).alias("version"),
+        F.max(F.col("kind") == "closed").alias("closed")
+    )
+
+
+def read_index(changes: DataFrame, epoch: int, offset: int, keep: Column, events: DataFrame | None = None) -> DataFrame:
+    """stream, index, event_type, data, position of the index from an epoch's offset on: its spans (partition, epoch, seq, stream, i, types) of streams to keep as events.
+
+    events (stream, index, data): hydrate, that is fetch the stored bodies; without them data is null. position: behind the span's change.
+    """
+    from ..functions.positions import epoch_position
+
+    later = (F.col("epoch") > epoch) | ((F.col("epoch") == epoch) & (F.col("seq") >= offset))
+    spans = changes.where(later & keep).select(
+        "stream", "i", epoch_position(F.col("epoch"), F.col("seq") + 1).alias("position"), F.posexplode("types").alias("k", "event_type")
+    )
+    each = spans.select("stream", (F.col("i") + F.col("k")).cast("long").alias("index"), "event_type", "position")
+    if events is None:
+        return each.withColumn("data", F.lit(None).cast("string"))
+    return each.join(events.select("stream", "index", "data"), ["stream", "index"])
 
 
 def load_index(changes: DataFrame) -> DataFrame:
@@ -145,7 +174,9 @@ def load_index(changes: DataFrame) -> DataFrame:
     spans = changes.join(walked.select("partition", "epoch"), ["partition", "epoch"])
     reach = F.max(F.col("i") + F.col("n")).over(Window.partitionBy("partition", "p").orderBy("epoch", "i").rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("gapped", F.col("i") > F.coalesce(reach, F.lit(0)))
-    return spans.groupBy("partition").agg(F.countDistinct("epoch").alias("epochs"), F.count("*").alias("spans"), F.sum(F.col("gapped").cast("long")).alias("gapped"))
+    return spans.groupBy("partition").agg(
+        F.countDistinct("epoch").alias("epochs"), F.count("*").alias("spans"), F.sum(F.col("gapped").cast("long")).alias("gapped")
+    )
 
 
 def prune(events: DataFrame, until: DataFrame) -> DataFrame:

@@ -28,10 +28,14 @@ def latency(group: DataFrame, keys: list[str], value: str, exact: bool = False,
         return F.round(F.percentile(value, F.lit(q)) if exact else F.percentile_approx(value, F.lit(q), F.lit(accuracy)), 6)
 
     n, spread = F.count("*").alias("n"), [F.round(F.avg(value), 6).alias("avg"), F.round(F.stddev_samp(value), 6).alias("stddev")]
-    return group.groupBy(*keys).agg(n, F.min(value).alias("min"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("max"), *spread)
+    return group.groupBy(*keys).agg(
+        n, F.min(value).alias("min"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("max"), *spread
+    )
 
 
-def sliding_quantiles(rows: DataFrame, ts: str, value: str, keys: list[str], age: str = "1 minute", step: str = "10 seconds", accuracy: int = 1_000) -> DataFrame:
+def sliding_quantiles(
+    rows: DataFrame, ts: str, value: str, keys: list[str], age: str = "1 minute", step: str = "10 seconds", accuracy: int = 1_000
+) -> DataFrame:
     """end, keys, n, p50, p95, p99 of windows that are `age` long and begin every `step`: a summary without what is older."""
     w = F.window(ts, age, step)
     q = [F.percentile_approx(value, F.lit(x), F.lit(accuracy)).alias(name) for name, x in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
@@ -42,7 +46,9 @@ def duration_shares(progress: DataFrame, phases: list[str]) -> DataFrame:
     """phase, ms, share of rows with a column a phase: where a loop's time goes."""
     sums = progress.agg(*[F.sum(F.coalesce(F.col(p), F.lit(0))).cast("long").alias(p) for p in phases])
     total = sum((F.col(p) for p in phases), F.lit(0))
-    each = sums.select(F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.col(p).alias("ms"), (F.col(p) / F.nullif(total, F.lit(0))).alias("share")) for p in phases])).alias("x"))
+    each = sums.select(F.explode(F.array(*[F.struct(
+        F.lit(p).alias("phase"), F.col(p).alias("ms"), (F.col(p) / F.nullif(total, F.lit(0))).alias("share")
+    ) for p in phases])).alias("x"))
     return each.select("x.phase", "x.ms", F.round("x.share", 6).alias("share"))
 
 
@@ -63,7 +69,9 @@ def exposition(samples: DataFrame, name: str, kind: str, labels: list[str]) -> D
 def histogram(df: DataFrame, value: str, bounds) -> DataFrame:
     """le, n: how many values are at most each bound; one pass, the bounds are folded in one aggregate row."""
     sums = df.agg(*[F.sum(F.when(F.col(value) <= b, 1).otherwise(0)).cast("long").alias(f"b{k}") for k, b in enumerate(bounds)])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{k}").alias("n")) for k, b in enumerate(bounds)])).alias("x")).select("x.le", "x.n")
+    return sums.select(
+        F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{k}").alias("n")) for k, b in enumerate(bounds)])).alias("x")
+    ).select("x.le", "x.n")
 
 
 def outcome_kind(event_type: Column, value: Column, slow: float) -> Column:

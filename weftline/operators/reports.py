@@ -21,7 +21,10 @@ def batch_high_water(events: DataFrame, batch: Column, key: str = "stream") -> D
 
 def reader_stats(reads: DataFrame, by: list[Column], stream: str, failed: Column, waited: str) -> DataFrame:
     """by, events, streams, errors, waited of what readers got."""
-    return reads.groupBy(*by).agg(F.count("*").alias("events"), F.countDistinct(stream).alias("streams"), count_if(failed).alias("errors"), F.round(F.sum(waited), 4).alias("waited"))
+    return reads.groupBy(*by).agg(
+        F.count("*").alias("events"), F.countDistinct(stream).alias("streams"), count_if(failed).alias("errors"),
+        F.round(F.sum(waited), 4).alias("waited")
+    )
 
 
 def changefeed_stats(reads: DataFrame, part: Column, cost: Column, waiting: Column, behind: Column) -> DataFrame:
@@ -63,7 +66,9 @@ def notifications(events: DataFrame, position: str, per_message: int = 10) -> Da
 def notification_targets(messages: DataFrame) -> DataFrame:
     """partition, target, message_id of notifications (message_id, body: JSON of partition and position); others are left out."""
     x = messages.select("message_id", F.from_json("body", "partition long, position long").alias("x"))
-    return x.where("x.partition is not null and x.position is not null").select(F.col("x.partition").alias("partition"), F.col("x.position").alias("target"), "message_id")
+    return x.where("x.partition is not null and x.position is not null").select(
+        F.col("x.partition").alias("partition"), F.col("x.position").alias("target"), "message_id"
+    )
 
 
 def item_time(document: str) -> Column:

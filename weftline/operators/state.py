@@ -10,12 +10,16 @@ from .spans import numbered
 
 def head_spans(spans: DataFrame, key: str = "stream") -> DataFrame:
     """Each stream's first span."""
-    return spans.groupBy(key).agg(F.min_by(F.struct("i", "next", "n"), "i").alias("h"), F.count("*").alias("n_spans"), F.sum("n").alias("n_events")).select(key, "h.*", "n_spans", "n_events")
+    return spans.groupBy(key).agg(
+        F.min_by(F.struct("i", "next", "n"), "i").alias("h"), F.count("*").alias("n_spans"), F.sum("n").alias("n_events")
+    ).select(key, "h.*", "n_spans", "n_events")
 
 
 def dispatchable(require_all: bool, i: Column, write_pos: Column, busy: Column | None = None, malformed: Column | None = None) -> Column:
     """Has a head, isn't malformed or busy; with require_all the head begins at the write position (0 if unknown)."""
-    out = i.isNotNull() & ~F.coalesce(malformed if malformed is not None else F.lit(False), F.lit(False)) & ~F.coalesce(busy if busy is not None else F.lit(False), F.lit(False))
+    out = i.isNotNull() & ~F.coalesce(
+        malformed if malformed is not None else F.lit(False), F.lit(False)
+    ) & ~F.coalesce(busy if busy is not None else F.lit(False), F.lit(False))
     return out & (i == F.coalesce(write_pos, F.lit(0))) if require_all else out
 
 
@@ -45,7 +49,9 @@ def batch_completion(batches: DataFrame, open_: DataFrame) -> DataFrame:
     waiting = open_.groupBy("batch").agg(F.count("*").alias("open"))
     first = waiting.agg(F.min("batch").alias("first_open"))
     state = batches.select("batch").distinct().join(waiting, "batch", "left").withColumn("open", F.coalesce("open", F.lit(0)))
-    return state.join(F.broadcast(first)).select("batch", (F.col("open") == 0).alias("done"), (F.col("first_open").isNull() | (F.col("batch") < F.col("first_open"))).alias("completed"))
+    return state.join(F.broadcast(first)).select(
+        "batch", (F.col("open") == 0).alias("done"), (F.col("first_open").isNull() | (F.col("batch") < F.col("first_open"))).alias("completed")
+    )
 
 
 def priority_order(pending: DataFrame) -> DataFrame:

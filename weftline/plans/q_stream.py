@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import filters
+from ..functions import codec, filters
 from ..functions.names import category
 from ..operators import metrics, spans, state
 from ..sources.feeds import MemoryStore, all_feed, paged, poll_categories
@@ -112,11 +112,14 @@ FEED = """(SELECT event_type AS tranche, concat('User-', user_id) AS stream, eve
 
 
 def _events_feed(spark: SparkSession, sf_dir: str):
-    """Functions of a paged feed over the events' file: names, tail and page, as a store would answer."""
-    tails = {r["event_type"]: r["n"] for r in table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).collect()}
+    """Functions of a paged feed over the events, a tranche per event type: names, tails and page, as a store would answer."""
+    return _stored_feed(spark, table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", F.col("props").alias("data")))
+
+
+def _stored_feed(spark: SparkSession, rows: DataFrame):
+    tails = {r["event_type"]: r["n"] for r in rows.groupBy("event_type").agg(F.count("*").alias("n")).collect()}
     folder = run.scratch(spark, "feed-pages")
-    kept = table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", F.col("props").alias("data"))
-    kept.repartition("event_type").sortWithinPartitions("event_type", "event_id").write.partitionBy("event_type").parquet(folder)
+    rows.repartition("event_type").sortWithinPartitions("event_type", "event_id").write.partitionBy("event_type").parquet(folder)
 
     def page(tranche: str, at: int, limit: int) -> tuple[list[tuple], int]:
         import re
@@ -141,7 +144,8 @@ def stream_feed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(spark, feed.select("tranche", "stream", "index", "data", "position"), "feed")
 
 
-@query(f"SELECT stream, CAST(event_id AS BIGINT) AS \"index\", CAST(place + 1 AS BIGINT) AS position FROM {FEED} WHERE tranche = 'click' AND regexp_matches(stream, '[02468]$') AND place >= 10")
+@query(f"""SELECT stream, CAST(event_id AS BIGINT) AS "index", CAST(place + 1 AS BIGINT) AS position FROM {FEED} WHERE tranche = 'click' AND
+  regexp_matches(stream, '[02468]$') AND place >= 10""")
 def stream_all_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store's feed of everything from a position on, in stripes that are read at once, without bodies, filtered by stream."""
     _, tails, page = _events_feed(spark, sf_dir)
@@ -151,6 +155,24 @@ def stream_all_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("data is null").select("stream", "index", "position")
 
 
+@query(f"SELECT concat('r', split_part(stream, '-', 2)::BIGINT % 4) AS rng, stream, CAST(\"index\" AS BIGINT) AS \"index\", event_type, data FROM {CONV}")
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document store's change feed: four ranges of documents, read page by page as a stream and taken apart to events."""
+    item = F.struct("index", F.struct(F.col("event_type").alias("c"), F.col("data").alias("d")).alias("x"))
+    docs = conversations(spark, sf_dir).groupBy("stream").agg(
+        F.min("index").alias("i"), (F.max("index") + 1).alias("n"), F.transform(F.array_sort(F.collect_list(item)), lambda x: x["x"]).alias("e")
+    )
+    n = F.split_part("stream", F.lit("-"), F.lit(2)).cast("long")
+    value = F.to_json(F.struct(F.col("stream").alias("p"), "i", "n", "e", F.lit(1.7e9).alias("_ts")))
+    rows = docs.select(F.concat(F.lit("r"), (n % 4).cast("string")).alias("event_type"), n.alias("event_id"), n.alias("user_id"), value.alias("data"))
+    names, tails, page = _stored_feed(spark, rows)
+    spark.dataSource.register(paged("weftline_documents", lambda: names, lambda t: tails[t], page))
+    feed = spark.readStream.format("weftline_documents").option("page_size", "100000").option("stripe", "200000").load()
+    got = _result(spark, feed.select("tranche", "data"), "documents")
+    ranges = got.select(F.col("tranche").alias("rng"), F.get_json_object("data", "$.p").alias("stream"))
+    return codec.document_events(got, "data").join(ranges, "stream").select("rng", "stream", "index", "event_type", "data")
+
+
 @query("SELECT event_id, event_type AS category, CAST(max(event_id) OVER (PARTITION BY event_type) + 1 AS BIGINT) AS checkpoint FROM events")
 def category_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories polled page by page into a table, each page's checkpoint written behind it; the second round finds nothing."""
@@ -249,14 +271,17 @@ def producer_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a producer makes of each stream's span: its own key, nothing for some streams, a mark on large messages."""
 
     def prepare(events: DataFrame) -> DataFrame:
-        x = events.groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "data"))), lambda e: e["data"]), "|").alias("value"))
+        x = events.groupBy("stream").agg(F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("index", "data"))), lambda e: e["data"]), "|"
+        ).alias("value"))
         n = F.split_part("stream", F.lit("-"), F.lit(2))
         return x.select("stream", F.concat(F.lit("c"), n).alias("key"), F.when(n.cast("long") % 5 != 0, F.col("value")).alias("value"))
 
     return sinks.prepared_messages(conversations(spark, sf_dir), prepare, 1500)
 
 
-@query("SELECT CASE WHEN user_id % 10 = 0 THEN 'failing' WHEN user_id % 10 = 1 THEN 'stuck' ELSE 'ok' END AS class, CAST(count(DISTINCT user_id) AS BIGINT) AS streams FROM events GROUP BY 1")
+@query("""SELECT CASE WHEN user_id % 10 = 0 THEN 'failing' WHEN user_id % 10 = 1 THEN 'stuck' ELSE 'ok' END AS class, CAST(count(DISTINCT user_id) AS
+  BIGINT) AS streams FROM events GROUP BY 1""")
 def sink_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Handlers that always fail, never progress, or succeed."""
 
@@ -315,7 +340,8 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoints.positions().select(F.col("tranche").cast("long").alias("tranche"), "position", F.lit(caught_up).alias("caught_up"))
 
 
-@query(f"SELECT CASE WHEN n % 9 = 0 THEN 'idle' WHEN n % 9 >= 6 THEN 'full' ELSE 'active' END AS load, CAST(count(*) AS BIGINT) AS streams FROM (SELECT stream, count(*) AS n FROM {ORDER} GROUP BY stream) GROUP BY 1")
+@query(f"""SELECT CASE WHEN n % 9 = 0 THEN 'idle' WHEN n % 9 >= 6 THEN 'full' ELSE 'active' END AS load, CAST(count(*) AS BIGINT) AS streams FROM
+  (SELECT stream, count(*) AS n FROM {ORDER} GROUP BY stream) GROUP BY 1""")
 def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams that are idle, active or full."""
     n = order_lines(spark, sf_dir).select("stream", "index").distinct().groupBy("stream").agg((F.count("*") % 9).alias("n"))
@@ -331,7 +357,9 @@ def loop_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.duration_shares(p, ["results", "dispatch", "sleep"])
 
 
-@query(f"SELECT stream, CAST(min(\"index\") AS BIGINT) AS i, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY split_part(stream, '-', 2)::BIGINT % 50 ORDER BY split_part(stream, '-', 2)::BIGINT) AS slot FROM (SELECT stream, min(\"index\") AS \"index\" FROM {ORDER} GROUP BY stream)) WHERE slot <= 3 GROUP BY stream")
+@query(f"""SELECT stream, CAST(min("index") AS BIGINT) AS i, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY
+  split_part(stream, '-', 2)::BIGINT % 50 ORDER BY split_part(stream, '-', 2)::BIGINT) AS slot FROM (SELECT stream, min("index") AS "index"
+  FROM {ORDER} GROUP BY stream)) WHERE slot <= 3 GROUP BY stream""")
 def dispatch_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the streams that wait, by shard, those for which there is a free slot."""
     heads = order_lines(spark, sf_dir).groupBy("stream", "l_orderkey").agg(F.min("index").alias("i"))

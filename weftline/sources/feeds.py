@@ -43,7 +43,10 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, skip: int = 0,
     its block of the file and the lines of the blocks before it: blocks are counted first, a row each.
     """
     raw = spark.read.text(local_copy(spark, path))
-    lines = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__k"))
+    lines = raw.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"),
+        F.monotonically_increasing_id().alias("__k")
+    )
     blocks = lines.groupBy("file", "__at").agg(F.count("*").alias("n"), F.min("__k").alias("__first"))
     earlier = F.sum("n").over(Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("file", "__at", "__first", F.coalesce(earlier, F.lit(0)).alias("__before"))
@@ -66,7 +69,10 @@ def crawl_indices(items: DataFrame, order: str, began_s: int, parts: int = 64) -
     return given.join(F.broadcast(last)).withColumn("held_back", F.col(order) == F.col("__last")).drop("__last")
 
 
-def recrawl(crawl: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None], order: str, refresh_s: float, checkpoint: Callable[[int], None], times: int | None = None) -> int:
+def recrawl(
+    crawl: Callable[[], DataFrame], handle: Callable[[DataFrame, int], None], order: str, refresh_s: float, checkpoint: Callable[[int], None],
+    times: int | None = None
+) -> int:
     """A full crawl every refresh_s seconds; times: how often, else until an error. The position behind the last item.
 
     handle gets all items but the last, with the old checkpoint standing, then the last one; only then the new checkpoint, the index behind it, is written.
@@ -188,13 +194,18 @@ class _PagedStream(DataSourceStreamReader):
         pass
 
 
-def paged(name: str, tranches: Callable[[], list[str]], tail: Callable[[str], int], page: Callable[[str, int, int], tuple[list[tuple], int]]) -> type[PagedFeed]:
+def paged(
+    name: str, tranches: Callable[[], list[str]], tail: Callable[[str], int], page: Callable[[str, int, int], tuple[list[tuple], int]]
+) -> type[PagedFeed]:
     """A data source class from three functions."""
 
     def named(cls) -> str:
         return name
 
-    return type(name, (PagedFeed,), {"name": classmethod(named), "tranches": lambda self: tranches(), "tail": lambda self, t: tail(t), "page": lambda self, t, at, n: page(t, at, n)})
+    return type(
+        name, (PagedFeed,),
+        {"name": classmethod(named), "tranches": lambda self: tranches(), "tail": lambda self, t: tail(t), "page": lambda self, t, at, n: page(t, at, n)}
+    )
 
 
 def all_feed(name: str, tail: Callable[[], int], page: Callable[[int, int], tuple[list[tuple], int]]) -> type[PagedFeed]:

@@ -27,7 +27,9 @@ def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
     """A batch with nulls as None."""
     texts = {c: np.array(batch.column(c).to_pylist(), object) for c in ("stream", "event_type", "data")}
     pos = batch.column("write_pos").to_numpy(zero_copy_only=False).astype(float)
-    return pd.DataFrame({**texts, "index": batch.column("index").to_numpy(), "write_pos": pos, "malformed": batch.column("malformed").to_numpy(zero_copy_only=False)})
+    return pd.DataFrame(
+        {**texts, "index": batch.column("index").to_numpy(), "write_pos": pos, "malformed": batch.column("malformed").to_numpy(zero_copy_only=False)}
+    )
 
 
 class _Walk:
@@ -83,7 +85,9 @@ class _Walk:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.out, strict=True), _KINDS, strict=True)], _COLUMNS)
         for rows in self.left:
             given = {"stream": rows["stream"].tolist(), "i": rows["index"].tolist(), "event_type": rows["event_type"].tolist(), "data": rows["data"].tolist(), "kind": ["waiting"] * len(rows)}
-            yield pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(len(rows), t) for c, t in zip(_COLUMNS, _KINDS, strict=True)], _COLUMNS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(given[c], t) if c in given else pa.nulls(len(rows), t) for c, t in zip(_COLUMNS, _KINDS, strict=True)], _COLUMNS
+            )
         self.out, self.left = [], []
 
 
@@ -146,7 +150,9 @@ class StreamTable:
     def state(self, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """Before a micro-batch: stream, write_pos, malformed, batch (the last that touched the stream); and the events that wait."""
         rows = self._before(batch_id)
-        last = rows.where("kind = 'state'").groupBy("stream").agg(F.max_by(F.struct("write_pos", "malformed", "batch"), "batch").alias("x")).select("stream", "x.*")
+        last = rows.where("kind = 'state'").groupBy("stream").agg(F.max_by(
+            F.struct("write_pos", "malformed", "batch"), "batch"
+        ).alias("x")).select("stream", "x.*")
         waiting = rows.where("kind = 'waiting'").join(last.select("stream", "batch"), ["stream", "batch"], "left_semi")
         return last, waiting
 
@@ -156,7 +162,9 @@ class StreamTable:
         arrival = F.col("arrival").cast("long") if "arrival" in events.columns else F.lit(0).cast("long")
         new = events.select("stream", "index", "event_type", "data", F.lit(1).alias("turn"), arrival.alias("arrival"))
         touched = new.select("stream").distinct()
-        old = waiting.join(touched, "stream", "left_semi").select("stream", F.col("i").alias("index"), "event_type", "data", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("arrival"))
+        old = waiting.join(touched, "stream", "left_semi").select(
+            "stream", F.col("i").alias("index"), "event_type", "data", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("arrival")
+        )
         rows = new.unionByName(old).join(last.drop("batch"), "stream", "left").where(F.col("index") >= F.coalesce("write_pos", F.lit(0)))
         first = F.row_number().over(Window.partitionBy("stream", "index").orderBy("turn", "arrival", "event_type", "data"))
         once = rows.repartition("stream").withColumn("copy", first).where("copy = 1").withColumn("malformed", F.coalesce("malformed", F.lit(False)))
@@ -177,7 +185,9 @@ class StreamTable:
         return self._read("log").where("kind = 'result'").select(*RESULT_COLUMNS)
 
 
-def project(stream: DataFrame, handle: Handler, path: str, checkpoint: str, require_all: bool = False, max_events: int = 16384, snapshot_every: int = 50) -> DataFrame:
+def project(
+    stream: DataFrame, handle: Handler, path: str, checkpoint: str, require_all: bool = False, max_events: int = 16384, snapshot_every: int = 50
+) -> DataFrame:
     """Run a stream of events to its end; the results of its handlers, as buffers.project gives them."""
     table = StreamTable(stream.sparkSession, path, snapshot_every)
     for_each_batch(stream, lambda df, batch_id: table.handle(df, batch_id, handle, require_all, max_events), checkpoint)

@@ -76,7 +76,10 @@ class _Head:
         return out
 
 
-def project(events: DataFrame, handle: Handler, require_all: bool = False, max_events: int = 16384, max_attempts: int = 1, purge_ms: int | None = None, retry_ms: int | None = None) -> DataFrame:
+def project(
+    events: DataFrame, handle: Handler, require_all: bool = False, max_events: int = 16384, max_attempts: int = 1, purge_ms: int | None = None,
+    retry_ms: int | None = None
+) -> DataFrame:
     """Stream of handler results. events: stream, index, event_type, data (streaming), and arrival, if there is one: it orders copies of an index.
 
     Events before the write position are dropped (repeated deliveries); the first copy of an index counts, by micro-batch, then arrival, then content. Without

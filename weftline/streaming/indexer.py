@@ -22,7 +22,10 @@ class IndexTable:
     each), epoch_versions batches or epoch_streams streams, and what comes then goes to the next one. Events behind a gap are left out (on_gap "error": raise).
     """
 
-    def __init__(self, spark: SparkSession, path: str, epoch_bytes: int = 1 << 20, epoch_versions: int = 5_000, epoch_streams: int = 100_000, on_gap: str = "leave"):
+    def __init__(
+        self, spark: SparkSession, path: str, epoch_bytes: int = 1 << 20, epoch_versions: int = 5_000, epoch_streams: int = 100_000,
+        on_gap: str = "leave"
+    ):
         self.spark, self.path, self.on_gap = spark, path, on_gap
         self.epoch_bytes, self.epoch_versions, self.epoch_streams = epoch_bytes, epoch_versions, epoch_streams
 
@@ -47,7 +50,9 @@ class IndexTable:
 
     def epochs(self, but: int | None = None) -> DataFrame:
         """partition and its last epoch: epoch, bytes, versions, streams, closed."""
-        last = self._log("epochs", EPOCHS, but).groupBy("partition").agg(F.max_by(F.struct("epoch", "bytes", "versions", "streams", "closed"), "batch").alias("x"))
+        last = self._log("epochs", EPOCHS, but).groupBy("partition").agg(F.max_by(
+            F.struct("epoch", "bytes", "versions", "streams", "closed"), "batch"
+        ).alias("x"))
         return last.select("partition", "x.*")
 
     def ingest(self, events: DataFrame, batch_id: int) -> None:
@@ -64,13 +69,22 @@ class IndexTable:
         placed = fresh.where("not gap").join(open_, F.col("partition") == F.col("of"), "left")
         zero = lambda c: F.coalesce(F.when(~F.col("closed"), F.col(c)), F.lit(0))
         now = (F.coalesce("epoch", F.lit(0)) + F.coalesce(F.col("closed"), F.lit(False)).cast("int")).cast("long")
-        placed = placed.select("partition", now.alias("epoch"), "p", "index", "event_type", "last", *[zero(c).alias(c) for c in ("bytes", "versions", "streams")])
+        placed = placed.select(
+            "partition", now.alias("epoch"), "p", "index", "event_type", "last", *[zero(c).alias(c) for c in ("bytes", "versions", "streams")]
+        )
         self._write(placed.select("partition", "epoch", "p", "index", "event_type"), "rows", batch_id)
-        mine = placed.groupBy("partition", "epoch", "p", "last", "bytes", "versions", "streams").agg((F.max("index") + 1).alias("version"), F.sum(F.octet_length("event_type") + 3).alias("size"))
+        mine = placed.groupBy("partition", "epoch", "p", "last", "bytes", "versions", "streams").agg(
+            (F.max("index") + 1).alias("version"), F.sum(F.octet_length("event_type") + 3).alias("size")
+        )
         self._write(mine.select("partition", "p", "version", "epoch"), "versions", batch_id)
         new = F.col("last").isNull() | (F.col("last") < F.col("epoch"))
-        grown = mine.groupBy("partition", "epoch", "bytes", "versions", "streams").agg(F.sum(F.col("size") + F.octet_length("p") + 2).alias("size"), F.sum(new.cast("int")).alias("more"))
-        state = grown.select("partition", "epoch", (F.col("bytes") + F.col("size")).cast("long").alias("bytes"), (F.col("versions") + 1).cast("long").alias("versions"), (F.col("streams") + F.col("more")).cast("long").alias("streams"))
+        grown = mine.groupBy("partition", "epoch", "bytes", "versions", "streams").agg(
+            F.sum(F.col("size") + F.octet_length("p") + 2).alias("size"), F.sum(new.cast("int")).alias("more")
+        )
+        state = grown.select(
+            "partition", "epoch", (F.col("bytes") + F.col("size")).cast("long").alias("bytes"),
+            (F.col("versions") + 1).cast("long").alias("versions"), (F.col("streams") + F.col("more")).cast("long").alias("streams")
+        )
         full = (F.col("bytes") > self.epoch_bytes) | (F.col("versions") >= self.epoch_versions) | (F.col("streams") >= self.epoch_streams)
         self._write(state.select("*", full.alias("closed")), "epochs", batch_id)
 

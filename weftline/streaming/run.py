@@ -169,8 +169,12 @@ class CheckpointTable:
     def commit(self, rows: DataFrame, batch_id: int, writer: str = "") -> None:
         """rows: source, tranche, consumer_group, position. writer: what batch ids count for, such as the query's checkpoint folder."""
         key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "consumer_group")]
-        out = rows.select("source", "tranche", "consumer_group", F.col("position").cast("long"), F.current_timestamp().alias("at"), F.lit(self._next()).alias("seq"))
-        parts = out.withColumn("of", F.md5(F.concat_ws("\x00", *key))).withColumn("writer", F.lit(hashlib.md5(writer.encode()).hexdigest())).withColumn("batch", F.lit(batch_id))
+        out = rows.select(
+            "source", "tranche", "consumer_group", F.col("position").cast("long"), F.current_timestamp().alias("at"), F.lit(self._next()).alias("seq")
+        )
+        parts = out.withColumn("of", F.md5(F.concat_ws("\x00", *key))).withColumn(
+            "writer", F.lit(hashlib.md5(writer.encode()).hexdigest())
+        ).withColumn("batch", F.lit(batch_id))
         parts.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of", "writer", "batch").parquet(self.path)
 
     def override(self, source: str, tranche: str, group: str, position: int) -> None:

@@ -110,11 +110,16 @@ def handle_batched(pending: DataFrame, select: Callable[[DataFrame], DataFrame],
     chosen = chosen.select("stream", order.alias("ordinal")).groupBy("stream").agg(F.min("ordinal").alias("ordinal"))
     event = F.struct("index", *[c for c in pending.columns if c not in ("stream", "index")])
     spans = pending.join(chosen, "stream").groupBy("stream", "ordinal").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    items = spans.select("stream", "ordinal", F.struct(F.element_at("events", 1)["index"].alias("i"), (F.element_at("events", -1)["index"] + 1).alias("next"), "events").alias("span"))
+    items = spans.select(
+        "stream", "ordinal",
+        F.struct(F.element_at("events", 1)["index"].alias("i"), (F.element_at("events", -1)["index"] + 1).alias("next"), "events").alias("span")
+    )
     results = handle(items).select("ordinal", "outcome", F.col("index_next").cast("long").alias("index_next"))
     once = results.groupBy("ordinal").agg(F.max_by("outcome", "index_next").alias("outcome"), F.max("index_next").alias("index_next"), F.count("*").alias("n"))
     zipped = items.join(once, "ordinal", "left")
-    checked = F.when(F.coalesce("n", F.lit(0)) == 1, F.col("index_next")).otherwise(F.raise_error(F.concat(F.col("stream"), F.lit(": not one result"))).cast("long"))
+    checked = F.when(
+        F.coalesce("n", F.lit(0)) == 1, F.col("index_next")
+    ).otherwise(F.raise_error(F.concat(F.col("stream"), F.lit(": not one result"))).cast("long"))
     done = F.size(F.filter("span.events", lambda x: x["index"] < F.col("index_next"))).cast("long")
     return zipped.select("stream", F.col("span.i").alias("i"), checked.alias("index_next"), "outcome", done.alias("n_events"))
 
@@ -167,7 +172,9 @@ def produce_parallel(items: DataFrame, render: tuple[Column, Column], topic: str
     produce(items.select(render[0].alias("key"), render[1].alias("value")), topic, servers)
 
 
-def consume_topic(spark, topic: str, servers: str, max_offsets: int | None = None, min_offsets: int | None = None, max_delay: str = "5s", starting: str = "earliest") -> DataFrame:
+def consume_topic(
+    spark, topic: str, servers: str, max_offsets: int | None = None, min_offsets: int | None = None, max_delay: str = "5s", starting: str = "earliest"
+) -> DataFrame:
     """A topic as a stream of records: micro-batches of max_offsets at most, begun at min_offsets or after max_delay. Needs Spark's Kafka package."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting)
     if max_offsets:
