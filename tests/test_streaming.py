@@ -117,6 +117,18 @@ def test_checkpoint_table_of_several_writers(spark, tmp_path):
     assert {r["source"]: r["position"] for r in again.positions().collect()} == {"A": 61, "B": 20, "C": 30, "D": 40}
 
 
+def test_checkpoints_in_a_database(spark, tmp_path):
+    options = {"url": f"jdbc:derby:memory:positions{tmp_path.name};create=true"}
+    t = run.JdbcCheckpoints(spark, options, "positions")
+    kind = "source string, tranche string, consumer_group string, position long"
+    assert t.start("s", "0", "g", lambda: 7) == 7
+    for batch, position in ((0, 5), (1, 8), (1, 8)):
+        t.commit(spark.createDataFrame([("s", "0", "g", position), ("s", "1", "g", 1)], kind), batch)
+    assert (t.start("s", "0", "g"), t.start("s", "1", "g")) == (8, 1)
+    t.override("s", "0", "g", 2)
+    assert run.JdbcCheckpoints(spark, options, "positions").start("s", "0", "g") == 2
+
+
 def test_nulls_and_copies_wait_in_order(spark, tmp_path):
     """What waits behind a gap keeps its nulls; of copies the first arrival counts, in a micro-batch and before it."""
     seen = str(tmp_path / "seen")

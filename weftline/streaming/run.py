@@ -213,3 +213,30 @@ class CheckpointTable:
         rows.coalesce(1).write.mode("append").parquet(f"{self.path}/snapshot={uuid.uuid4().hex}")
         for folder in old:
             fs.delete(fs_path(folder), True)
+
+
+class JdbcCheckpoints(CheckpointTable):
+    """The same in a database table of COLUMNS, which is made if it is missing: rows are appended, the one written last counts. options: of Spark's JDBC source."""
+
+    def __init__(self, spark: SparkSession, options: dict[str, str], table: str):
+        super().__init__(spark, table)
+        self.options = options | {"dbtable": table}
+
+    def commit(self, rows: DataFrame, batch_id: int, writer: str = "") -> None:
+        """As there; a repeated batch is appended again, which changes no position."""
+        out = rows.select(
+            "source", "tranche", "consumer_group", F.col("position").cast("long"), F.current_timestamp().alias("at"), F.lit(self._next()).alias("seq")
+        )
+        names = ", ".join(f"{c} VARCHAR(400)" for c in ("source", "tranche", "consumer_group"))
+        out.coalesce(1).write.format("jdbc").options(**self.options).option("createTableColumnTypes", names).mode("append").save()
+
+    def _rows(self) -> DataFrame:
+        try:
+            return self.spark.read.format("jdbc").options(**self.options).load()
+        except Exception as e:  # noqa: BLE001 - databases say in many ways that a table is missing
+            if "does not exist" not in str(e).lower():
+                raise
+            return self.spark.createDataFrame([], schema(self.COLUMNS))
+
+    def compact(self) -> None:
+        raise NotImplementedError("rows of a database are deleted there")
