@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import numbered
+from .spans import merge_events, numbered
 
 
 def head_spans(spans: DataFrame, key: str = "stream") -> DataFrame:
@@ -15,6 +15,15 @@ def head_spans(spans: DataFrame, key: str = "stream") -> DataFrame:
     ).select(key, "h.*", "n_spans", "n_events")
 
 
+def combine(states: DataFrame, events: DataFrame, arrival: list[str]) -> DataFrame:
+    """stream, write_pos, malformed, i, next, n_spans, n_events of several states of each stream (write_pos, malformed) and all their events: the greatest
+    position, malformed if any is, and the queue merged from there on (its head; null where nothing waits)."""
+    merged = states.groupBy("stream").agg(F.max("write_pos").alias("write_pos"), F.max("malformed").alias("malformed"))
+    waiting = events.join(merged.select("stream", "write_pos"), "stream").where(F.col("index") >= F.coalesce("write_pos", F.lit(0)))
+    heads = head_spans(merge_events(waiting, arrival)).drop("n")
+    return merged.join(heads, "stream", "left")
+
+
 def dispatchable(require_all: bool, i: Column, write_pos: Column, busy: Column | None = None, malformed: Column | None = None) -> Column:
     """Has a head, isn't malformed or busy; with require_all the head begins at the write position (0 if unknown)."""
     out = i.isNotNull() & ~F.coalesce(

@@ -243,3 +243,15 @@ def sync_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).groupBy("stream").agg((F.max("index") + 1).alias("version"))
     r = state.append_at_expected(spans.merge_events(o, LINE_ORDER), held)
     return r.groupBy("result").agg(F.count("*").alias("spans"), F.sum("n_new").alias("appended"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT stream, l_orderkey AS k, greatest(l_orderkey % 3, l_orderkey % 5) AS w FROM {ORDER}),
+  q AS (SELECT stream, i, next, n FROM {islands(f'(SELECT stream, "index" FROM {ORDER} WHERE "index" >= greatest(l_orderkey % 3, l_orderkey % 5))')})
+  SELECT stream, CAST(w AS BIGINT) AS write_pos, k % 50 = 0 OR k % 70 = 0 AS malformed, CAST(min(i) AS BIGINT) AS i, CAST(min_by(next, i) AS BIGINT) AS next,
+    CAST(nullif(count(i), 0) AS BIGINT) AS n_spans, CAST(sum(n) AS BIGINT) AS n_events FROM s LEFT JOIN q USING (stream) GROUP BY ALL""")
+def combine_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of every order stream and its lines, combined."""
+    o = order_lines(spark, sf_dir)
+    k = F.col("l_orderkey")
+    of = lambda n, bad: o.select("stream", (k % n).alias("write_pos"), (k % bad == 0).alias("malformed")).distinct()
+    return state.combine(of(3, 50).unionByName(of(5, 70)), o, list(LINE_ORDER))
