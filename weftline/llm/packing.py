@@ -25,8 +25,8 @@ PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Pieces per packer. A packer holds them as numbers (40 bytes each).
 GROUP_PIECES = 60_000
-#: Distinct chunks whose ids a worker keeps.
-CACHE_CHUNKS = 800_000
+#: Distinct chunks whose ids a worker keeps, and their bytes at most.
+CACHE_CHUNKS, CACHE_BYTES = 1_000_000, 64
 MARKS = frozenset(",.;:!?")
 #: Code points below this are examined for plain letters: no two of them compose into one.
 LETTERS = 0x0530
@@ -37,20 +37,22 @@ _coders: dict[str, ChunkCoder] = {}
 class ChunkCoder:
     """Token ids of texts, by what lies between blanks, which no token crosses.
 
-    A batch's chunks are numbered by Arrow; only its distinct chunks are looked up, and only words
-    that no batch had before are encoded. A word of plain letters is encoded in lower case and without the mark behind it; plain
-    are those letters of which this tokenizer proves, when it is loaded, that neither changes their ids. Two generations of entries are kept.
+    A batch's chunks are numbered by Arrow; only its distinct chunks are looked up, and only those that no batch had before are encoded. A word of plain letters
+    is encoded in lower case and without the mark behind it; plain are those letters of which this tokenizer proves, when it is loaded, that neither
+    changes their ids. Known chunks and their ids are two Arrow arrays; what a batch uses stays when they grow too long.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[k for w, k in vocab.items() if w.endswith("</w>")]] = True
         self.plain = frozenset(filter(self._is_plain, map(chr, range(LETTERS))))
+        self.marks = {m: self.encode(m) for m in MARKS}
+        self.names, self.known = pa.array([""], pa.string()), pa.array([b""], pa.binary())
 
     def _is_plain(self, c: str) -> bool:
         """Whether words keep their ids if this letter is put in lower case, and if a mark behind it is encoded by itself. Capital sigma's lower case depends on its place in Python only."""
@@ -62,37 +64,45 @@ class ChunkCoder:
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def lookup(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks. Unknown words of letters are encoded together: each ends in a token that ends a word."""
-        out = [self.known.get(c) for c in chunks]
-        at = [k for k, x in enumerate(out) if x is None]
-        if len(self.known) + len(at) > CACHE_CHUNKS:
-            self.old, self.known = self.known, {"": b""}
+    def lookup(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Of distinct chunks, their places in an array of ids, and that array."""
+        at = pc.index_in(chunks, value_set=self.names)
+        unknown = at.is_null()
+        if not at.null_count:
+            return at, self.known
+        new = chunks.filter(unknown)
+        table = pa.concat_arrays([self.known, pa.array(self.encoded(new.to_pylist()), pa.binary())])
+        places = at.to_numpy(zero_copy_only=False).copy()
+        places[unknown.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(table))
+        out = pa.array(places.astype(np.int64))
+        names = pa.concat_arrays([self.names, new])
+        if len(names) > CACHE_CHUNKS:
+            used = pa.array(np.unique(places).astype(np.int64))
+            names, self.known = names.take(used), table.take(used)
+        else:
+            self.known = table
+        short = pc.less_equal(pc.binary_length(names), CACHE_BYTES)
+        self.names, self.known = (names, self.known) if pc.all(short).as_py() else (names.filter(short), self.known.filter(short))
+        return out, table
+
+    def encoded(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks. Words of plain letters are encoded together: each ends in a token that ends a word."""
+        out: list[bytes] = [b""] * len(chunks)
         words: dict[str, list[tuple[int, str]]] = {}
-        for k in at:
-            c = chunks[k]
-            if (ids := self.old.get(c)) is not None:
-                out[k] = ids
-                continue
-            w, mark = (c[:-1], c[-1]) if c[-1] in MARKS else (c, "")
+        for k, c in enumerate(chunks):
+            w, mark = (c[:-1], c[-1]) if c[-1:] in MARKS else (c, "")
             if w and len(w) <= 64 and (w.isascii() and w.isalpha() or self.plain.issuperset(w)):
                 words.setdefault(w.lower(), []).append((k, mark))
             else:
                 out[k] = self.encode(c)
-        if words:
-            for mark in MARKS:
-                self.known.setdefault(mark, self.encode(mark))
-            ids = self.word_ids(list(words))
-            for uses, x in zip(words.values(), ids, strict=True):
-                for k, mark in uses:
-                    out[k] = x + self.known[mark]
-        for k in at:
-            if len(chunks[k]) <= 64:
-                self.known[chunks[k]] = out[k]
+        for uses, ids in zip(words.values(), self.word_ids(list(words)), strict=True):
+            for k, mark in uses:
+                out[k] = ids + self.marks[mark] if mark else ids
         return out
 
     def word_ids(self, words: list[str]) -> list[bytes]:
-        out = [self.known.get(w) for w in words]
+        at = pc.index_in(pa.array(words, pa.string()), value_set=self.names)
+        out: list = self.known.take(at).to_pylist()
         new = [k for k, x in enumerate(out) if x is None]
         parts = [new[i : i + 500] for i in range(0, len(new), 500)]
         found = self.tokenizer.encode_batch_fast([" ".join([words[k] for k in p]) for p in parts], add_special_tokens=False)
@@ -111,7 +121,8 @@ class ChunkCoder:
         if isinstance(split, pa.ChunkedArray):
             split = split.combine_chunks()
         numbered = split.flatten().dictionary_encode()
-        ids = pa.array(self.lookup(numbered.dictionary.to_pylist()), pa.binary()).take(numbered.indices)
+        places, table = self.lookup(numbered.dictionary)
+        ids = table.take(places.take(numbered.indices))
         if isinstance(ids, pa.ChunkedArray):
             ids = ids.combine_chunks()
         of_chunk = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
@@ -156,7 +167,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048,
     return need(docs, {"doc_id": "long", "text": "string"}).mapInArrow(lean(cut), PIECES)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.Table]:
+def _gathered(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[pa.Table]:
     """Batches put together until they hold about so many bytes."""
     held, n = [], 0
     for batch in batches:
