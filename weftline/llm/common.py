@@ -95,6 +95,14 @@ def in_splits(df: DataFrame, source: DataFrame) -> DataFrame:
     return df.coalesce(min(max(2 * spark.sparkContext.defaultParallelism, -(-size // max(1, split))), 1_000_000))
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (give_back := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        give_back(0)
+
+
 def lean(step, *held):
     """A function over a task's Arrow batches that gives freed memory back when the task ends: workers live on between tasks.
 
@@ -111,10 +119,7 @@ def lean(step, *held):
                     x.__dict__.pop("_value", None)
                 else:
                     x.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-                trim(0)
+            trim()
 
     return run
 

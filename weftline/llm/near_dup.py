@@ -130,7 +130,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bands.append(registers(h).view("<i8").tolist() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "bands"])
 
-    return _texts(docs).mapInArrow(lean(sketch), "doc_id long, n long, set_id binary, bands array<long>")
+    return _texts(docs).mapInArrow(lean(sketch, _words), "doc_id long, n long, set_id binary, bands array<long>")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -172,7 +172,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     found.append((doc_id, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(lean(check), "a long, b long")
+    return rows.mapInArrow(lean(check, _words), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -205,7 +205,7 @@ def _samples(texts: DataFrame) -> DataFrame:
             codes = [np.unique((x[:SAMPLE] >> np.uint64(32)).astype("<u4")).tobytes() for x in h]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in h], pa.int64()), pa.array(codes, pa.binary())], ["node", "size", "codes"])
 
-    return texts.mapInArrow(sample, "node long, size long, codes binary")
+    return texts.mapInArrow(lean(sample, _words), "node long, size long, codes binary")
 
 
 def _unresolved(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id), one row per row of docs.
 
     Null or blank texts have no shingles and no links. A null doc_id has no links, a null component_id, and is kept.
-    Rows that share a doc_id are one document: any of their texts' links hold, and all are kept or none.
+    Rows that share a doc_id are one document: any of their texts' links hold, and all are kept or none. Very long texts are read whole; an empty table
+    gives no rows; other columns are left out.
     """
     all_ = stored(in_splits(sketches(docs), docs), "sketches")
     some = all_.where("n > 0 and doc_id is not null")

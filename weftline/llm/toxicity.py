@@ -23,7 +23,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_splits, lean, need, prepare, stored
+from .common import in_splits, lean, need, prepare, stored, trim
 
 MAX_ROWS = 30_000
 PREFIX, DISCOUNT = 4, 0.75
@@ -93,29 +93,41 @@ class Model:
     p_word: np.ndarray  # 2 x words: smoothed continuation probability
     seen: np.ndarray  # 2 x words: occurrences before another word
     back: np.ndarray  # 2 x words: weight of the backoff after this word (1: never seen before another)
-    pairs: np.ndarray  # places of two words, the first one's in the high half
-    kinds: np.ndarray  # by pair, place of its counts
+    first: np.ndarray  # by word, where its bigrams begin; and where the last one's end
+    second: np.ndarray  # by bigram, the second word's place; ascending for each first word
+    kinds: np.ndarray  # by bigram, place of its counts
     counts: np.ndarray  # 2 x kinds: the different counts of bigrams, discounted
     prefixes: np.ndarray
     p_prefix: np.ndarray  # 2 x prefixes: of a word without labelled texts, but for the word's share in its prefix
     p_none: np.ndarray  # 2: the same without a known prefix, but for the word's share in the corpus
 
     def __getstate__(self) -> dict:
-        """The pairs, most of what is broadcast, as differences by byte and compressed, a stretch at a time: each executor holds several copies on disk."""
+        """The bigrams, most of what is broadcast, compressed by byte, a stretch at a time: each executor holds several copies on disk."""
         packed = []
-        for k in range(0, len(self.pairs), STRETCH):
-            steps = np.diff(self.pairs[k : k + STRETCH], prepend=0).view(np.uint8).reshape(-1, 8).T
+        for k in range(0, len(self.second), STRETCH):
+            steps = np.diff(self.second[k : k + STRETCH], prepend=0).astype(np.int32).view(np.uint8).reshape(-1, 4).T
             packed.append((zlib.compress(np.ascontiguousarray(steps), 1), zlib.compress(self.kinds[k : k + STRETCH], 1)))
-        return self.__dict__ | {"pairs": packed, "kinds": (len(self.pairs), self.kinds.dtype.str)}
+        return self.__dict__ | {"second": packed, "kinds": (len(self.second), self.kinds.dtype.str)}
 
     def __setstate__(self, state: dict) -> None:
         n, kind = state["kinds"]
-        pairs, kinds = np.empty(n, np.int64), np.empty(n, kind)
-        for k, (steps, of) in zip(range(0, n, STRETCH), state["pairs"], strict=True):
-            steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(steps), np.uint8).reshape(8, -1).T)
-            np.cumsum(steps.view(np.int64).ravel(), out=pairs[k : k + STRETCH])
+        second, kinds = np.empty(n, np.int32), np.empty(n, kind)
+        for k, (steps, of) in zip(range(0, n, STRETCH), state["second"], strict=True):
+            steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(steps), np.uint8).reshape(4, -1).T)
+            np.cumsum(steps.view(np.int32).ravel(), out=second[k : k + STRETCH])
             kinds[k : k + STRETCH] = np.frombuffer(zlib.decompress(of), kind)
-        self.__dict__ |= state | {"pairs": pairs, "kinds": kinds}
+        self.__dict__ |= state | {"second": second, "kinds": kinds}
+
+    def places(self, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places of bigrams of two words' places, -1 where absent: a search among the first word's."""
+        lo, hi = self.first[before], self.first[before + 1]
+        end = hi.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = self.second[np.minimum(mid, len(self.second) - 1)] < at
+            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        found = (lo < end) & (self.second[np.minimum(lo, len(self.second) - 1)] == at)
+        return np.where(found, lo, -1)
 
     def evidence(self, t: Tokens) -> np.ndarray:
         """Per word: log of its toxic over its ordinary probability."""
@@ -129,10 +141,10 @@ class Model:
         before = t.before(at, _find(self.words, np.array([_START]))[0])
         if len(self.words):
             p *= np.where(before < 0, 1.0, self.back[:, np.maximum(before, 0)])
-        if len(self.pairs):
+        if len(self.second):
             both = np.flatnonzero((at >= 0) & (before >= 0))
             keys, where = np.unique((before[both] << 32) | at[both], return_inverse=True)
-            k = _find(self.pairs, keys)[where]
+            k = self.places(keys >> 32, keys & 0xFFFFFFFF)[where]
             both, k = both[k >= 0], k[k >= 0]
             p[:, both] += self.counts[:, self.kinds[k]] / np.maximum(self.seen[:, before[both]], 1)
         return np.log(p[1] + 1e-300) - np.log(p[0] + 1e-300)
@@ -171,7 +183,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return need(docs, {"doc_id": "long", "text": "string"})
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], size: int = 2_500_000) -> Iterator[pa.Table]:
+def _grouped(batches: Iterator[pa.RecordBatch], size: int = 1_250_000) -> Iterator[pa.Table]:
     held, n = [], 0
     for b in batches:
         held.append(b)
@@ -215,20 +227,21 @@ def bigrams(train: DataFrame, words: np.ndarray) -> DataFrame:
             n = np.bincount(where[~is_toxic], minlength=len(pair)) + (np.bincount(where[is_toxic], minlength=len(pair)) << 32)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
-    out = stored(train.select("toxic", "text").mapInArrow(lean(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams", few=2)
+    out = stored(train.select("toxic", "text").mapInArrow(lean(count, shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams", few=2)
     shared.destroy()
     return out
 
 
-def _sorted_bigrams(table: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From bigrams: sorted pairs, places of their counts, and the different counts (low half, high half). The driver fetches about STRETCH pairs at a time."""
+def _sorted_bigrams(table: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From bigrams, first, second and kinds as a Model has them, and the different counts (low half, high half). The driver fetches about STRETCH bigrams at a time."""
     both = np.sort(_by(table.select("n").distinct(), ["n"])["n"])
     part = F.floor(F.shiftright("pair", 32) * PARTS / max(1, n_words)).cast("int").alias("part")
     sizes = np.zeros(PARTS, np.int64)
     for r in table.groupBy(part).count().collect():
         sizes[r["part"]] = r["count"]
     n, begin, at = int(sizes.sum()), 0, 0
-    pairs, kinds = np.empty(n, np.int64), np.empty(n, np.uint16 if len(both) <= 1 << 16 else np.uint32)
+    of_first = np.zeros(n_words + 1, np.int64)
+    second, kinds = np.empty(n, np.int32), np.empty(n, np.uint16 if len(both) <= 1 << 16 else np.uint32)
     while begin < PARTS:
         end = begin + 1
         while end < PARTS and sizes[begin : end + 1].sum() <= STRETCH:
@@ -237,10 +250,11 @@ def _sorted_bigrams(table: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndar
             x = _by(table.where((part >= begin) & (part < end)), ["pair", "n"])
             order = np.argsort(x["pair"])
             stop = at + len(order)
-            pairs[at:stop], kinds[at:stop] = x["pair"][order], np.searchsorted(both, x["n"][order])
+            second[at:stop], kinds[at:stop] = x["pair"][order] & 0xFFFFFFFF, np.searchsorted(both, x["n"][order])
+            of_first[1:] += np.bincount(x["pair"] >> 32, minlength=n_words)
             at = stop
         begin = end
-    return pairs, kinds, both
+    return np.cumsum(of_first), second, kinds, both
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -272,7 +286,7 @@ def _counts_of(types: DataFrame, words: np.ndarray, prefixes: np.ndarray) -> tup
         k = np.flatnonzero(by_prefix)
         yield pa.RecordBatch.from_arrays([pa.array(-1 - k), pa.array(by_prefix[k])], ["k", "n"])
 
-    x = _by(types.mapInArrow(lean(look_up), "k long, n long"), ["k", "n"])
+    x = _by(types.mapInArrow(lean(look_up, shared), "k long, n long"), ["k", "n"])
     shared.destroy()
     of_word, of_prefix = np.zeros(len(words), np.int64), np.zeros(len(prefixes) + 1, np.int64)
     word = x["k"] >= 0
@@ -300,15 +314,16 @@ def fit_model(docs: DataFrame, train: DataFrame) -> Model:
     place, prefixes = _find(words, found), np.unique(of)
     q = _find(prefixes, of)
     of_word, of_prefix, every = _counts_of(stored(document_counts(docs), "types", few=2), found, prefixes)
-    pairs, kinds, both = _sorted_bigrams(bigrams(train, words), len(words))
+    first, second, kinds, both = _sorted_bigrams(bigrams(train, words), len(words))
     by_kind = np.array([both & 0xFFFFFFFF, both >> 32], float).reshape(2, -1)
     contexts, seen, types = (np.zeros((2, len(words))) for _ in range(3))
-    for k in range(0, len(pairs), STRETCH):
-        part, of_kind = pairs[k : k + STRETCH], by_kind[:, kinds[k : k + STRETCH]]
+    for k in range(0, len(second), STRETCH):
+        of_kind = by_kind[:, kinds[k : k + STRETCH]]
+        before = np.searchsorted(first, np.arange(k, k + of_kind.shape[1]), "right") - 1
         for c in (0, 1):
             has = of_kind[c] > 0
-            history = part[has] >> 32
-            contexts[c] += np.bincount(part[has] & 0xFFFFFFFF, minlength=len(words))
+            history = before[has]
+            contexts[c] += np.bincount(second[k : k + STRETCH][has], minlength=len(words))
             seen[c] += np.bincount(history, weights=of_kind[c][has], minlength=len(words))
             types[c] += np.bincount(history, minlength=len(words))
     # What a history's bigrams leave is for the backoff.
@@ -323,7 +338,7 @@ def fit_model(docs: DataFrame, train: DataFrame) -> Model:
     kept, spread = _discounted(contexts)
     p_word = np.zeros((2, len(words)), np.float32)
     p_word[:, place] = kept + spread[:, None] * p_prefix[:, q] * ((of_word + 1) / of_prefix[q])
-    return Model(words, p_word, seen, back, pairs, kinds, counts, prefixes, spread[:, None] * p_prefix, spread * spare)
+    return Model(words, p_word, seen, back, first, second, kinds, counts, prefixes, spread[:, None] * p_prefix, spread * spare)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -349,51 +364,53 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> tuple[Broadcast, np.n
     chosen = stored(sampled_labels(labels, learn if learn is not None else F.lit(True)), "labels", few=32)
     train = base.join(F.broadcast(chosen), "doc_id")
     model = spark.sparkContext.broadcast(fit_model(base, train.where("part < 4")))
+    trim()  # the driver's arrays are as long as the model's
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
             x = model.value.features(Tokens(_column(t, "text")))
             yield pa.RecordBatch.from_arrays([_column(t, "toxic"), _column(t, "weight"), *[pa.array(c) for c in x.T]], ["toxic", "weight", *[f"x{k}" for k in range(FEATURES)]])
 
-    got = train.where("part = 4").select("toxic", "weight", "text").mapInArrow(lean(features), "toxic int, weight double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
+    got = train.where("part = 4").select("toxic", "weight", "text").mapInArrow(lean(features, model), "toxic int, weight double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
     x = np.stack([got[f"x{k}"].to_numpy() for k in range(FEATURES)], 1) if got.num_rows else np.zeros((0, FEATURES))
     return model, fit_logistic(x, got["toxic"].to_numpy().astype(float), got["weight"].to_numpy())
 
 
 def _scorer(docs: DataFrame, labels: DataFrame, learn):
+    """The function that rates texts, and the broadcast that it reads."""
     shared, beta = fit(docs, labels, learn)
 
     def rate(texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(shared.value.features(Tokens(texts)) @ beta, -30, 30)))
 
-    return rate
+    return rate, shared
 
 
 def score(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0..1), predicted, one row per row of docs. learn: condition on doc_id for rows whose label may be used.
 
-    Null and empty texts have no evidence but the base rate and length. Null doc_ids stay; repeated rows get equal scores; ids labelled twice are
+    Null and empty texts have no evidence but the base rate and length; very long texts are read whole. An empty table gives no rows. Null doc_ids stay; repeated rows get equal scores; ids labelled twice are
     toxic if any label says so; without labels of both classes the models fall back to what they share.
     """
-    rate = _scorer(docs, labels, learn)
+    rate, shared = _scorer(docs, labels, learn)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
             p = rate(_column(t, "text"))
             yield pa.RecordBatch.from_arrays([_column(t, "doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return _texts(docs).mapInArrow(lean(scores), "doc_id long, score double, predicted int")
+    return _texts(docs).mapInArrow(lean(scores, shared), "doc_id long, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, learn=None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all columns, that score below the threshold. Cases as in score."""
-    rate = _scorer(docs, labels, learn)
+    rate, shared = _scorer(docs, labels, learn)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
             yield from t.filter(pa.array(rate(_column(t, "text")) < threshold)).to_batches()
 
-    return in_splits(docs.mapInArrow(lean(keep), docs.schema), docs)
+    return in_splits(docs.mapInArrow(lean(keep, shared), docs.schema), docs)
 
 
 def _column(t: pa.Table, name: str) -> pa.Array:
