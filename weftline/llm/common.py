@@ -70,14 +70,18 @@ def drop_scratch() -> None:
             continue
 
 
-def stored(df: DataFrame, name: str, few: int = 0) -> DataFrame:
+#: Writer options for rows of megabytes: readers and writers hold a row group at once, so it has few rows.
+LARGE_ROWS = {"parquet.block.row.count.limit": "4"}
+
+
+def stored(df: DataFrame, name: str, few: int = 0, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    few: one file for so many shuffle partitions, for tables that are small beside the corpus; never fewer files than cores.
+    few: one file for so many shuffle partitions, for tables that are small beside the corpus; never fewer files than cores. options: of the writer.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (in_files(df, few) if few else df).write.parquet(path)
+    (in_files(df, few) if few else df).write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
