@@ -284,7 +284,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     starred = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     first = _estimated(starred, sets).groupBy("a").agg(F.min("b").alias("b"))
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = stored(_texts(docs).join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), "texts", few=8)
+    texts = stored(_texts(docs).join(nodes.hint("shuffle_hash"), "doc_id", "left_semi"), "texts", few=2)
     links = stored(_confirmed(first, texts), "first-links", few=32)
     more = stored(_unresolved(members.drop("centre"), components(links), texts), "open", few=32)
     if more.limit(1).count():
