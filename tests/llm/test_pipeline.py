@@ -33,7 +33,7 @@ def test_decontamination(spark, stages):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = {r["doc_id"] for r in after.collect()}
     for r in before.collect():
-        n, hit, _ = brute_hits(r["text"], items)
+        n, hit, *_ = brute_hits(r["text"], items, {})
         assert (r["doc_id"] in kept) == (not (hit and 20 * hit >= n))
 
 
@@ -52,5 +52,34 @@ def test_packing(stages):
     assert max(r[1] for r in fill) <= 2048
 
 
+CLASH = "doc_id long, text string, n_lines long, n_dropped string, drop int, d int, k int, row_key long, text_key string, items string, contaminated int, set_id int, component_id int, kept int, score double, toxic int, part int"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_nulls_clashing_names_and_empty_tables(spark, name):
+    """Rows with nulls, empty and very long texts, repeated rows; columns named like the operators' own, and none of n_chars; no rows at all."""
+    rest = (7, "seven", 1, 2, 3, 4, "t", "i", 5, 6, 8, 9, 0.5, 1, 2)
+    texts = [None, "", " \n", "word " * 40_000, "twice the same text of some words", "twice the same text of some words"]
+    rows = [(k, t, *rest) for k, t in enumerate(texts)] + [(None, "an id of null with some words", *rest), (9, None, *[None] * 15), (3, texts[3], *rest)]
+    docs = spark.createDataFrame(rows, CLASH)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = {tuple(map(str, r)) for r in docs.collect()}
+    found = [tuple(map(str, r)) for r in got.collect()]
+    assert set(found) <= want
+    if name != "near_duplicates":
+        assert len(found) == len(rows)
+    else:
+        assert sorted(x[0] for x in found) == sorted(str(r[0]) for r in rows if r[0] != 5)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_packing_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None, 5), (None, "x", 6), (1, None, 5)], "doc_id long, text string, piece int")
+    assert corpus_pipeline.pack(spark, docs, SF).count() == 3
+    assert corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

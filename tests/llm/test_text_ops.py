@@ -1,14 +1,17 @@
 """PII, line templates, language, toxicity, HTML, WARC: brute force, round trips, edge cases."""
 
+import collections
 import hashlib
 import io
 import math
+import pickle
 import random
 import re
 import time
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -119,35 +122,19 @@ def test_many_mentions_in_one_text(spark, docs_of):
     assert got[1]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
-def chain(tokens):
-    h = 42
-    for x in tokens:
-        h = xxhash.xxh64_intdigest(x.encode(), h)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def brute_lines(rows):
-    """The operator's rules for exact templates, with sets."""
-    parsed = {}
-    for d, t in rows:
-        for k, line in enumerate((t or "").split("\n") if t is not None else []):
-            masked = re.sub(r"[0-9][^\s]*", "<*>", line.lower())
-            tokens = re.sub(r"\s+", " ", masked).strip(" ").split(" ")
-            if tokens != [""]:
-                parsed.setdefault((d, t), []).append((k, tokens, chain(tokens)))
+    """What recurs, by the contract: lines, less numbers and case, of three different texts (of eight, for lines of less than four words); all but the first document lose them."""
     held = {}
-    for (d, t), lines in parsed.items():
-        every = [chain(re.sub(r"\s+", " ", re.sub(r"[0-9][^\s]*", "<*>", x.lower())).strip(" ").split(" ")) for x in t.split("\n")]
-        least = sorted(set(every))[:2]
-        for k, tokens, h in lines:
-            family = (least[1] if len(least) > 1 else h) if h == least[0] else least[0]
-            held.setdefault((len(tokens), h), []).append((d, t, k, family))
+    for d, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            masked = re.sub(r"\s+", " ", re.sub(r"[0-9][^\s]*", "<*>", line.lower())).strip(" ")
+            if masked:
+                held.setdefault(masked, []).append((d, t, k))
     drops = {}
-    for (n, _), xs in held.items():
-        families, texts = len({x[3] for x in xs}), len({(x[3], x[1]) for x in xs})
-        if families >= (3 if n >= 4 else 8) and families * 3 >= texts:
-            first = min(x[0] for x in xs)
-            for d, t, k, _ in xs:
+    for line, xs in held.items():
+        if len({t for _, t, _ in xs}) >= (3 if line.count(" ") >= 3 else 8):
+            first = min(d for d, _, _ in xs)
+            for d, t, k in xs:
                 if d != first:
                     drops.setdefault((d, t), set()).add(k)
     return drops
@@ -212,6 +199,26 @@ def test_passages_of_unrelated_documents(spark, docs_of):
     assert all(got[k]["n_dropped"] == 6 for k in range(301, 600))
 
 
+def test_planted_boilerplate_and_copies(spark, docs_of):
+    """By seed, 200 documents with four own lines and ten that all share, and a group of copies: all shared lines go but for the first document's, own ones and copies' stay."""
+    rows, seeds = [], range(20)
+    for seed in seeds:
+        rng = random.Random(1000 + seed)
+        line = lambda n, rng=rng, seed=seed: " ".join(f"s{chr(97 + seed)}" + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+        shared = [line(9) for _ in range(10 if seed % 4 else 2)]
+        for k in range(200):
+            lines = [(True, x) for x in shared] + [(False, line(9)) for _ in range(4)]
+            rng.shuffle(lines)
+            rows.append((seed * 1000 + k, ("\n" if k % 2 else "\n\n").join(x for _, x in lines)))
+        whole = "\n".join(line(9) for _ in range(12))
+        rows += [(seed * 1000 + 500 + k, whole) for k in range(60)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_templates.drop_recurring_lines(docs_of(rows)).collect()}
+    for seed in seeds:
+        n = 10 if seed % 4 else 2
+        assert [got[seed * 1000 + k] for k in range(200)] == [0] + [n] * 199, seed
+        assert {got[seed * 1000 + 500 + k] for k in range(60)} == {0}
+
+
 def syllables(rng, parts, n):
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
@@ -317,7 +324,7 @@ def test_toxicity_counts_every_word(spark, docs_of):
     model = toxicity.fit_model(docs, train)
     known = [t.split() for k, t in rows if k in label]
     assert set(model.words.tolist()) == {h(w) for t in known for w in t} | {int(toxicity._START)}
-    assert len(model.pairs) == len({p for t in known for p in zip([None, *t], t)})
+    assert len(model.second) == model.first[-1] == len({p for t in known for p in zip([None, *t], t)})
     p = dict(zip(model.words.tolist(), model.p_word.T))
     assert p[h("once0")][1] > p[h("once0")][0] and p[h("once1")][0] > p[h("once1")][1]
     # The model's words and the rest of the corpus share all of each class's probability.
@@ -326,6 +333,72 @@ def test_toxicity_counts_every_word(spark, docs_of):
     assert (model.p_word.sum(1) + rest).tolist() == pytest.approx([1, 1], abs=1e-4)
 
 
+def brute_evidence(train, corpus):
+    """The Kneser-Ney models with dictionaries: a function that gives a text's evidence by word."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    d, cut = toxicity.DISCOUNT, toxicity.PREFIX
+    docs = collections.Counter(w for t in corpus for w in set(split(t)))
+    of_prefix = collections.Counter()
+    for w, n in docs.items():
+        of_prefix[w[:cut]] += n + 1
+    every = sum(of_prefix.values())
+    models = []
+    for c in (0, 1):
+        pairs = collections.Counter(p for y, t in train if y == c for p in zip([None, *split(t)], split(t)))
+        contexts, kinds, seen = (collections.Counter() for _ in range(3))
+        for (h, w), n in pairs.items():
+            contexts[w] += 1
+            kinds[h] += 1
+            seen[h] += n
+        by_prefix = collections.Counter(w[:cut] for w in contexts)
+        models.append((pairs, contexts, kinds, seen, by_prefix))
+    known = {w for m in models for w in m[1]}
+
+    def lowest(w, m):
+        _, contexts, _, _, by_prefix = m
+        n, words = sum(contexts.values()), sum(by_prefix.values())
+        spread = 1 - sum(x - d for x in contexts.values() if x > d) / n if n else 1
+        spare = 1 - sum(x - d for x in by_prefix.values() if x > d) / words if words else 1
+        q = w[:cut]
+        if not any(x[:cut] == q for x in known):
+            return spread * spare
+        p_prefix = (max(by_prefix[q] - d, 0) / words if words else 0) + spare * of_prefix[q] / every
+        if w not in known:
+            return spread * p_prefix
+        return (max(contexts[w] - d, 0) / n if n else 0) + spread * p_prefix * (docs[w] + 1) / of_prefix[q]
+
+    def evidence(text):
+        out, before = [], None
+        for w in split(text):
+            p = []
+            for m in models:
+                pairs, _, kinds, seen, _ = m
+                low = lowest(w, m)
+                p.append(max(pairs[before, w] - d, 0) / seen[before] + d * kinds[before] / seen[before] * low if seen[before] else low)
+            out.append(math.log(p[1]) - math.log(p[0]))
+            before = w
+        return out
+
+    return evidence
+
+
+def test_toxicity_against_brute_force(spark, docs_of, monkeypatch):
+    """Evidence word by word, with the driver's stretches at one pair in ten; broadcast and back."""
+    monkeypatch.setattr(toxicity, "STRETCH", 40)
+    rng = random.Random(34)
+    rows, marks = toxic_rows(rng, 40)
+    rows += [(500, "vilebadder other words mimikaka"), (501, "zzz zzzz kalo"), (502, None)]
+    label = dict(marks)
+    train = [(label[k], t) for k, t in rows if k in label]
+    model = toxicity.fit_model(docs_of(rows), spark.createDataFrame(train, "toxic int, text string"))
+    model = pickle.loads(pickle.dumps(model))
+    evidence = brute_evidence(train, [t for _, t in rows])
+    texts = [rows[0][1], rows[1][1], "vilebadder zzz nowhere uglyword ka", "", None, rows[0][1].upper() + "!!"]
+    tokens = toxicity.Tokens(pa.array(texts, pa.string()))
+    got = model.evidence(tokens).tolist()
+    assert got == pytest.approx([x for t in texts for x in evidence(t)], abs=1e-4)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>
 <article><header><h1>Big &amp; small</h1></header><p>One<br>two&nbsp;&#233; <b>three</p><p>Four  \n five<p>Six <script>x</script>seven<ul><li>a<li>b</ul><aside>Side</aside><form><input value=1>Send</form>

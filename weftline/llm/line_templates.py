@@ -12,6 +12,7 @@ DataFrame functions only. Hashes of lines are counted; texts travel once, to mee
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -121,15 +122,19 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return again.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs with text less its recurring lines, and columns n_lines and n_dropped; one row per row, other columns as they are.
+def drop_recurring_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """docs with text less its recurring lines, and columns n_lines and n_dropped (which replace any so named); one row per row, other columns as they are.
 
     A template's first document (smallest doc_id; null ids never come first while others hold it) keeps its lines. Null text stays null with no lines;
-    a text without lines left is empty; blank lines stay; equal rows get equal results.
+    a text without lines left is empty; blank lines stay; equal rows get equal results; very long texts and lines are read whole; an empty table gives no rows.
     """
-    drops = recurring_lines(docs).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("drop").alias("__drop"))
-    key = F.col("__k") == F.xxhash64("text")
-    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & key, "left")
-    parts = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    return in_files(joined, 4).withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)), "text": F.when(F.col("__drop").isNotNull(), left).otherwise(F.col("text"))}).drop("__d", "__k", "__drop")
+    own = uuid.uuid4().hex
+    d, k, drop = (f"{c}-{own}" for c in ("d", "k", "drop"))
+    drops = recurring_lines(docs).select(F.col("doc_id").alias(d), F.col("text_key").alias(k), F.col("drop").alias(drop))
+    key = F.col(f"`{k}`") == F.xxhash64("text")
+    joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(f"`{d}`")) & key, "left")
+    parts, gone = F.split("text", "\n", -1), F.col(f"`{drop}`")
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    counts = {n_lines: F.coalesce(F.size(parts), F.lit(0)), n_dropped: F.coalesce(F.size(gone), F.lit(0))}
+    text = F.when(gone.isNotNull(), left).otherwise(F.col("text"))
+    return in_files(joined, 4).withColumns(counts | {"text": text}).drop(d, k, drop)
