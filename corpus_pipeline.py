@@ -21,9 +21,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, less the lines of recurring templates; n_chars follows the text."""
-    out = line_templates.drop_recurring_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Every document, less the lines of recurring templates; n_chars, where there is one, follows the text."""
+    out = line_templates.drop_recurring_lines(docs, "__lines", "__dropped")
+    if "n_chars" in docs.columns:
+        chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, chars).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
