@@ -342,42 +342,54 @@ def brute_evidence(train, corpus):
     for w, n in docs.items():
         of_prefix[w[:cut]] += n + 1
     every = sum(of_prefix.values())
+    def off(counts):
+        """The three discounts of modified Kneser-Ney, as a function of a count."""
+        of = collections.Counter(counts.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0
+        by = [min(k, max(d, k - (k + 1) * y * of[k + 1] / of[k])) if of[k] else d for k in (1, 2)]
+        more = sum(n for k, n in of.items() if k == 3)
+        by.append(min(3, max(d, 3 - 4 * y * of[4] / more)) if more else d)
+        return lambda n: 0 if n == 0 else by[min(n, 3) - 1]
+
     models = []
     for c in (0, 1):
         pairs = collections.Counter(p for y, t in train if y == c for p in zip([None, *split(t)], split(t)))
-        contexts, kinds, seen = (collections.Counter() for _ in range(3))
+        contexts, seen, left = (collections.Counter() for _ in range(3))
+        cut_off = off(pairs)
         for (h, w), n in pairs.items():
             contexts[w] += 1
-            kinds[h] += 1
             seen[h] += n
+            left[h] += cut_off(n)
         by_prefix = collections.Counter(w[:cut] for w in contexts)
-        models.append((pairs, contexts, kinds, seen, by_prefix))
+        models.append((pairs, contexts, seen, left, by_prefix, cut_off, off(contexts), off(by_prefix)))
     known = {w for m in models for w in m[1]}
 
     def lowest(w, m):
-        _, contexts, _, _, by_prefix = m
+        _, contexts, _, _, by_prefix, _, off_word, off_prefix = m
         n, words = sum(contexts.values()), sum(by_prefix.values())
-        spread = 1 - sum(x - d for x in contexts.values() if x > d) / n if n else 1
-        spare = 1 - sum(x - d for x in by_prefix.values() if x > d) / words if words else 1
+        spread = sum(off_word(x) for x in contexts.values()) / n if n else 1
+        spare = sum(off_prefix(x) for x in by_prefix.values()) / words if words else 1
         q = w[:cut]
         if not any(x[:cut] == q for x in known):
             return spread * spare
-        p_prefix = (max(by_prefix[q] - d, 0) / words if words else 0) + spare * of_prefix[q] / every
+        p_prefix = ((by_prefix[q] - off_prefix(by_prefix[q])) / words if words else 0) + spare * of_prefix[q] / every
         if w not in known:
             return spread * p_prefix
-        return (max(contexts[w] - d, 0) / n if n else 0) + spread * p_prefix * (docs[w] + 1) / of_prefix[q]
+        return ((contexts[w] - off_word(contexts[w])) / n if n else 0) + spread * p_prefix * (docs[w] + 1) / of_prefix[q]
 
     def evidence(text):
-        out, before = [], None
+        out, alone, before = [], [], None
         for w in split(text):
             p = []
             for m in models:
-                pairs, _, kinds, seen, _ = m
+                pairs, _, seen, left, _, cut_off, _, _ = m
                 low = lowest(w, m)
-                p.append(max(pairs[before, w] - d, 0) / seen[before] + d * kinds[before] / seen[before] * low if seen[before] else low)
-            out.append(math.log(p[1]) - math.log(p[0]))
+                n = pairs[before, w]
+                p += [low, (n - cut_off(n)) / seen[before] + left[before] / seen[before] * low if seen[before] else low]
+            alone.append(math.log(p[2]) - math.log(p[0]))
+            out.append(math.log(p[3]) - math.log(p[1]))
             before = w
-        return out
+        return out, alone
 
     return evidence
 
@@ -395,8 +407,8 @@ def test_toxicity_against_brute_force(spark, docs_of, monkeypatch):
     evidence = brute_evidence(train, [t for _, t in rows])
     texts = [rows[0][1], rows[1][1], "vilebadder zzz nowhere uglyword ka", "", None, rows[0][1].upper() + "!!"]
     tokens = toxicity.Tokens(pa.array(texts, pa.string()))
-    got = model.evidence(tokens).tolist()
-    assert got == pytest.approx([x for t in texts for x in evidence(t)], abs=1e-4)
+    for k, got in enumerate(model.evidence(tokens)):
+        assert got.tolist() == pytest.approx([x for t in texts for x in evidence(t)[k]], abs=1e-4)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

@@ -33,7 +33,7 @@ TOP, SEGMENT = 3, 64
 STRETCH, PARTS = 1_000_000, 1024
 THRESHOLD = 0.3
 _START = np.uint64(0x9E3779B97F4A7C15)
-FEATURES = 5
+FEATURES = 6
 
 
 
@@ -129,14 +129,15 @@ class Model:
         found = (lo < end) & (self.second[np.minimum(lo, len(self.second) - 1)] == at)
         return np.where(found, lo, -1)
 
-    def evidence(self, t: Tokens) -> np.ndarray:
-        """Per word: log of its toxic over its ordinary probability."""
+    def evidence(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Per word, log of its toxic over its ordinary probability: after the word before it, and by its continuation counts alone."""
         of = _find(self.words, t.words)
         p = np.zeros((2, len(of)))
         rare = of < 0
         p[:, ~rare] = self.p_word[:, of[~rare]]
         q = _find(self.prefixes, t.prefixes[rare])
         p[:, rare] = np.where(q < 0, self.p_none[:, None], self.p_prefix[:, np.maximum(q, 0)] if len(self.prefixes) else 0.0)
+        alone = (np.log(p[1] + 1e-300) - np.log(p[0] + 1e-300))[t.ids]
         p, at = p[:, t.ids], of[t.ids]
         before = t.before(at, _find(self.words, np.array([_START]))[0])
         if len(self.words):
@@ -147,24 +148,28 @@ class Model:
             k = self.places(keys >> 32, keys & 0xFFFFFFFF)[where]
             both, k = both[k >= 0], k[k >= 0]
             p[:, both] += self.counts[:, self.kinds[k]] / np.maximum(self.seen[:, before[both]], 1)
-        return np.log(p[1] + 1e-300) - np.log(p[0] + 1e-300)
+        return np.log(p[1] + 1e-300) - np.log(p[0] + 1e-300), alone
 
     def features(self, t: Tokens) -> np.ndarray:
-        """Per text: mean evidence (length-normalised), the strongest segment's, the strongest words', the logarithm of its length, and one."""
-        e, n = self.evidence(t), np.diff(t.begin)
+        """Per text: mean evidence (length-normalised), that of the strongest segment, the strongest words and the strongest one, the logarithm of its length, and one.
+
+        Parts of a text go by continuation counts: of a few words, a bigram that one class has by chance would outweigh all else.
+        """
+        (e, alone), n = self.evidence(t), np.diff(t.begin)
         out = np.zeros((len(n), FEATURES))
-        total = np.append(0.0, np.cumsum(e))
+        total, of_parts = (np.append(0.0, np.cumsum(x)) for x in (e, alone))
         out[:, 0] = (total[t.begin[1:]] - total[t.begin[:-1]]) / np.maximum(n, 1)
         for k in np.flatnonzero(n).tolist():
             a, b = t.begin[k], t.begin[k + 1]
             edge = np.append(np.arange(a, b, SEGMENT), b)
             if len(edge) > 2 and edge[-1] - edge[-2] < SEGMENT // 2:
                 edge = np.delete(edge, -2)
-            out[k, 1] = ((total[edge[1:]] - total[edge[:-1]]) / np.diff(edge)).max()
-            own = e[a:b]
+            out[k, 1] = ((of_parts[edge[1:]] - of_parts[edge[:-1]]) / np.diff(edge)).max()
+            own = alone[a:b]
             out[k, 2] = (own if len(own) <= TOP else np.partition(own, len(own) - TOP)[-TOP:]).sum() / TOP
-        out[:, 3] = np.log1p(n) / 5
-        out[:, 4] = 1.0
+            out[k, 3] = own.max()
+        out[:, 4] = np.log1p(n) / 5
+        out[:, 5] = 1.0
         return out
 
 
@@ -300,10 +305,22 @@ def _by(df: DataFrame, columns: list[str]) -> dict[str, np.ndarray]:
     return {c: (t[c].to_numpy().view(np.uint64) if c in ("w", "q") else t[c].to_numpy()) for c in columns}
 
 
+def discounts(n: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """By class, what is taken off each of the counts n (2 x keys): the three discounts, for counts of one, two and more, that counts of counts estimate
+    (of modified Kneser-Ney). weight: how many keys have these counts."""
+    out = np.zeros_like(n)
+    for c in (0, 1):
+        of = [float((n[c] == k).sum() if weight is None else weight[n[c] == k].sum()) for k in range(5)]
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.0
+        d = [min(float(k), max(DISCOUNT, k - (k + 1) * y * of[k + 1] / of[k])) if of[k] else DISCOUNT for k in (1, 2, 3)]
+        out[c] = np.where(n[c] >= 3, d[2], np.where(n[c] == 2, d[1], np.where(n[c] == 1, d[0], 0.0)))
+    return out
+
+
 def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By class: discounted shares of the counts n (2 x keys), and what that leaves for the backoff (all, for a class without counts)."""
     total = n.sum(1)
-    kept = np.maximum(n - DISCOUNT, 0)
+    kept = n - discounts(n)
     return kept / np.maximum(total, 1)[:, None], np.where(total > 0, 1 - kept.sum(1) / np.maximum(total, 1), 1.0)
 
 
@@ -316,7 +333,8 @@ def fit_model(docs: DataFrame, train: DataFrame) -> Model:
     of_word, of_prefix, every = _counts_of(stored(document_counts(docs), "types", few=2), found, prefixes)
     first, second, kinds, both = _sorted_bigrams(bigrams(train, words), len(words))
     by_kind = np.array([both & 0xFFFFFFFF, both >> 32], float).reshape(2, -1)
-    contexts, seen, types = (np.zeros((2, len(words))) for _ in range(3))
+    off = discounts(by_kind, np.bincount(kinds, minlength=len(both)).astype(float))
+    contexts, seen, left = (np.zeros((2, len(words))) for _ in range(3))
     for k in range(0, len(second), STRETCH):
         of_kind = by_kind[:, kinds[k : k + STRETCH]]
         before = np.searchsorted(first, np.arange(k, k + of_kind.shape[1]), "right") - 1
@@ -325,11 +343,11 @@ def fit_model(docs: DataFrame, train: DataFrame) -> Model:
             history = before[has]
             contexts[c] += np.bincount(second[k : k + STRETCH][has], minlength=len(words))
             seen[c] += np.bincount(history, weights=of_kind[c][has], minlength=len(words))
-            types[c] += np.bincount(history, minlength=len(words))
+            left[c] += np.bincount(history, weights=off[c, kinds[k : k + STRETCH]][has], minlength=len(words))
     # What a history's bigrams leave is for the backoff.
-    back = np.where(seen > 0, DISCOUNT * types / np.maximum(seen, 1), 1.0).astype(np.float32)
+    back = np.where(seen > 0, left / np.maximum(seen, 1), 1.0).astype(np.float32)
     seen = seen.astype(np.float32)
-    counts = np.maximum(by_kind - DISCOUNT, 0)
+    counts = by_kind - off
     contexts = contexts[:, place]
     # Prefixes: in how many words of either class, discounted into how often the corpus has them.
     kept, spare = _discounted(np.array([np.bincount(q[x > 0], minlength=len(prefixes)) for x in contexts], float))
@@ -344,7 +362,7 @@ def fit_model(docs: DataFrame, train: DataFrame) -> Model:
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Coefficients by Newton's method; without both classes a rule on the mean evidence."""
     if len(y) == 0 or y.min() == y.max():
-        return np.array([4.0, 0, 0, 0, -1.0])
+        return np.array([4.0, 0, 0, 0, 0, -1.0])
     beta = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
