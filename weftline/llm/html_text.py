@@ -24,8 +24,12 @@ from .common import join_counted, key_hash, need, prepare, stored
 # Element names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DROPPED = frozenset("script style textarea title noscript iframe xmp noembed noframes head nav footer aside form template svg math canvas object audio video select option datalist dialog menu fieldset input img map".split())
-BLOCK = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table tbody thead tfoot tr caption ul".split())
+DROPPED = frozenset(
+    "script style textarea title noscript iframe xmp noembed noframes head nav footer aside form template svg math canvas object audio video select option datalist dialog menu fieldset input img map".split()
+)
+BLOCK = frozenset(
+    "html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table tbody thead tfoot tr caption ul".split()
+)
 CONTAINER = frozenset("div section nav aside header footer form ul ol dl table figure details blockquote".split())
 TEXT = frozenset("p li h1 h2 h3 h4 h5 h6 dd dt td th pre address figcaption caption summary".split())
 CLOSES_P = BLOCK - frozenset("html body tr tbody thead tfoot caption".split())
@@ -33,12 +37,19 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 FENCE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "tbody": ("table",)}
 P_FENCE = ("table", "button", "td", "th", "article", "section", "div", "li")
 # Words of class, id and role names that mark what is not the article, and words that say nothing beside them.
-NOISE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar widget widgets menu navbar nav navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist disqus reply replies respond login search toolbar skip hidden paywall contentinfo complementary dialog".split())
-NEUTRAL = frozenset("site page top bottom left right main global primary secondary box bar area section block wrapper wrap container inner outer list item items panel slot unit button buttons link links icons form post posts article articles story stories news content body text group region module header title".split())
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar widget widgets menu navbar nav navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments commentlist disqus reply replies respond login search toolbar skip hidden paywall contentinfo complementary dialog".split()
+)
+NEUTRAL = frozenset(
+    "site page top bottom left right main global primary secondary box bar area section block wrapper wrap container inner outer list item items panel slot unit button buttons link links icons form post posts article articles story stories news content body text group region module header title".split()
+)
 HEADER = frozenset(("header", "banner"))
 ROOTS = frozenset("content post entry article story main body text".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    re.S
+)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Distinct pages of a host from which a subtree recurs; words from which a block that is no container can.
@@ -300,13 +311,23 @@ def recurring_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFram
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([subtree_hashes(x) for x in batch.column(3).to_pylist()], pa.list_(pa.int64()))], ["page_key", "host", "page", "marks"])
-
-    seen = stored(_source(pages).select("page_key", F.xxhash64(host()).alias("host"), F.xxhash64("html").alias("page"), "html").mapInArrow(read, "page_key long, host long, page long, marks array<long>"), "marks")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([subtree_hashes(x) for x in batch.column(3).to_pylist()], pa.list_(pa.int64()))],
+                ["page_key", "host", "page", "marks"]
+            )
+
+    seen = stored(
+        _source(pages).select(
+            "page_key", F.xxhash64(host()).alias("host"), F.xxhash64("html").alias("page"), "html"
+        ).mapInArrow(read, "page_key long, host long, page long, marks array<long>"),
+        "marks"
+    )
     # A subtree of a host is one number; distinct pages are found before their subtrees are dealt out, so that a count is a plain sum.
     each = seen.select("page_key", "host", "page", F.expr("transform(marks, m -> xxhash64(host, m))").alias("keys"), "marks")
     once = each.groupBy("host", "page").agg(F.first("keys").alias("keys"))
-    long = each.select("page_key", F.explode(F.arrays_zip("keys", "marks")).alias("x")).select("page_key", F.col("x.keys").alias("key"), F.col("x.marks").alias("mark"))
+    long = each.select("page_key", F.explode(F.arrays_zip("keys", "marks")).alias("x")).select(
+        "page_key", F.col("x.keys").alias("key"), F.col("x.marks").alias("mark")
+    )
     counts = once.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     often = stored(counts.where(F.col("n") >= min_pages), "often", few=8)
     return join_counted(long, often, "key").select("page_key", "mark").groupBy("page_key").agg(F.collect_set("mark").alias("marks"))

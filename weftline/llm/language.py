@@ -141,7 +141,9 @@ def landmark_sets(known: DataFrame) -> tuple[list[str], list[np.ndarray]]:
             found = [np.unique(gram_buckets(t)).astype("<i4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["h", "grams"])
 
-    some = known.select(F.xxhash64("text").alias("h"), "text").where(F.col("h").isin(wanted)).dropDuplicates(["h"]) if wanted else known.select(F.lit(0).cast("long").alias("h"), "text").limit(0)
+    some = known.select(F.xxhash64("text").alias("h"), "text").where(F.col("h").isin(wanted)).dropDuplicates(["h"]) if wanted else known.select(
+        F.lit(0).cast("long").alias("h"), "text"
+    ).limit(0)
     return names, [np.frombuffer(r["grams"], "<i4").astype(np.int64) for r in some.mapInArrow(sets, "h long, grams binary").orderBy("h").collect()]
 
 
@@ -159,7 +161,9 @@ def fit(known: DataFrame) -> tuple[list[str], Kernel, tuple[np.ndarray, np.ndarr
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = shared.value.rows(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), k.shape[1]).cast(pa.list_(pa.float32()))], ["lang", "k"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(k.ravel()), k.shape[1]).cast(pa.list_(pa.float32()))], ["lang", "k"]
+            )
 
     got = sample.mapInArrow(rows, "lang string, k array<float>").toArrow()
     x = got["k"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, len(sets)), np.float32)
@@ -183,7 +187,9 @@ def identify(docs: DataFrame, learn=None, fit_on: DataFrame | None = None) -> Da
     spark = docs.sparkSession
     prepare(spark)
     base = need(fit_on if fit_on is not None else docs, {"doc_id": "long", "text": "string", "lang": "string"})
-    known = base.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}")).where(learn if learn is not None else F.lit(True))
+    known = base.where(
+        F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}")
+    ).where(learn if learn is not None else F.lit(True))
     names, kernel, weights = fit(known)
     shared = spark.sparkContext.broadcast(kernel)
 

@@ -37,7 +37,9 @@ def _parsed(text: Column) -> Column:
 
     def line(t: Column) -> Column:
         n = F.size(t)
-        without = [F.xxhash64(F.lit(k), n, F.slice(t, 1, (n * k / 4).cast("int")), F.slice(t, (n * (k + 1) / 4).cast("int") + 1, n)) for k in range(1, STRETCHES + 1)]
+        without = [F.xxhash64(
+            F.lit(k), n, F.slice(t, 1, (n * k / 4).cast("int")), F.slice(t, (n * (k + 1) / 4).cast("int") + 1, n)
+        ) for k in range(1, STRETCHES + 1)]
         return F.struct(
             F.when(F.element_at(t, 1) == "", 0).otherwise(n).alias("n"),
             F.xxhash64(n, F.slice(t, 1, LEADING)).alias("leaf"),
@@ -55,7 +57,9 @@ def _key(hash_: Column, n: Column) -> Column:
 
 def parsed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, p (array of n, leaf, hash, general by line)."""
-    return need(docs, {"doc_id": "long", "text": "string"}).dropna(subset=["text"]).select("doc_id", F.xxhash64("text").alias("text_key"), _parsed(F.col("text")).alias("p"))
+    return need(docs, {"doc_id": "long", "text": "string"}).dropna(subset=["text"]).select(
+        "doc_id", F.xxhash64("text").alias("text_key"), _parsed(F.col("text")).alias("p")
+    )
 
 
 def _lines(rows: DataFrame, *others: str) -> DataFrame:
@@ -74,10 +78,14 @@ def _kept(rows: DataFrame) -> DataFrame:
     """rows (parsed, shared) and rest: what a text's families need. keys of shared lines, smallest keys and tokens of own lines and of all."""
     tokens = lambda keys: F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(TOKEN_BITS)))
     every = F.array_distinct(F.transform(F.filter("p", lambda x: x["n"] > 0), lambda x: _key(x["hash"], x["n"])))
-    rows = rows.withColumn("keys", F.coalesce(F.transform("shared", lambda x: _key(x["hash"], x["n"])), F.array().cast("array<long>"))).withColumn("every", every)
+    rows = rows.withColumn(
+        "keys", F.coalesce(F.transform("shared", lambda x: _key(x["hash"], x["n"])), F.array().cast("array<long>"))
+    ).withColumn("every", every)
     rows = rows.withColumn("own", F.array_except("every", "keys"))
     least = lambda c: F.slice(F.array_sort(c), 1, 2).alias(f"{c}_least")
-    return rows.withColumn("rest", F.struct("keys", least("own"), least("keys"), tokens(F.col("own")).alias("own_n"), tokens(F.col("every")).alias("n"))).drop("keys", "every", "own")
+    return rows.withColumn(
+        "rest", F.struct("keys", least("own"), least("keys"), tokens(F.col("own")).alias("own_n"), tokens(F.col("every")).alias("n"))
+    ).drop("keys", "every", "own")
 
 
 def _family(held: DataFrame) -> DataFrame:
@@ -94,7 +102,10 @@ def _recurring(held: DataFrame, template: list[str]) -> DataFrame:
     once = held.groupBy(*template, "family", "copied", "text_key").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     family = once.groupBy(*template, "family", "copied").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.count("*").alias("texts"))
     side = lambda copied, c: F.sum(F.when(F.col("copied") == copied, F.col(c) if c else 1).otherwise(0))
-    found = family.groupBy(*template).agg(F.min("first").alias("first"), F.max("n").alias("n"), side(False, None).alias("own"), side(True, None).alias("copies"), side(True, "texts").alias("texts"))
+    found = family.groupBy(*template).agg(
+        F.min("first").alias("first"), F.max("n").alias("n"), side(False, None).alias("own"), side(True, None).alias("copies"),
+        side(True, "texts").alias("texts")
+    )
     # The smallest of a copy's lines is another one for one in COPY edited copies at most, the next for one in COPY of those, and so on.
     copies = F.when(F.col("texts") > 0, F.greatest(F.lit(1), F.col("copies") - F.floor(F.log(F.col("texts")) / F.log(F.lit(float(COPY)))))).otherwise(0)
     least = F.when(F.col("n") >= SHORT, FAMILIES).otherwise(SHORT_FAMILIES)
@@ -106,12 +117,16 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     rows = stored(in_splits(parsed(docs), docs), "lines")
     shared = stored(shared_lines(rows), "shared", few=2)
     # Only lines that enough texts hold can recur exactly.
-    exact = _family(_kept(rows.join(shared, "text_key")).select("doc_id", "text_key", "rest", F.explode("shared").alias("x")).select("doc_id", "text_key", "rest", "x.*"))
+    exact = _family(
+        _kept(rows.join(shared, "text_key")).select("doc_id", "text_key", "rest", F.explode("shared").alias("x")).select("doc_id", "text_key", "rest", "x.*")
+    )
     exact = stored(_recurring(exact, ["hash"]), "exact", few=32)
     flagged = _lines(rows).select("doc_id", "text_key", "line", "hash").join(exact, "hash").select("doc_id", "text_key", "line", "first")
     long = _lines(rows).where(F.col("general").isNotNull())
     # Leaves that can hold a generalised template: several lines and texts.
-    leaf = long.groupBy("leaf").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.min("text_key").alias("tlo"), F.max("text_key").alias("thi")).where("lo <> hi and tlo <> thi").select("leaf")
+    leaf = long.groupBy("leaf").agg(
+        F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.min("text_key").alias("tlo"), F.max("text_key").alias("thi")
+    ).where("lo <> hi and tlo <> thi").select("leaf")
     leaf = stored(leaf, "leaves", few=32)
     # An inner join, before which families are computed: what they need is as long as the text and mustn't be shuffled by line.
     held = _family(_lines(_kept(rows.join(shared, "text_key", "left")), "rest").where(F.col("general").isNotNull())).join(leaf, "leaf")

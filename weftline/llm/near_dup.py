@@ -40,7 +40,10 @@ CACHE_WORDS = 250_000
 _rest = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 _bounds = np.arange(K, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 _probes = np.array([np.random.default_rng(7919 + j).permutation(K) for j in range(K)])
-_mult = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+_mult = [np.uint64(x) for x in (
+    0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
+    0x589965CC75374CC3
+)]
 
 
 class _Words(dict):
@@ -128,7 +131,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sizes.append(len(h))
                 ids.append(xxhash.xxh3_128_digest(h.tobytes()))
                 bands.append(registers(h).view("<i8").tolist() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n", "set_id", "bands"]
+            )
 
     return _texts(docs).mapInArrow(lean(sketch, _words), "doc_id long, n long, set_id binary, bands array<long>")
 
@@ -155,7 +161,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs a, b whose full sets are similar. Texts go to their pair's b; a hot b is copied, so that no task gets all of its partners."""
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / CENTRE_MEMBERS).alias("salts"))
     dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
-    wanted = dealt.select(F.col("a").alias("doc_id"), "b", "salt", F.lit(1).alias("side")).unionByName(dealt.select(F.col("b").alias("doc_id"), "b", "salt", F.lit(0).alias("side")).distinct())
+    wanted = dealt.select(
+        F.col("a").alias("doc_id"), "b", "salt", F.lit(1).alias("side")
+    ).unionByName(dealt.select(F.col("b").alias("doc_id"), "b", "salt", F.lit(0).alias("side")).distinct())
     rows = texts.join(wanted, "doc_id").select("doc_id", "b", "salt", "side", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "side")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +195,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
-        edges = stored(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "links", few=32)
+        edges = stored(
+            joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct(),
+            "links", few=32
+        )
         before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == state:
             break
@@ -203,7 +214,9 @@ def _samples(texts: DataFrame) -> DataFrame:
         for batch in batches:
             h = [shingles(x) for x in batch.column(1).to_pylist()]
             codes = [np.unique((x[:SAMPLE] >> np.uint64(32)).astype("<u4")).tobytes() for x in h]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in h], pa.int64()), pa.array(codes, pa.binary())], ["node", "size", "codes"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in h], pa.int64()), pa.array(codes, pa.binary())], ["node", "size", "codes"]
+            )
 
     return texts.mapInArrow(lean(sample, _words), "node long, size long, codes binary")
 
@@ -216,14 +229,23 @@ def _unresolved(members: DataFrame, labels: DataFrame, texts: DataFrame) -> Data
     """
     own = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = own.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    open_ = per.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = open_.select("band", "key", F.col("top.component").alias("major"), F.ceil((F.col("total") - F.col("top.n")) / MINOR_BLOCK).cast("int").alias("nj"), F.ceil(F.col("total") / MEMBER_BLOCK).cast("int").alias("ni"))
+    open_ = per.groupBy("band", "key").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("parts")
+    ).where("parts > 1")
+    open_ = open_.select(
+        "band", "key", F.col("top.component").alias("major"), F.ceil((F.col("total") - F.col("top.n")) / MINOR_BLOCK).cast("int").alias("nj"),
+        F.ceil(F.col("total") / MEMBER_BLOCK).cast("int").alias("ni")
+    )
     there = stored(own.join(open_, ["band", "key"]), "open-members", few=32)
     samples = stored(_samples(texts.join(there.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "samples", few=32)
     j, i = F.pmod(F.xxhash64("node"), F.col("nj")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("ni")).cast("int")
     placed = there.withColumn("home", i).withColumn("own_j", F.when(F.col("component") != F.col("major"), j))
-    resident = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("i", F.col("home")).withColumn("minor", F.coalesce(F.col("j") == F.col("own_j"), F.lit(False))).withColumn("resident", F.lit(True))
-    visitor = placed.where("own_j is not null and ni > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))).where("i <> home").withColumn("j", F.col("own_j")).withColumn("minor", F.lit(True)).withColumn("resident", F.lit(False))
+    resident = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))).withColumn("i", F.col("home")).withColumn(
+        "minor", F.coalesce(F.col("j") == F.col("own_j"), F.lit(False))
+    ).withColumn("resident", F.lit(True))
+    visitor = placed.where("own_j is not null and ni > 1").withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))
+    ).where("i <> home").withColumn("j", F.col("own_j")).withColumn("minor", F.lit(True)).withColumn("resident", F.lit(False))
     cols = ["band", "key", "j", "i", "minor", "resident", "node", "component"]
     dealt = resident.select(*cols).unionByName(visitor.select(*cols)).join(samples, "node")
     return dealt.groupBy("band", "key", "j", "i").applyInArrow(_compare, "a long, b long").distinct()
@@ -244,7 +266,11 @@ def _compare(t: pa.Table) -> pa.Table:
         mine = ids[begin[x] : begin[x + 1]]
         common = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in mine.tolist()]), minlength=len(codes))
         # Of samples, at least this share is common to sets that may be similar.
-        some = np.flatnonzero(resident & (comp != comp[x]) & (100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])) & (100 * common >= 50 * np.minimum(len(mine), np.diff(begin))))
+        some = np.flatnonzero(
+            resident & (comp != comp[x]) & (
+                100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x])
+            ) & (100 * common >= 50 * np.minimum(len(mine), np.diff(begin)))
+        )
         for y in some[np.argsort(-common[some], kind="stable")].tolist():
             both = (min(comp[x], comp[y]), max(comp[x], comp[y]))
             if both in met or not _sampled(codes[x], codes[y], int(size[x]), int(size[y]), int(common[y])):
@@ -276,7 +302,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all_ = stored(in_splits(sketches(docs), docs), "sketches")
     some = all_.where("n > 0 and doc_id is not null")
     classes = stored(some.groupBy("set_id").agg(F.min("doc_id").alias("node")), "classes", few=32)
-    sets = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "set_id", "n", "bands").dropDuplicates(["node", "set_id"]), "sets", few=8)
+    sets = stored(
+        some.join(
+            classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi"
+        ).select(F.col("doc_id").alias("node"), "set_id", "n", "bands").dropDuplicates(["node", "set_id"]),
+        "sets", few=8
+    )
     keys = sets.select("node", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("tinyint"))
     shared = keys.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
     members = stored(keys.join(shared, ["band", "key"]), "members", few=4)
@@ -295,4 +326,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links.unionByName(repeated))
     label = classes.join(found, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id"))
     out = all_.withColumn("set_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_id"))).join(label, "set_id", "left")
-    return in_files(out, 4).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return in_files(out, 4).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

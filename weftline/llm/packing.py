@@ -59,7 +59,9 @@ class ChunkCoder:
         if not c.isalpha() or len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c or c == "\u03a3":
             return False
         word = self.encode(f"a{c}")
-        return word == self.encode(f"a{c.lower()}") and bool(self.ends_word[np.frombuffer(word, "<u4")[-1]]) and self.encode(f"a{c}.") == word + self.encode(".")
+        return word == self.encode(f"a{c.lower()}") and bool(
+            self.ends_word[np.frombuffer(word, "<u4")[-1]]
+        ) and self.encode(f"a{c}.") == word + self.encode(".")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -162,7 +164,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048,
                     rows.append((doc_id, key, k, (at - a) // 4, n, crc))
                 key += 1
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"]
+            )
 
     return need(docs, {"doc_id": "long", "text": "string"}).mapInArrow(lean(cut), PIECES)
 
@@ -243,6 +248,9 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
     def fill(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("row_key", "ascending"), ("piece", "ascending")])
         seq, off = pack_lengths(t["length"].to_numpy(), seq_len)
-        return pa.table([t["doc_id"], t["piece"], t["start"], t["length"], t["ids_crc32"], pa.array(seq * groups + key[0].as_py()), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+        return pa.table(
+            [t["doc_id"], t["piece"], t["start"], t["length"], t["ids_crc32"], pa.array(seq * groups + key[0].as_py()), pa.array(off)],
+            ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        )
 
     return pieces.withColumn("g", F.pmod(F.xxhash64("row_key", "piece"), F.lit(groups))).groupBy("g").applyInArrow(fill, PACKED)

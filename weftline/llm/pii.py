@@ -89,17 +89,23 @@ def entity(kind: Column, value: Column) -> Column:
 def mentions(docs: DataFrame) -> DataFrame:
     """row, doc_id, text_key, spans (kind, start, end, entity), words (w: the word's hash, q: its prefix, start, end; outside of identifiers, only for texts with any)."""
     found = base_spans(docs)
-    rows = _matches(found, "text", f"{PATTERNS['email'][0]}|{TERM}", F.size("spans") > 0, "term").withColumn("term", _located("term_found", "term_pieces", "term"))
+    rows = _matches(
+        found, "text", f"{PATTERNS['email'][0]}|{TERM}", F.size("spans") > 0, "term"
+    ).withColumn("term", _located("term_found", "term_pieces", "term"))
     word = lambda x: F.struct(F.xxhash64(F.lower(x["value"])).alias("w"), F.substring(F.lower(x["value"]), 1, PREFIX).alias("q"), x["start"], x["end"])
     words = F.transform(F.filter("term", lambda x: ~x["value"].contains("@")), word)
-    spans = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), entity(x["kind"], x["value"]).alias("entity")))
+    spans = F.transform("spans", lambda x: F.struct(
+        x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), entity(x["kind"], x["value"]).alias("entity")
+    ))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", spans.alias("spans"), words.alias("words"))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """w, q, n: every word's hash and prefix, and in how many documents it occurs."""
     distinct = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
-    words = need(docs, {"text": "string"}).select(F.explode(distinct).alias("term")).select(F.xxhash64("term").alias("w"), F.substring("term", 1, PREFIX).alias("q"))
+    words = need(docs, {"text": "string"}).select(F.explode(distinct).alias("term")).select(
+        F.xxhash64("term").alias("w"), F.substring("term", 1, PREFIX).alias("q")
+    )
     return words.groupBy("w", "q").agg(F.count("*").alias("n"))
 
 
@@ -125,7 +131,9 @@ def disclosing_words(found: DataFrame, counts: DataFrame, disclosure: float = DI
     entities = stored(entities.select("entity", "n_entity", F.xxhash64("same", "n_entity").alias("ec")), "entities", few=8)
     held = stored(join_counted(has, entities, "entity", n="n_entity").select("row", "ec", "n_entity").distinct(), "held", few=8)
     widest = held.groupBy("row").agg(at_most(F.max("n_entity"), total, disclosure).alias("most"))
-    words = private.select("row", F.array_distinct(F.transform("words", lambda x: x["w"])).alias("words")).join(widest, "row").select("row", "most", F.explode("words").alias("w"))
+    words = private.select(
+        "row", F.array_distinct(F.transform("words", lambda x: x["w"])).alias("words")
+    ).join(widest, "row").select("row", "most", F.explode("words").alias("w"))
     # Words of one document don't tell, nor do words that are too common for all of a document's entities.
     near = stored(join_counted(words, counts.where("n > 1"), "w").where("n <= most").select("row", "w", "q", "n"), "near", few=8)
     classes = near.groupBy("w", "q", "n").agg(F.count("*").alias("m"), same.alias("same")).where("m > 1")
@@ -133,10 +141,14 @@ def disclosing_words(found: DataFrame, counts: DataFrame, disclosure: float = DI
     classes = join_counted(classes.select("w", "q", "n", "m", F.xxhash64("same", "m", "n").alias("tc")), prefixes, "q", n="of")
     classes = stored(classes.select("w", "q", "m", "tc", "top"), "classes", few=8)
     near = stored(join_counted(near.select("row", "w", "n"), classes, "w", n="m").select("row", "w", "q", "n", "tc", "top"), "near-classes", few=8)
-    pairs = held.join(near.select("row", "tc", "n").distinct(), "row").where(F.col("n") <= at_most(F.col("n_entity"), total, disclosure)).select("row", "ec", "tc", "n_entity", "n")
+    pairs = held.join(
+        near.select("row", "tc", "n").distinct(), "row"
+    ).where(F.col("n") <= at_most(F.col("n_entity"), total, disclosure)).select("row", "ec", "tc", "n_entity", "n")
     over = pairs.groupBy("ec", "tc", "n_entity", "n").agg(F.count("*").alias("n_joint"))
     over = stored(over.where(share(F.col("n_joint"), F.col("n"), F.col("n_entity"), total) >= disclosure).select("ec", "tc", "n_joint"), "over", few=8)
-    marked = join_counted(pairs.select("row", "ec", "tc", "n_entity"), over, "ec", "tc", n="n_joint").groupBy("row", "tc").agg(F.max("n_entity").alias("n_entity"))
+    marked = join_counted(
+        pairs.select("row", "ec", "tc", "n_entity"), over, "ec", "tc", n="n_joint"
+    ).groupBy("row", "tc").agg(F.max("n_entity").alias("n_entity"))
     general = F.when(F.col("top") > at_most(F.col("n_entity"), total, disclosure), F.concat("q", F.lit("*")))
     return near.join(marked, ["row", "tc"]).select("row", "w", general.alias("general"))
 
@@ -155,7 +167,9 @@ def find_private(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     terms = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "general"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,general:string>>")
     spans = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return found.select("row", "doc_id", "text_key", spans.alias("spans")).join(terms, "row", "left").select("doc_id", "text_key", "spans", F.coalesce("terms", none).alias("terms"))
+    return found.select("row", "doc_id", "text_key", spans.alias("spans")).join(terms, "row", "left").select(
+        "doc_id", "text_key", "spans", F.coalesce("terms", none).alias("terms")
+    )
 
 
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -164,7 +178,9 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     rows = need(docs, {"doc_id": "long", "text": "string"}).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_key", F.xxhash64("text"))
     both = rows.join(private, F.col("doc_id").eqNullSafe(F.col("d")) & (rows["text_key"] == private["text_key"]), "left")
     marks = F.array_sort(F.concat(
-        F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("by"))),
+        F.transform("spans", lambda x: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("by")
+        )),
         F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.coalesce(x["general"], F.lit("")).alias("by"))),
     ))
     both = both.select("doc_id", "text", marks.alias("marks"))
@@ -178,4 +194,7 @@ def digest_columns(private: DataFrame) -> DataFrame:
     text = lambda x, kind: F.concat_ws(":", kind, x["start"].cast("string"), x["end"].cast("string"))
     base = F.transform("spans", lambda x: text(x, x["kind"]))
     term = F.transform("terms", lambda x: text(x, F.lit("term")))
-    return private.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(base, term), ",").alias("spans"))
+    return private.select(
+        "doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, term), ",").alias("spans")
+    )

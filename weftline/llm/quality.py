@@ -27,7 +27,10 @@ STRATA = 4
 #: A good text that a cutoff rejects weighs as much as so many bad ones that it lets pass.
 GOOD_COST = 10
 _DROP = bytes(set(range(256)) - set(SYMBOLS))
-_odd = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_odd = [np.uint64(x | 1) for x in (
+    0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
+    0xE7037ED1A0B428DB
+)]
 
 
 def text_stats(text: bytes | None) -> tuple[int, int, int, int, int, int]:
@@ -83,7 +86,10 @@ def stats(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(zip(*map(text_stats, batch.column(1).to_pylist()), strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in cols]],
+                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+            )
 
     return need(docs, {"doc_id": "long", "text": "string"}).select("doc_id", F.col("text").cast("binary")).mapInArrow(count, STATS)
 
@@ -168,7 +174,12 @@ def filter_quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delt
     figures_of = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
     once = s.where(~base_failed()).dropna(subset=["doc_id"]).join(marks, "doc_id").groupBy("doc_id", "quality").agg(F.min(figures_of).alias("x"))
     held = once.select("quality", "x.*").withColumn("stratum", stratum())
-    long = held.select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.floor(x * BINS), F.lit(BINS - 1)).cast("int").alias("bin")) for r, x in figures().items()])).alias("x"))
+    long = held.select(
+        "stratum", "quality",
+        F.explode(F.array(*[F.struct(
+            F.lit(r).alias("rule"), F.least(F.floor(x * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+        ) for r, x in figures().items()])).alias("x")
+    )
     counts = {(k, r): np.zeros((2, BINS), np.int64) for k in range(STRATA) for r in RULES}
     for row in long.groupBy("stratum", "x.rule", "x.bin", (F.col("quality") > 0).alias("good")).count().collect():
         counts[row["stratum"], row["rule"]][0 if row["good"] else 1, row["bin"]] += row["count"]

@@ -180,7 +180,10 @@ def sampled_labels(labels: DataFrame, learn, most: int = MAX_ROWS) -> DataFrame:
     share = {k: min(1.0, most / max(1, n.get(k, 0))) for k in (0, 1)}
     h = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     kept = rows.where(h < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    return kept.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).cast("int").alias("part"), F.when(F.col("toxic") == 1, 1 / share[1]).otherwise(1 / share[0]).alias("weight"))
+    return kept.select(
+        "doc_id", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).cast("int").alias("part"),
+        F.when(F.col("toxic") == 1, 1 / share[1]).otherwise(1 / share[0]).alias("weight")
+    )
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -232,7 +235,10 @@ def bigrams(train: DataFrame, words: np.ndarray) -> DataFrame:
             n = np.bincount(where[~is_toxic], minlength=len(pair)) + (np.bincount(where[is_toxic], minlength=len(pair)) << 32)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
-    out = stored(train.select("toxic", "text").mapInArrow(lean(count, shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams", few=2)
+    out = stored(
+        train.select("toxic", "text").mapInArrow(lean(count, shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "bigrams",
+        few=2
+    )
     shared.destroy()
     return out
 
@@ -387,9 +393,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None) -> tuple[Broadcast, np.n
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
             x = model.value.features(Tokens(_column(t, "text")))
-            yield pa.RecordBatch.from_arrays([_column(t, "toxic"), _column(t, "weight"), *[pa.array(c) for c in x.T]], ["toxic", "weight", *[f"x{k}" for k in range(FEATURES)]])
+            yield pa.RecordBatch.from_arrays(
+                [_column(t, "toxic"), _column(t, "weight"), *[pa.array(c) for c in x.T]], ["toxic", "weight", *[f"x{k}" for k in range(FEATURES)]]
+            )
 
-    got = train.where("part = 4").select("toxic", "weight", "text").mapInArrow(lean(features, model), "toxic int, weight double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow()
+    got = train.where("part = 4").select("toxic", "weight", "text").mapInArrow(
+        lean(features, model), "toxic int, weight double, " + ", ".join(f"x{k} double" for k in range(FEATURES))
+    ).toArrow()
     x = np.stack([got[f"x{k}"].to_numpy() for k in range(FEATURES)], 1) if got.num_rows else np.zeros((0, FEATURES))
     return model, fit_logistic(x, got["toxic"].to_numpy().astype(float), got["weight"].to_numpy())
 

@@ -141,11 +141,15 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     spark = pages.sparkSession
     prepare(spark)
     folder = folder or scratch_path(spark, "warc")
-    rows = need(pages, {"page_id": "long", "url": "string", "html": "string"}).withColumn("html", F.coalesce("html", F.lit("")).cast("binary")).withColumn("digest", F.sha2("html", 256))
+    rows = need(
+        pages, {"page_id": "long", "url": "string", "html": "string"}
+    ).withColumn("html", F.coalesce("html", F.lit("")).cast("binary")).withColumn("digest", F.sha2("html", 256))
     # Only payloads that occur again need a join; those of many pages stay where they are.
     firsts = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     firsts = stored(firsts.where("n > 1"), "repeated", few=8)
-    typed = join_counted(rows, firsts, "digest", how="left").select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html", "digest", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
+    typed = join_counted(rows, firsts, "digest", how="left").select(
+        "page_id", F.coalesce("url", F.lit("")).alias("url"), "html", "digest", F.expr("if(page_id <=> first, null, first)").alias("refers_to")
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -162,7 +166,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
             with fs.open_output_stream(f"{base}/{path}") as f:
                 f.write(body)
             made += 1
-            out = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path}"]), pa.array([len(body)], pa.int64()), pa.array([len(index)], pa.int64())], ["path", "bytes", "n_records"])
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([f"{folder}/{path}"]), pa.array([len(body)], pa.int64()), pa.array([len(index)], pa.int64())],
+                ["path", "bytes", "n_records"]
+            )
             data.clear()
             index.clear()
             return out
@@ -199,7 +206,12 @@ def index_entries(archives: DataFrame) -> DataFrame:
                         raise ValueError(f"{path}: members must be stored")
                     f.seek(place)
                     rows = [json.loads(x) for x in f.read(length).decode().splitlines()]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([begin + r["at"] for r in rows], pa.int64()), pa.array([r["n"] for r in rows], pa.int64())], ["path", "at", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(rows), pa.string()), pa.array(
+                        [begin + r["at"] for r in rows], pa.int64()
+                    ), pa.array([r["n"] for r in rows], pa.int64())],
+                    ["path", "at", "n"]
+                )
 
     return archives.select("path").mapInArrow(read, "path string, at long, n long")
 
@@ -233,7 +245,10 @@ def read_records(archives: DataFrame) -> DataFrame:
                 k = j
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+                ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
+            )
 
     return entries.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
